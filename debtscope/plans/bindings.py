@@ -11,7 +11,7 @@ from debtscope.functions.scores import composite_score, documentation_score
 from debtscope.operators.duplication import file_duplication
 from debtscope.operators.nodes import comment_count
 from debtscope.operators.running import running
-from debtscope.session import table
+from debtscope.session import landed, table
 
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +66,11 @@ def newest_turn() -> list[Column]:
 
 
 def syntax_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The node table below, landed as a parser would land it."""
+    return landed(spark, folder, "syntax-nodes", lambda: order_nodes(spark, folder))
+
+
+def order_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Syntax nodes made of orders and their lines.
 
     A customer is a file, an order a function (urgent ones a class), a line a

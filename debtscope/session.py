@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per session to the shared folder and read back.
+
+    For tables that several branches of a plan read: they scan only the columns
+    and rows they need instead of deriving everything again, and a lost
+    executor costs a re-read.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(folder), name)
+    if key not in _LANDED:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/landed-{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
