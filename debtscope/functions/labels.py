@@ -141,4 +141,4 @@ def kappa_words(kappa: Column) -> Column:
 
 def age_days(moment: Column, as_of: Column) -> Column:
     """Whole days between a timestamp and a reference time."""
-    return F.floor((F.unix_seconds(as_of) - F.unix_seconds(moment)) / 86400)
+    return F.floor((F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(moment.cast("timestamp"))) / 86400)

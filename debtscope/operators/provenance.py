@@ -161,7 +161,7 @@ def run_summary(progress: DataFrame) -> DataFrame:
         F.sum(F.when(done, F.col("rows")).otherwise(0)).alias("repositories"),
         F.count_if(done).alias("queries_completed"),
         F.count_if(F.col("status") == "failed").alias("queries_failed"),
-        (F.unix_micros(F.max("completed_at")) - F.unix_micros(F.min("started_at"))).alias("micros"),
+        (F.unix_micros(F.max("completed_at").cast("timestamp")) - F.unix_micros(F.min("started_at").cast("timestamp"))).alias("micros"),
     )
     seconds = F.col("micros") / 1e6
     return totals.select(
