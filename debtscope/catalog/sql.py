@@ -50,7 +50,7 @@ def upper_tail(z: str) -> str:
 
 
 def p_two_sided(z: str) -> str:
-    return f"least(1.0, 2 * {upper_tail(z)})"
+    return f"(CASE WHEN {z} IS NOT NULL THEN least(1.0, 2 * {upper_tail(z)}) END)"
 
 
 # Files of the documents table with their repeated lines, found by listing

@@ -89,7 +89,7 @@ def rank_tests(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH {_LONG} SELECT dimension, round(m1, 6) AS mean_ai, round(m2, 6) AS mean_human, round(d, 6) AS effect_size,
-  round(least(1.0, {p_two_sided("z")} * 4), 6) AS p_value_bonferroni, coalesce(least(1.0, {p_two_sided("z")} * 4) < 0.05, NULL) AS significant_bonferroni,
+  CASE WHEN z IS NOT NULL THEN round(least(1.0, {p_two_sided("z")} * 4), 6) END AS p_value_bonferroni, {p_two_sided("z")} * 4 < 0.05 AS significant_bonferroni,
   {_WORDS} AS effect_size_interpretation FROM tested
 """)
 def dimension_effects(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,7 +244,7 @@ k AS (
     avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe, avg(quality) AS a, avg(toxic) AS b
   FROM labels JOIN documents USING (doc_id) GROUP BY source
 ),
-kk AS (SELECT *, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END AS kappa FROM k)
+kk AS (SELECT *, CASE WHEN pe < 1 THEN round((po - pe) / (1 - pe), 10) END AS kappa FROM k)
 """
 _KAPPA_ROUND = rnd("kappa", 4)
 
@@ -263,7 +263,7 @@ def rater_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH {_KAPPA}, r AS (SELECT {_KAPPA_ROUND} AS kappa FROM kk)
-SELECT {rnd("avg(kappa)", 4)} AS average_kappa, avg(kappa) >= 0.6 AS adequate, 0.6 AS target, count(kappa) AS metrics_evaluated FROM r
+SELECT {rnd("avg(kappa)", 4)} AS average_kappa, avg(kappa) >= 0.6 AS adequate, 0.6::DOUBLE AS target, count(kappa) AS metrics_evaluated FROM r
 """)
 def agreement_overall(spark: SparkSession, folder: str) -> DataFrame:
     """Mean kappa over the sources."""

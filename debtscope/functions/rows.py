@@ -12,7 +12,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``.
 
     A plain column alias may be inlined by the optimizer into a lambda and
-    then run once per array element; a lambda argument never is.
+    then run once per array element; a lambda argument never is. It also keeps
+    formulas that use a value several times from multiplying when predicates
+    are pushed through them.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -23,14 +25,17 @@ def round_to(value: Column, places: int) -> Column:
     A tie that a double holds exactly (such as 4.125) goes to the even digit,
     any other goes up, after floating noise below 1e-10 is dropped.
     """
-    scaled = value * 65536
-    exact = scaled == F.floor(scaled)
-    return F.when(exact, F.bround(value, places)).otherwise(F.round(F.round(value, 10), places))
+    return let(
+        value.cast("double"),
+        lambda v: F.when(v * 65536 == F.floor(v * 65536), F.bround(v, places)).otherwise(F.round(F.round(v, 10), places)),
+    )
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """Force a value into a range; null stays null."""
-    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
+    return let(
+        value.cast("double"), lambda v: F.when(v < low, F.lit(low)).when(v > high, F.lit(high)).otherwise(v)
+    )
 
 
 def ratio(part: Column, whole: Column, empty: float | None = 0.0) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from debtscope.functions.labels import severity
-from debtscope.functions.rows import clamp, round_to
+from debtscope.functions.rows import clamp, let, round_to
 
 # Default weight of each dimension.
 DEFAULT_WEIGHTS = {
@@ -152,13 +152,12 @@ def _upper_tail(size: Column) -> Column:
 
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution function, good to about 7e-8."""
-    tail = _upper_tail(F.abs(z))
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
+    return let(z, lambda v: F.when(v >= 0, 1 - _upper_tail(v)).otherwise(_upper_tail(-v)))
 
 
 def two_sided_p(z: Column) -> Column:
     """Two-sided p-value of a standard normal statistic."""
-    return F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z)))
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * let(F.abs(z), _upper_tail)))
 
 
 def approximate_power(d: Column, n1: Column, n2: Column) -> Column:

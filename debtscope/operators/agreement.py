@@ -61,7 +61,7 @@ def kappa(pairs: DataFrame) -> DataFrame:
     )
     n = F.col("n_samples")
     observed, expected = F.col("agreed") / n, F.col("chance") / (n.cast("double") * n)
-    raw = F.when(expected < 1, (observed - expected) / (1 - expected))
+    raw = F.when(expected < 1, F.round((observed - expected) / (1 - expected), 10))
     return (
         totals.join(margins, "metric")
         .withColumn("raw", raw)

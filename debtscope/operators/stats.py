@@ -19,7 +19,7 @@ FEATURES = ("stars", "forks", "size_kb", "ai_confidence_high", "ai_confidence_me
 
 def bonferroni(p: Column, tests: int) -> Column:
     """p-value times the number of tests, at most 1."""
-    return F.least(F.lit(1.0), p * tests)
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), p * tests))
 
 
 def group_moments(df: DataFrame, keys: Sequence[str], value: str, group: str = "cohort") -> DataFrame:

@@ -26,6 +26,11 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The score table below, landed as the study lands its file scores."""
+    return landed(spark, folder, "scored-documents", lambda: document_scores(spark, folder))
+
+
+def document_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with dimension scores, composite and a confidence label from the labels table."""
     files = document_files(spark, folder).withColumn("comments", comment_count(F.col("content")))
     measured = file_duplication(files)
