@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debtscope.catalog.registry import query
-from debtscope.catalog.sql import clamp, rnd
+from debtscope.catalog.sql import clamp, lines, rnd, strip
 from debtscope.functions.labels import severity
 from debtscope.operators.annotations import documentation_gaps, file_records, function_notes
 from debtscope.operators.complexity import file_complexity, function_complexity, function_table, with_nesting_level
 from debtscope.operators.documentation import documented_entities, documented_modules, file_documentation
 from debtscope.operators.handling import file_handling, function_handling
-from debtscope.operators.nodes import classes_of, functions_of, inside, nodes_of_type
+from debtscope.functions.text import split_lines
+from debtscope.operators.nodes import classes_of, file_outline_metrics, functions_of, imports_of, inside, nodes_of_type
+from debtscope.operators.outline import outline
 from debtscope.operators.paging import first_gaps, top_functions
-from debtscope.plans.bindings import node_files, syntax_nodes
-from debtscope.plans.scoring import combine_scores
+from debtscope.plans.bindings import document_files, node_files, syntax_nodes
+from debtscope.plans.scoring import combine_scores, score_files
+from debtscope.session import landed
 
 # Orders as functions, lines as body nodes, in the check's own terms.
 NODES = """
@@ -355,3 +358,50 @@ def function_severities(spark: SparkSession, folder: str) -> DataFrame:
     """Functions per severity of their cyclomatic number."""
     levels = function_complexity(syntax_nodes(spark, folder)).withColumn("severity", severity(F.col("cyclomatic"), "function"))
     return levels.groupBy("severity").agg(F.count("*").alias("functions"))
+
+
+def python_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents read as Python files."""
+    return document_files(spark, folder).withColumn("language", F.lit("python"))
+
+
+def document_outline(spark: SparkSession, folder: str) -> DataFrame:
+    """Outline nodes of all documents, landed once."""
+    return landed(spark, folder, "document-outline", lambda: outline(python_documents(spark, folder)))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS body, unnest(range(len(ls))) + 1 AS line FROM (SELECT doc_id, {lines("text")} AS ls FROM documents))
+SELECT doc_id AS file_id, line::BIGINT AS line, {strip("body")} AS text FROM l WHERE starts_with(body, 'The ') OR starts_with(body, 'La ')
+""")
+def import_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Statements found by node with the trimmed text of their line."""
+    files = document_files(spark, folder)
+    rows = files.select("file_id", F.posexplode(split_lines(F.col("content"))).alias("i", "body"))
+    nodes = rows.where(F.col("body").startswith("The ") | F.col("body").startswith("La ")).select(
+        "file_id", F.lit("import_statement").alias("type"), (F.col("i") + 1).alias("start_line")
+    )
+    return imports_of(nodes, files).withColumn("line", F.col("line").cast("long"))
+
+
+@query()
+def outline_node_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Outline of all documents as Python text, nodes per type."""
+    return document_outline(spark, folder).groupBy("type").agg(
+        F.count("*").alias("nodes"), F.count_distinct("file_id").alias("files")
+    )
+
+
+@query()
+def outline_file_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Basic metrics of every document from its outline."""
+    return file_outline_metrics(document_outline(spark, folder), python_documents(spark, folder))
+
+
+@query()
+def outline_file_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """All four analyzers and the composite over the outline of every document."""
+    scores, _ = score_files(python_documents(spark, folder), document_outline(spark, folder))
+    return scores.select(
+        "file_id", "complexity_score", "duplication_score", "documentation_score", "error_handling_score", "debt_score", "severity"
+    )

@@ -41,32 +41,26 @@ FROM totals
 @query(_ROLLUP)
 def repository_debt(spark: SparkSession, folder: str) -> DataFrame:
     """Texts to lines, repeated blocks, content-size score, weighted repository rollup and severity."""
-    files = file_duplication(document_files(spark, folder).withColumn("lines", line_count(F.col("content"))))
+    files = file_duplication(document_files(spark, folder))
     scored = files.withColumn("s", content_size_score(F.col("total_lines"), F.col("file_size"))).select(
         "repo",
         "file_size",
         "total_lines",
         "duplicated_lines",
-        F.col("duplication_score").alias("measured"),
+        "duplication_score",
         "s.debt_score",
         "s.complexity_score",
-        "s.duplication_score",
         "s.documentation_score",
         "s.error_handling_score",
     )
-    rollup = repository_rollup(scored)
-    measured = scored.groupBy("repo").agg(
-        F.sum("duplicated_lines").alias("duplicated_lines"),
-        (F.sum(F.col("measured") * F.col("file_size")) / F.sum("file_size")).alias("measured_duplication"),
-    )
-    return rollup.join(measured, "repo").select(
+    return repository_rollup(scored, more_sums=["duplicated_lines"]).select(
         "repo",
         "files_analyzed",
         "total_lines",
         "duplicated_lines",
         round_to(F.col("debt_score"), 6).alias("debt_score"),
         round_to(F.col("complexity_score"), 6).alias("complexity_score"),
-        round_to(F.col("measured_duplication"), 6).alias("measured_duplication"),
+        round_to(F.col("duplication_score"), 6).alias("measured_duplication"),
         "severity",
     )
 

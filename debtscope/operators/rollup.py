@@ -17,17 +17,23 @@ SEVERITY_ORDER = ("LOW", "MEDIUM", "HIGH")
 
 
 def repository_rollup(
-    files: DataFrame, repo: str = "repo", weight: str = "file_size", lines: str = "total_lines"
+    files: DataFrame,
+    repo: str = "repo",
+    weight: str = "file_size",
+    lines: str = "total_lines",
+    more_sums: Sequence[str] = (),
 ) -> DataFrame:
     """Size-weighted mean of the five scores per repository, with counts and severity."""
     size = F.coalesce(F.col(weight), F.lit(1)).cast("double")
     sums = [F.sum(F.coalesce(F.col(s), F.lit(0.0)) * size).alias(f"_{s}") for s in SCORE_COLUMNS]
     totals = files.groupBy(repo).agg(
-        F.count("*").alias("files_analyzed"), F.sum(lines).alias("total_lines"), F.sum(size).alias("_weight"), *sums
+        F.count("*").alias("files_analyzed"), F.sum(lines).alias("total_lines"), F.sum(size).alias("_weight"),
+        *sums,
+        *[F.sum(c).alias(c) for c in more_sums],
     )
     means = [F.when(F.col("_weight") > 0, F.col(f"_{s}") / F.col("_weight")).otherwise(F.lit(0.0)).alias(s) for s in SCORE_COLUMNS]
     return totals.select(
-        repo, "files_analyzed", "total_lines", *means
+        repo, "files_analyzed", "total_lines", *more_sums, *means
     ).withColumn("severity", severity(F.round(F.col("debt_score"), 10), "repository"))
 
 
