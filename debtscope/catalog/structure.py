@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debtscope.catalog.registry import query
-from debtscope.catalog.sql import clamp, lines, rnd, strip
+from debtscope.catalog.sql import DOCUMENT_LINES, clamp, lines, rnd, strip
 from debtscope.functions.labels import severity
 from debtscope.operators.annotations import documentation_gaps, file_records, function_notes
 from debtscope.operators.complexity import file_complexity, function_complexity, function_table, with_nesting_level
@@ -392,13 +392,24 @@ def outline_node_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT doc_id, text, {lines("text")} AS ls FROM documents)
+SELECT doc_id AS file_id, len(ls)::BIGINT AS line_count, 0 AS function_count, 0 AS class_count, 0 AS import_count,
+  CASE WHEN {strip("text")} = '' THEN 0 ELSE len(list_filter(ls, lambda x: contains(x, '#') OR contains(x, '//'))) END AS comment_count,
+  0 AS max_function_length, 0 AS max_class_length FROM l
+""")
 def outline_file_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Basic metrics of every document from its outline."""
     return file_outline_metrics(document_outline(spark, folder), python_documents(spark, folder))
 
 
-@query()
+@query(f"""
+WITH {DOCUMENT_LINES},
+s AS (SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE {rnd(clamp("(pct - 3) / 22"), 4)} END AS d FROM dup WHERE {strip("text")} <> ''),
+t AS (SELECT doc_id AS file_id, 0.0 AS complexity_score, d AS duplication_score, 1.0 AS documentation_score,
+  0.5 AS error_handling_score, {rnd("0.25 * d + 0.20 + 0.25 * 0.5", 4)} AS debt_score FROM s)
+SELECT *, CASE WHEN debt_score < 0.3 THEN 'low' WHEN debt_score < 0.6 THEN 'medium' ELSE 'high' END AS severity FROM t
+""")
 def outline_file_scores(spark: SparkSession, folder: str) -> DataFrame:
     """All four analyzers and the composite over the outline of every document."""
     scores, _ = score_files(python_documents(spark, folder), document_outline(spark, folder))
