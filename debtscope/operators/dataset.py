@@ -69,7 +69,8 @@ def backfill(df: DataFrame) -> DataFrame:
     for name in SCORE_COLUMNS:
         if name in df.columns:
             df = df.withColumn(name, F.coalesce(to_number(F.col(name)), F.lit(0.0)))
-    return df.fillna({"ai_confidence": "None", "severity": "LOW"}, subset=[c for c in ("ai_confidence", "severity") if c in df.columns])
+    defaults = {"ai_confidence": "None", "severity": "LOW"}
+    return df.fillna({name: value for name, value in defaults.items() if name in df.columns})
 
 
 def _filter_steps(df: DataFrame, as_of: Column) -> list[tuple[str, Column]]:
