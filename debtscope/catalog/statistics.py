@@ -191,7 +191,7 @@ SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r
 """)
 def score_size_correlation(spark: SparkSession, folder: str) -> DataFrame:
     """Rank correlation of size and score."""
-    return _rounded(spearman(scored_documents(spark, folder), "file_size", "debt_score", step_first=64.0), "rho")
+    return _rounded(spearman(scored_documents(spark, folder), "file_size", "debt_score"), "rho")
 
 
 _PARTS = {

@@ -378,10 +378,11 @@ def import_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Statements found by node with the trimmed text of their line."""
     files = document_files(spark, folder)
     rows = files.select("file_id", F.posexplode(split_lines(F.col("content"))).alias("i", "body"))
-    nodes = rows.where(F.col("body").startswith("The ") | F.col("body").startswith("La ")).select(
+    starts = F.col("body").startswith("The ") | F.col("body").startswith("La ")
+    nodes = rows.where(starts).select(
         "file_id", F.lit("import_statement").alias("type"), (F.col("i") + 1).alias("start_line")
     )
-    return imports_of(nodes, files).withColumn("line", F.col("line").cast("long"))
+    return imports_of(nodes, files, may_import=starts).withColumn("line", F.col("line").cast("long"))
 
 
 @query()

@@ -34,10 +34,8 @@ def _docstring_parents(nodes: DataFrame) -> DataFrame:
     """Python blocks and modules whose first statement is a triple-quoted string."""
     python = nodes.where("language = 'python'")
     text = F.col("text")
-    strings = (
-        python.where((F.col("type") == "string") & (text.startswith('"""') | text.startswith("'''")))
-        .select("file_id", F.col("parent_id").alias("node_id"))
-        .distinct()
+    strings = python.where((F.col("type") == "string") & (text.startswith('"""') | text.startswith("'''"))).select(
+        "file_id", F.col("parent_id").alias("node_id")
     )
     statements = python.where("type = 'expression_statement'").select("file_id", "node_id", "parent_id", "sibling_ord")
     return _leading(python, statements.join(strings, ["file_id", "node_id"], "left_semi"))

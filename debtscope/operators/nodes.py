@@ -62,11 +62,19 @@ def classes_of(nodes: DataFrame, parser_rule: bool = False) -> DataFrame:
     return named(nodes, is_class(F.col("language"), F.col("type"), parser_rule))
 
 
-def imports_of(nodes: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
-    """Import statements with their line number and the trimmed text of that line."""
+def imports_of(
+    nodes: DataFrame, files: DataFrame, content: str = "content", may_import: Column | None = None
+) -> DataFrame:
+    """Import statements with their line number and the trimmed text of that line.
+
+    ``may_import`` is a condition on ``body``, the line. Only lines that meet it
+    are shuffled; by default those with the words the grammars start imports with.
+    """
     wanted = nodes_of_type(nodes, *IMPORT_TYPES).select("file_id", F.col("start_line").alias("line"))
     lines = files.select("file_id", F.posexplode(split_lines(F.col(content))).alias("at", "body"))
-    return wanted.join(lines.withColumn("line", F.col("at") + 1).drop("at"), ["file_id", "line"]).select(
+    keyword = F.col("body").rlike(r"\b(?:import|from|require)\b")
+    kept = lines.where(keyword if may_import is None else may_import).withColumn("line", F.col("at") + 1).drop("at")
+    return wanted.join(kept, ["file_id", "line"]).select(
         "file_id", "line", strip(F.col("body")).alias("text")
     )
 

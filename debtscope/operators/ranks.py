@@ -1,7 +1,8 @@
 """Ranks and medians from value histograms.
 
 Raw rows are first counted per distinct value, which Spark combines inside
-each task. Only distinct values are then put in order, block by block.
+each task, so a value that a third of all rows share is one row afterwards.
+Only distinct values are then put in order, block by block.
 """
 
 from __future__ import annotations
@@ -14,47 +15,46 @@ from pyspark.sql import functions as F
 from debtscope.operators.running import running
 
 
+def _with_cuts(hist: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:
+    """Add ``parts`` cut points of each group's distinct values, so that blocks are of like size."""
+    shares = [i / parts for i in range(1, parts)]
+    cuts = hist.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), shares, 10000).alias("_cuts"))
+    return hist.join(cuts, list(keys)) if keys else hist.withColumn("_cuts", cuts.scalar())
+
+
+def _ordered(hist: DataFrame, keys: Sequence[str], value: str, names: Sequence[str], parts: int) -> DataFrame:
+    """Running sums of the named counts over the values of each group.
+
+    Cut points only balance the blocks; results do not depend on them.
+    """
+    block = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    spread = _with_cuts(hist, keys, value, parts)
+    return running(spread, keys, block, [value], sums={f"up_to_{n}": F.col(n) for n in names}).drop("_cuts")
+
+
 def ranked_values(
-    df: DataFrame, keys: Sequence[str], value: str, counts: Mapping[str, Column], step: float = 1e-4
+    df: DataFrame, keys: Sequence[str], value: str, counts: Mapping[str, Column], parts: int = 64
 ) -> DataFrame:
-    """Distinct values per group with their counts, rows before them and average rank.
+    """Distinct values per group with their counts, rows up to them and average rank.
 
     ``counts`` maps names to row conditions; the column ``n`` counts all rows.
-    ``step`` is the width of the ordering blocks and changes speed only.
     """
     hist = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count("*").alias("n"), *[F.count_if(rule).alias(name) for name, rule in counts.items()])
     )
-    summed = running(
-        hist,
-        keys,
-        F.floor(F.col(value) / step),
-        [value],
-        sums={f"up_to_{name}": F.col(name) for name in ("n", *counts)},
-    )
+    summed = _ordered(hist, keys, value, ["n", *counts], parts)
     return summed.withColumn("rank", F.col("up_to_n") - F.col("n") + (F.col("n") + 1) / 2)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, blocks: int = 4096) -> DataFrame:
-    """Exact median per group without holding a group in one task.
-
-    Values are counted, then cut into equal-width blocks between the group's
-    extremes, and each block is put in order on its own.
-    """
-    rows = df.where(F.col(value).isNotNull())
-    hist = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    limits = rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("rows"))
-    if keys:
-        spread = hist.join(limits, list(keys))
-    else:
-        spread = hist.withColumns({c: limits.select(c).scalar() for c in ("low", "high", "rows")})
-    width = (F.col("high") - F.col("low")) / blocks
-    block = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("low")) / width), F.lit(blocks - 1))).otherwise(F.lit(0))
-    summed = running(spread, keys, block, [value], sums={"up_to": F.col("n")})
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, parts: int = 64) -> DataFrame:
+    """Exact median per group without holding a group in one task."""
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    totals = hist.groupBy(*keys).agg(F.sum("n").alias("rows"))
+    summed = _ordered(hist, keys, value, ["n"], parts)
+    counted = summed.join(totals, list(keys)) if keys else summed.withColumn("rows", totals.scalar())
     lower, upper = F.floor((F.col("rows") + 1) / 2), F.ceil((F.col("rows") + 1) / 2)
-    holds = lambda rank: (rank > F.col("up_to") - F.col("n")) & (rank <= F.col("up_to"))
-    return summed.groupBy(*keys).agg(
-        ((F.max(F.when(holds(lower), F.col(value))) + F.max(F.when(holds(upper), F.col(value)))) / 2).alias("median")
-    )
+    first, last = F.col("up_to_n") - F.col("n"), F.col("up_to_n")
+    pick = lambda rank: F.max(F.when((rank > first) & (rank <= last), F.col(value)))
+    return counted.groupBy(*keys).agg(((pick(lower) + pick(upper)) / 2).alias("median"))

@@ -78,7 +78,7 @@ def value_share(df: DataFrame, column: str) -> DataFrame:
     """Share of each value among all that have one."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.select(column, "n", round_to(F.col("n") / total, 6).alias("share"))
+    return counts.select(column, "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 def count_map(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:

@@ -155,7 +155,7 @@ def paired_score_test(pairs: DataFrame, first: str, second: str, tests: int = 3)
     )
 
 
-def spearman(df: DataFrame, first: str, second: str, step_first: float = 1.0, step_second: float = 1e-4) -> DataFrame:
+def spearman(df: DataFrame, first: str, second: str) -> DataFrame:
     """Rank correlation of two columns with average ranks.
 
     Equal pairs are counted before ranks are joined, so a frequent value is one
@@ -163,8 +163,8 @@ def spearman(df: DataFrame, first: str, second: str, step_first: float = 1.0, st
     """
     rows = df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
     pairs = rows.groupBy(first, second).agg(F.count("*").alias("weight"))
-    rank_of = lambda c, step, name: ranked_values(rows, [], c, {}, step).select(c, F.col("rank").alias(name))
-    ranked = pairs.join(rank_of(first, step_first, "rx"), first).join(rank_of(second, step_second, "ry"), second)
+    rank_of = lambda c, name: ranked_values(rows, [], c, {}).select(c, F.col("rank").alias(name))
+    ranked = pairs.join(rank_of(first, "rx"), first).join(rank_of(second, "ry"), second)
     w, x, y = F.col("weight"), F.col("rx"), F.col("ry")
     centre = (rows.agg(F.count("*")).scalar() + 1) / 2
     centred = ranked.withColumn("dx", x - centre).withColumn("dy", y - centre)
