@@ -13,6 +13,7 @@ from debtscope.operators.provenance import (
     commit_rollup,
     control_columns,
     control_repositories,
+    flatten_search_hits,
     latest_commits,
     mark_commits,
     pending_queries,
@@ -183,3 +184,29 @@ def control_quotas(spark: SparkSession, folder: str) -> DataFrame:
     """Equal share per query, each user once, cut to the total."""
     events = table(spark, folder, "events").select("event_type", "event_id", "user_id")
     return control_quota(events, "event_type", ["event_id"], queries=5, total=20, key="user_id")
+
+
+@query(f"""
+WITH {COMMITS}
+SELECT 'owner/' || conv_id AS name, CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END AS stars, 'main' AS default_branch,
+  false AS is_private, conv_id || '-' || turn AS ai_commit_sha, marker_count AS ai_marker_count, confidence AS ai_confidence, signals
+FROM graded
+""")
+def flattened_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Search hits flattened to repository rows with defaults."""
+    none = lambda kind: F.lit(None).cast(kind)
+    stars = F.when(F.col("turn") % 2 == 0, F.col("turn"))
+    repository = F.struct(
+        F.concat(F.lit("owner/"), F.col("repo").cast("string")).alias("full_name"),
+        *[none("string").alias(c) for c in ("html_url", "description", "language", "created_at", "updated_at", "default_branch")],
+        stars.alias("stargazers_count"),
+        *[none("long").alias(c) for c in ("forks_count", "size")],
+        none("boolean").alias("private"),
+    )
+    commit = F.struct(F.col("message"), F.struct(F.col("committed_at").cast("string").alias("date")).alias("committer"))
+    hits = conversation_commits(spark, folder).select("sha", commit.alias("commit"), repository.alias("repository"))
+    flat = flatten_search_hits(hits, PROSE_PATTERNS, CERTAIN)
+    return flat.select(
+        "name", "stars", "default_branch", "is_private", "ai_commit_sha", "ai_marker_count", "ai_confidence",
+        F.array_join("ai_signals", " | ").alias("signals"),
+    )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from debtscope.functions.exact import RANK_SUM_LIMIT, SIGNED_RANK_LIMIT, rank_sum_p, signed_rank_p
 from debtscope.functions.labels import effect_words
 from debtscope.functions.rows import round_to
 from debtscope.functions.scores import DEFAULT_WEIGHTS, approximate_power, two_sided_p
@@ -52,7 +53,10 @@ def plain_effect() -> Column:
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str = "cohort") -> DataFrame:
-    """U statistic of the first group, tie-corrected z with continuity correction and two-sided p."""
+    """U statistic of the first group, tie-corrected z with continuity correction and two-sided p.
+
+    Two untied groups of at most eight rows get the exact p.
+    """
     ranked = ranked_values(df, keys, value, {"n1": F.col(group) == "ai", "n2": F.col(group) == "human"})
     n, rank = F.col("n"), F.col("rank")
     sums = ranked.groupBy(*keys).agg(
@@ -66,11 +70,15 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str = "c
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2
     variance = product / 12 * (total + 1 - F.col("ties") / (total * (total - 1)))
     distance = F.greatest(F.abs(F.col("statistic") - product / 2) - 0.5, F.lit(0.0))
+    small = (F.col("ties") == 0) & F.col("n_ai").between(1, RANK_SUM_LIMIT) & F.col("n_human").between(1, RANK_SUM_LIMIT)
     return (
         sums.withColumn("statistic", u)
         .withColumn("sigma", F.sqrt(variance))
         .withColumn("z", F.when(F.col("sigma") > 0, distance / F.col("sigma")))
-        .withColumn("p_value", two_sided_p(F.col("z")))
+        .withColumn(
+            "p_value",
+            F.when(small, rank_sum_p(F.col("statistic"), F.col("n_ai"), F.col("n_human"))).otherwise(two_sided_p(F.col("z"))),
+        )
         .select(*keys, "n_ai", "n_human", "statistic", "z", "p_value")
     )
 
@@ -95,7 +103,10 @@ def dimension_tests(df: DataFrame) -> DataFrame:
 
 
 def wilcoxon(pairs: DataFrame, first: str, second: str) -> DataFrame:
-    """Signed-rank test on paired columns: zero differences dropped, ties averaged."""
+    """Signed-rank test on paired columns: zero differences dropped, ties averaged.
+
+    Up to fifty untied differences get the exact p.
+    """
     gap = F.round(F.col(first) - F.col(second), 10)
     signed = pairs.select(gap.alias("gap")).where("gap <> 0").select(F.abs("gap").alias("size"), (F.col("gap") > 0).alias("up"))
     ranked = ranked_values(signed, [], "size", {"n_up": F.col("up"), "n_down": ~F.col("up")})
@@ -108,10 +119,11 @@ def wilcoxon(pairs: DataFrame, first: str, second: str) -> DataFrame:
     )
     n = F.col("n")
     variance = (n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24
+    small = (F.col("ties") == 0) & n.between(1, SIGNED_RANK_LIMIT)
     return (
         sums.withColumn("statistic", F.least("w_plus", "w_minus"))
         .withColumn("z", F.when(variance > 0, (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(variance)))
-        .withColumn("p_value", two_sided_p(F.col("z")))
+        .withColumn("p_value", F.when(small, signed_rank_p(F.col("statistic"), n)).otherwise(two_sided_p(F.col("z"))))
         .select(n.cast("long").alias("n_used"), "w_plus", "w_minus", "statistic", "z", "p_value")
     )
 

@@ -49,6 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _LANDED: dict[tuple[str, str, str], str] = {}
 
 
@@ -61,7 +66,7 @@ def landed(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(folder), name)
     if key not in _LANDED:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/landed-{name}-{uuid.uuid4().hex}"
+        path = work_path(spark, f"landed-{name}")
         build().write.parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(_LANDED[key])

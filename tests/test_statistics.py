@@ -32,6 +32,26 @@ def test_signed_ranks(spark):
     assert (row.n_used, row.w_plus, row.w_minus, row.statistic) == (4, 7.0, 3.0, 3.0)
 
 
+def test_exact_p_of_small_samples(spark):
+    def p_of(a, b):
+        df = spark.createDataFrame([("d", v, "ai") for v in a] + [("d", v, "human") for v in b], "dim string, v double, cohort string")
+        return mann_whitney(df, ["dim"], "v").first().p_value
+
+    assert abs(p_of([9.0], [1.0, 2.0, 3.0, 4.0]) - 0.4) < 1e-12
+    assert abs(p_of([3.5], [1.0, 2.0, 3.0, 4.0]) - 0.8) < 1e-12
+    a, b = [1.0, 5.0, 6.0, 7.5], [2.0, 3.0, 4.0, 8.0, 9.0]
+    u = sum(x > y for x in a for y in b)
+    extreme = max(u, 20 - u)
+    orders = [sum(p) - 10 for p in itertools.combinations(range(1, 10), 4)]
+    assert abs(p_of(a, b) - min(1.0, 2 * sum(x >= extreme for x in orders) / len(orders))) < 1e-12
+
+    gaps = spark.createDataFrame([(float(i), 0.0) for i in (1, 2, 3, 4)], "a double, b double")
+    assert wilcoxon(gaps, "a", "b").first().p_value == 0.125
+    signs = [sum(r for r, s in zip((1, 2, 3, 4), m, strict=True) if s) for m in itertools.product((0, 1), repeat=4)]
+    mixed = spark.createDataFrame([(1.0, 0.0), (2.0, 0.0), (0.0, 3.0), (4.0, 0.0)], "a double, b double")
+    assert wilcoxon(mixed, "a", "b").first().p_value == 2 * sum(x <= 3 for x in signs) / 16
+
+
 def test_rank_correlation(spark):
     rng = random.Random(2)
     data = [(rng.randint(0, 20), round(rng.random(), 2)) for _ in range(200)]
