@@ -27,7 +27,8 @@ def _ordered(hist: DataFrame, keys: Sequence[str], value: str, names: Sequence[s
 
     Cut points only balance the blocks; results do not depend on them.
     """
-    block = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    # Never null, or the join on it would filter the raw rows by this expression.
+    block = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(value))), F.lit(0))
     spread = _with_cuts(hist, keys, value, parts)
     return running(spread, keys, block, [value], sums={f"up_to_{n}": F.col(n) for n in names}).drop("_cuts")
 

@@ -75,6 +75,19 @@ def syntax_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return landed(spark, folder, "syntax-nodes", lambda: order_nodes(spark, folder))
 
 
+def placed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with the number of their lines and their first position in the customer's file."""
+    sizes = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("m"))
+    sized = table(spark, folder, "orders").join(sizes, "o_orderkey", "left").na.fill(0, ["m"])
+    return running(
+        sized,
+        ["o_custkey"],
+        F.floor(F.col("o_orderkey") / 4096),
+        ["o_orderkey"],
+        sums={"up_to": F.col("m") + 5, "ordinal": F.lit(1)},
+    ).withColumn("base", F.col("up_to") - F.col("m") - 1)
+
+
 def order_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Syntax nodes made of orders and their lines.
 
@@ -83,16 +96,7 @@ def order_nodes(spark: SparkSession, folder: str) -> DataFrame:
     that nest hold all later lines of their order.
     """
     lines = table(spark, folder, "lineitem")
-    orders = table(spark, folder, "orders")
-    sizes = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("m"))
-    sized = orders.join(sizes, "o_orderkey", "left").na.fill(0, ["m"])
-    placed = running(
-        sized,
-        ["o_custkey"],
-        F.floor(F.col("o_orderkey") / 4096),
-        ["o_orderkey"],
-        sums={"up_to": F.col("m") + 5, "ordinal": F.lit(1)},
-    ).withColumn("base", F.col("up_to") - F.col("m") - 1)
+    placed = landed(spark, folder, "placed-orders", lambda: placed_orders(spark, folder))
 
     def node(at: Column, parent: Column, ord_: Column, post: Column, kind: Column, text: Column, end: Column) -> Column:
         return F.struct(
