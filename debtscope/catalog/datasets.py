@@ -195,7 +195,7 @@ def verification_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-SELECT repo_id, '' AS name, url, language, size_kb, 0.0 AS ai_commit_ratio, ai_confidence AS ai_confidence_auto, 0 AS evidence, TRUE AS blank
+SELECT repo_id, '' AS name, url, language, size_kb, 0.0::DOUBLE AS ai_commit_ratio, ai_confidence AS ai_confidence_auto, 0 AS evidence, TRUE AS blank
 FROM (WITH {REPOS_SQL} SELECT * FROM repos)
 """)
 def review_entries(spark: SparkSession, folder: str) -> DataFrame:

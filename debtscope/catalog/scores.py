@@ -44,7 +44,7 @@ def composite_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH {SCORED}
-SELECT doc_id AS file_id, 0.5 AS complexity_weight, {rnd("0.5 * complexity_score", 4)} AS complexity_part,
+SELECT doc_id AS file_id, 0.5::DOUBLE AS complexity_weight, {rnd("0.5 * complexity_score", 4)} AS complexity_part,
   {rnd("0.25 * duplication_score", 4)} AS duplication_part, {rnd("0.125 * documentation_score", 4)} AS documentation_part,
   {rnd("0.125 * (1 - error_handling_score)", 4)} AS error_handling_part
 FROM scored

@@ -97,7 +97,7 @@ measured AS (
   FROM dup
 ),
 documented AS (
-  SELECT *, {rnd(clamp(f"(1 - {_COVERAGE} - 0.2) / 0.7"), 4)} AS documentation_score, 0.5 AS error_handling_score
+  SELECT *, {rnd(clamp(f"(1 - {_COVERAGE} - 0.2) / 0.7"), 4)} AS documentation_score, 0.5::DOUBLE AS error_handling_score
   FROM measured
 ),
 scored AS (

@@ -52,9 +52,9 @@ body AS (
   FROM ranked JOIN placed p ON p.o_orderkey = l_orderkey
 ),
 levels AS (
-  SELECT *, CASE WHEN is_function THEN 1 ELSE 0 END + coalesce(sum(CASE WHEN holds THEN 1 ELSE 0 END) OVER (
+  SELECT *, (CASE WHEN is_function THEN 1 ELSE 0 END + coalesce(sum(CASE WHEN holds THEN 1 ELSE 0 END) OVER (
       PARTITION BY file_id, function_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-    + CASE WHEN nesting THEN 1 ELSE 0 END AS level
+    + CASE WHEN nesting THEN 1 ELSE 0 END)::BIGINT AS level
   FROM body
 ),
 fn AS (
@@ -395,9 +395,9 @@ def outline_node_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH l AS (SELECT doc_id, text, {lines("text")} AS ls FROM documents)
-SELECT doc_id AS file_id, len(ls)::BIGINT AS line_count, 0 AS function_count, 0 AS class_count, 0 AS import_count,
+SELECT doc_id AS file_id, len(ls)::BIGINT AS line_count, 0::BIGINT AS function_count, 0::BIGINT AS class_count, 0::BIGINT AS import_count,
   CASE WHEN {strip("text")} = '' THEN 0 ELSE len(list_filter(ls, lambda x: contains(x, '#') OR contains(x, '//'))) END AS comment_count,
-  0 AS max_function_length, 0 AS max_class_length FROM l
+  0::BIGINT AS max_function_length, 0::BIGINT AS max_class_length FROM l
 """)
 def outline_file_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Basic metrics of every document from its outline."""
@@ -407,8 +407,8 @@ def outline_file_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 WITH {DOCUMENT_LINES},
 s AS (SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE {rnd(clamp("(pct - 3) / 22"), 4)} END AS d FROM dup WHERE {strip("text")} <> ''),
-t AS (SELECT doc_id AS file_id, 0.0 AS complexity_score, d AS duplication_score, 1.0 AS documentation_score,
-  0.5 AS error_handling_score, {rnd("0.25 * d + 0.20 + 0.25 * 0.5", 4)} AS debt_score FROM s)
+t AS (SELECT doc_id AS file_id, 0.0::DOUBLE AS complexity_score, d AS duplication_score, 1.0::DOUBLE AS documentation_score,
+  0.5::DOUBLE AS error_handling_score, {rnd("0.25 * d + 0.20 + 0.25 * 0.5", 4)} AS debt_score FROM s)
 SELECT *, CASE WHEN debt_score < 0.3 THEN 'low' WHEN debt_score < 0.6 THEN 'medium' ELSE 'high' END AS severity FROM t
 """)
 def outline_file_scores(spark: SparkSession, folder: str) -> DataFrame:
