@@ -34,16 +34,21 @@ def _ordered(hist: DataFrame, keys: Sequence[str], value: str, names: Sequence[s
 
 
 def ranked_values(
-    df: DataFrame, keys: Sequence[str], value: str, counts: Mapping[str, Column], parts: int = 64
+    df: DataFrame, keys: Sequence[str], value: str, counts: Mapping[str, Column], parts: int = 64, weight: str | None = None
 ) -> DataFrame:
     """Distinct values per group with their counts, rows up to them and average rank.
 
     ``counts`` maps names to row conditions; the column ``n`` counts all rows.
+    A ``weight`` column tells how many rows an input row stands for.
     """
+    each = F.col(weight) if weight else F.lit(1)
     hist = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count("*").alias("n"), *[F.count_if(rule).alias(name) for name, rule in counts.items()])
+        .agg(
+            F.sum(each).alias("n"),
+            *[F.sum(F.when(rule, each).otherwise(0)).alias(name) for name, rule in counts.items()],
+        )
     )
     summed = _ordered(hist, keys, value, ["n", *counts], parts)
     return summed.withColumn("rank", F.col("up_to_n") - F.col("n") + (F.col("n") + 1) / 2)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from debtscope.functions.exact import RANK_SUM_LIMIT, SIGNED_RANK_LIMIT, rank_sum_p, signed_rank_p
 from debtscope.functions.labels import effect_words
-from debtscope.functions.rows import round_to
 from debtscope.functions.scores import DEFAULT_WEIGHTS, approximate_power, two_sided_p
 from debtscope.operators.ranks import exact_median, ranked_values
 from debtscope.schemas import DIMENSION_COLUMNS
@@ -107,9 +106,11 @@ def wilcoxon(pairs: DataFrame, first: str, second: str) -> DataFrame:
 
     Up to fifty untied differences get the exact p.
     """
-    gap = F.round(F.col(first) - F.col(second), 10)
-    signed = pairs.select(gap.alias("gap")).where("gap <> 0").select(F.abs("gap").alias("size"), (F.col("gap") > 0).alias("up"))
-    ranked = ranked_values(signed, [], "size", {"n_up": F.col("up"), "n_down": ~F.col("up")})
+    # Equal pairs are counted before the differences are rounded and ranked.
+    counted = pairs.groupBy(F.col(first).alias("a"), F.col(second).alias("b")).agg(F.count("*").alias("rows"))
+    gaps = counted.select(F.round(F.col("a") - F.col("b"), 10).alias("gap"), "rows").where("gap <> 0")
+    signed = gaps.select(F.abs("gap").alias("size"), (F.col("gap") > 0).alias("up"), "rows")
+    ranked = ranked_values(signed, [], "size", {"n_up": F.col("up"), "n_down": ~F.col("up")}, weight="rows")
     size = F.col("n")
     sums = ranked.agg(
         F.sum("n").cast("double").alias("n"),

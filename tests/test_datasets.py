@@ -213,3 +213,14 @@ def test_study_from_datasets_to_report(spark):
     report = {(r.test, r.group, r.metric): r.value for r in study_report(ready).collect()}
     assert report[("rq1", "debt_score", "n_ai")] == 20.0
     assert ("rq2", "complexity_score", "p_value") in report and report[("descriptive", "human", "total_repos")] == 20.0
+
+
+def test_review_document_holds_blank_entries(repositories):
+    from debtscope.operators.annotations import review_document
+
+    sample = repositories.limit(3).withColumns({"name": F.lit("n"), "ai_commit_ratio": F.lit(None).cast("double")})
+    row = review_document(sample, "2024-01-01T00:00:00").first()
+    assert row.metadata.total_repositories == 3 and row.rubric["3"] == "Severe"
+    entry = row.repositories[0]
+    assert entry.ai_commit_ratio == 0.0 and entry.verification.ai_identification_evidence == []
+    assert entry.verification.overall_debt_severity is None
