@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+import debtscope
 from debtscope.session import work_path
 
 #: The six white-space characters that separate words.
@@ -57,3 +63,25 @@ def with_columns(df: DataFrame, added: Iterable[tuple[str, Column]], drop: Itera
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as Spark sends a Python file."""
+    root = Path(debtscope.__file__).parent
+    if spark.sparkContext.applicationId in _SHIPPED or not root.is_dir():
+        return
+    handle, name = tempfile.mkstemp(prefix="debtscope-", suffix=".zip")
+    with os.fdopen(handle, "wb") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(name)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
+def in_arrow(df: DataFrame, scan: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on every executor."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(scan, schema)
