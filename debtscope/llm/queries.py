@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debtscope.llm import sql
 from debtscope.llm.chat import chat_digest, chat_windows
 from debtscope.llm.decontamination import find_leaks
+from debtscope.llm.language_id import identify, learn_languages
 from debtscope.llm.line_dedup import drop_shared_lines
 from debtscope.llm.mixing import plan_mix
+from debtscope.llm.quality_model import learn_quality, score_quality, word_contexts, word_vectors
 from debtscope.llm.quality_rules import clean_lines
 from debtscope.llm.simhash import near_copies
 from debtscope.llm.token_files import read_token_files, write_token_files
@@ -67,6 +69,27 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """Documents that learning must not see."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op7_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    vectors = word_vectors(word_contexts(docs))
+    net = learn_quality(docs, table(spark, folder, "labels").where(~held_out()), vectors)
+    scored = score_quality(docs, vectors, net)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = learn_languages(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = find_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
@@ -81,6 +104,6 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_windows, op3_mix_sources, op4_token_files, op5_simhash_groups, op6_quality_rules, op9_benchmark_leaks, op10_line_dedup)
+    f.__name__: f for f in (op2_chat_windows, op3_mix_sources, op4_token_files, op5_simhash_groups, op6_quality_rules, op7_quality_scores, op8_language_id, op9_benchmark_leaks, op10_line_dedup)
 }
 ORACLES: dict[str, str] = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}
