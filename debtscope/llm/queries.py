@@ -16,6 +16,7 @@ from debtscope.llm.mixing import plan_mix
 from debtscope.llm.quality_model import learn_quality, score_quality, word_contexts, word_vectors
 from debtscope.llm.quality_rules import clean_lines
 from debtscope.llm.simhash import near_copies
+from debtscope.llm.suffix_dedup import drop_repeats
 from debtscope.llm.token_files import read_token_files, write_token_files
 from debtscope.session import table, work_path
 
@@ -23,6 +24,12 @@ from debtscope.session import table, work_path
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes that repeats of 200 bytes cover."""
+    out = drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of all conversations, read back from their formatted windows."""
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -104,6 +111,6 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_windows, op3_mix_sources, op4_token_files, op5_simhash_groups, op6_quality_rules, op7_quality_scores, op8_language_id, op9_benchmark_leaks, op10_line_dedup)
+    f.__name__: f for f in (op1_suffix_dedup, op2_chat_windows, op3_mix_sources, op4_token_files, op5_simhash_groups, op6_quality_rules, op7_quality_scores, op8_language_id, op9_benchmark_leaks, op10_line_dedup)
 }
 ORACLES: dict[str, str] = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from debtscope.llm.components import components
-from debtscope.llm.shared import in_arrow, same, stored, with_columns
+from debtscope.llm.shared import in_arrow, same, stored
 
 _LOW = (1 << 31) - 1
 #: Parity checks of the Hamming code of length 31: place p (from 1) takes part in check k if bit k of p is set.
@@ -130,10 +130,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows with equal ids in a group one stays, the one with the smallest text.
     """
-    groups = near_copies(docs, id_col, text_col, **options)
-    chosen = groups.where(same(F.col("doc_id"), F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(chosen, same(docs[id_col], chosen["doc_id"]), "left_semi")
-    if groups.count() == groups.select("doc_id").distinct().count():
+    groups = stored(near_copies(docs, id_col, text_col, **options).select("doc_id", "component_id"), "near-groups")
+    chosen = groups.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_chosen"))
+    kept = docs.join(chosen.distinct(), same(F.col(f"`{id_col}`"), F.col("_chosen")), "left_semi")
+    if chosen.count() == chosen.distinct().count():
         return kept
-    once = kept.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_row"))
-    return with_columns(once.select("_row.*"), [])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min_by(row, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_row"))
+    return once.select("_row.*")
