@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from debtscope.llm.shared import same, text_of
+from debtscope.llm.shared import stored, text_of
 from debtscope.operators.running import running
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -45,9 +45,10 @@ def chat_windows(
     ``turns`` has ``conv_id, turn, role, text``; other columns are ignored. The
     leading system turn of a conversation opens each of its windows. Prefix
     sums of tokens (``overhead`` more per turn for its marks) cut the other
-    turns into spans: a turn belongs to the span in which it starts, and one
-    that would overflow its span stands alone. Each window repeats turns before
-    its first as far as ``history`` tokens and the budget reach. A window
+    turns into spans, as long as the budget leaves beside the system turn and
+    ``history``: a turn belongs to the span in which it starts, and one that
+    would overflow its span stands alone. Each window repeats turns before its
+    first as far as ``history`` tokens and the budget reach. A window
     passes the budget only where the system turn and one single turn do.
 
     Returns ``conv_id, window, formatted, mask, turns, n_tokens``. ``mask`` has
@@ -59,75 +60,72 @@ def chat_windows(
 
     No conversation is put in order in one task: stretches of turn numbers are
     summed first, and a window gathers no more than its budget or one turn.
+    Turns with their sums are stored once; what goes where is worked out from
+    numbers, and texts move again only to their windows.
     """
     rows = turns.select(
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         text_of("text").alias("text"),
-    ).withColumn("_c", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
+    ).withColumn("_c", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none")))
     rows = rows.withColumn("_tokens", token_count(F.col("text")) + overhead)
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     stretch = F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(2**62)))
-    counted = running(rows, ["_c"], stretch, order, sums={"_nth": F.lit(1).cast("long")})
+    sums = {"_nth": F.lit(1).cast("long"), "_upto": F.col("_tokens")}
+    said = stored(running(rows, ["_c"], stretch, order, sums=sums), "chat-turns")
 
+    # Numbers only from here to the list of which turn goes into which window.
     leads = (F.col("_nth") == 1) & (F.col("role") == "system")
-    system = counted.where(leads).select(F.col("_c").alias("_sc"), F.struct(F.lit(0).cast("long").alias("nth"), "role", "text").alias("_system"), F.col("_tokens").alias("_st"))
-    placed = running(counted, ["_c"], F.floor(F.col("_nth") / STRETCH), [F.col("_nth")], sums={"_upto": F.when(leads, 0).otherwise(F.col("_tokens"))})
-    spans = placed.join(system, F.col("_c") == F.col("_sc"), "left").withColumn("_room", F.greatest(F.lit(budget) - F.coalesce("_st", F.lit(0)), F.lit(1)))
-
-    begins = F.col("_upto") - F.col("_tokens")
-    alone = F.col("_upto") > (F.col("_cell") + 1) * F.col("_room")
+    numbers = said.select("_c", "_nth", "_tokens", "_upto", leads.alias("_lead"))
+    opens = said.where(leads).select(F.col("_c").alias("_sc"), F.col("_tokens").alias("_st"))
+    room = F.greatest(F.lit(budget) - F.coalesce("_st", F.lit(0)), F.lit(1))
     spans = (
-        spans.withColumn("_lead", leads)
-        .withColumn("_cell", F.floor(F.when(F.col("_lead"), 0).otherwise(begins) / F.col("_room")))
-        .withColumn("_window", F.when(F.col("_lead"), -1).otherwise(F.col("_cell") * 2 + alone.cast("long")))
+        numbers.join(opens, F.col("_c") == F.col("_sc"), "left")
+        .withColumn("_room", room)
+        .withColumn("_span", F.greatest(F.col("_room") - history, F.lit(1)))
+        .withColumn("_upto", F.col("_upto") - F.coalesce("_st", F.lit(0)))
+        .withColumn("_from", F.col("_upto") - F.col("_tokens"))
+        .withColumn("_cell", F.floor(F.col("_from") / F.col("_span")))
+        .withColumn("_window", F.col("_cell") * 2 + (F.col("_upto") > (F.col("_cell") + 1) * F.col("_span")).cast("long"))
     )
-    # A conversation of nothing but its system turn is one window.
-    heads = (
-        spans.groupBy("_c", "_cell", "_window")
-        .agg(F.min(F.when(~F.col("_lead"), begins)).alias("_from"), F.max("_upto").alias("_till"), F.max("_room").alias("_room"), F.max("_lead").alias("_only_lead"))
-        .where(~F.col("_only_lead"))
-        .select(F.col("_c").alias("_hc"), F.col("_cell").alias("_hcell"), F.col("_window").alias("_hw"), "_from",
-                F.greatest(F.least(F.lit(history), F.col("_room") - (F.col("_till") - F.col("_from"))), F.lit(0)).alias("_reach"))
-    )
-
-    piece = F.struct(F.col("_nth").alias("nth"), "role", "text")
-    new = spans.where(~F.col("_lead")).select("_c", "conv_id", "_window", F.lit(True).alias("_new"), piece.alias("_piece"), "_tokens", "_system", "_st")
-    reach = spans.where(~F.col("_lead")).withColumn(
-        "_near", F.explode(F.sequence(F.col("_cell"), F.floor((begins + history) / F.col("_room"))))
+    turns_of = spans.where(~F.col("_lead"))
+    heads = turns_of.groupBy("_c", "_cell", "_window").agg(
+        F.min("_from").alias("_first"), F.max("_upto").alias("_till"), F.max("_room").alias("_room")
     )
-    old = reach.join(
+    reach = F.greatest(F.least(F.lit(history), F.col("_room") - (F.col("_till") - F.col("_first"))), F.lit(0))
+    heads = heads.select(F.col("_c").alias("_hc"), F.col("_cell").alias("_hcell"), F.col("_window").alias("_hw"), "_first", reach.alias("_reach"))
+    old = turns_of.drop("_window").withColumn(
+        "_near", F.explode(F.sequence(F.col("_cell"), F.floor((F.col("_from") + history) / F.col("_span"))))
+    ).join(
         heads,
         (F.col("_c") == F.col("_hc"))
         & (F.col("_near") == F.col("_hcell"))
-        & (F.col("_upto") <= F.col("_from"))
-        & (F.col("_upto") - F.col("_tokens") >= F.col("_from") - F.col("_reach")),
-    ).select("_c", "conv_id", F.col("_hw").alias("_window"), F.lit(False).alias("_new"), piece.alias("_piece"), "_tokens", "_system", "_st")
-    single = counted.groupBy("_c").agg(F.max("_nth").alias("_n"))
-    lone = (
+        & (F.col("_upto") <= F.col("_first"))
+        & (F.col("_from") >= F.col("_first") - F.col("_reach")),
+    )
+    new, seen = F.lit(True).alias("_new"), F.lit(False).alias("_new")
+    first_of = heads.groupBy("_hc").agg(F.min("_hw").alias("_w0"))
+    leading = (
         spans.where("_lead")
-        .join(single.where("_n = 1").select(F.col("_c").alias("_lc")), F.col("_c") == F.col("_lc"))
-        .select("_c", "conv_id", F.lit(0).cast("long").alias("_window"), F.lit(False).alias("_new"), F.lit(None).cast(new.schema["_piece"].dataType).alias("_piece"), F.lit(0).cast("long").alias("_tokens"), "_system", "_st")
-    )
+        .select("_c", "_nth")
+        .join(heads.select("_hc", "_hw"), F.col("_c") == F.col("_hc"), "left")
+        .join(first_of.withColumnRenamed("_hc", "_fc"), F.col("_c") == F.col("_fc"), "left")
+        .select("_c", "_nth", F.coalesce("_hw", F.lit(0)).cast("long").alias("_window"), F.coalesce(F.col("_hw") == F.col("_w0"), F.lit(True)).alias("_new"))
+    )
+    places = (
+        turns_of.select("_c", "_nth", "_window", new)
+        .unionByName(old.select("_c", "_nth", F.col("_hw").alias("_window"), seen))
+        .unionByName(leading)
+        .select(F.col("_c").alias("_pc"), F.col("_nth").alias("_pn"), "_window", "_new")
+    )
 
-    gathered = (
-        new.unionByName(old)
-        .unionByName(lone)
+    piece = F.struct(F.col("_nth").alias("nth"), F.col("_new").alias("new"), "role", "text")
+    laid = (
+        said.join(places, (F.col("_c") == F.col("_pc")) & (F.col("_nth") == F.col("_pn")))
         .groupBy("_c", "_window")
-        .agg(
-            F.first("conv_id").alias("conv_id"),
-            F.first("_system").alias("_system"),
-            F.sum("_tokens").alias("_sum"),
-            F.max("_st").alias("_st"),
-            F.sort_array(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct(F.col("_piece.nth").alias("nth"), F.col("_new").alias("new"), F.col("_piece.role").alias("role"), F.col("_piece.text").alias("text"))))).alias("_pieces"),
-        )
-    )
-    opening = F.when(
-        F.col("_system").isNotNull(),
-        F.array(F.struct(F.lit(0).cast("long").alias("nth"), (F.col("_window") <= 0).alias("new"), F.col("_system.role").alias("role"), F.col("_system.text").alias("text"))),
-    ).otherwise(F.array().cast(gathered.schema["_pieces"].dataType))
-    laid = gathered.withColumn("_all", F.concat(opening, "_pieces"))
+        .agg(F.first("conv_id").alias("conv_id"), F.sum("_tokens").alias("_sum"), F.sort_array(F.collect_list(piece)).alias("_all"))
+    )
     shaped = laid.withColumn(
         "_parts",
         F.transform(
@@ -157,7 +155,7 @@ def chat_windows(
         F.concat_ws("", F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n")))).alias("formatted"),
         F.col("_mask").alias("mask"),
         F.transform("_all", lambda p: F.struct(p["nth"].alias("nth"), p["new"].alias("new"))).alias("turns"),
-        (F.col("_sum") + F.coalesce("_st", F.lit(0))).alias("n_tokens"),
+        F.col("_sum").alias("n_tokens"),
     )
 
 

@@ -173,7 +173,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document is repeated by the whole part of taken / size and once more with
     the rest as a seeded chance, so sums stay near the targets. Documents
-    without words are not in the mix.
+    without words are not in the mix. Rows of equal id and size are each
+    repeated as often as the one that the plan takes most.
     """
     plan = plan_mix(docs, id_col, text_col, seed=seed, **options).select("doc_id", "size", "taken").distinct()
     chance = _number(_seeded(seed + 1, F.col("doc_id"))) / F.lit(float(2**32))

@@ -153,6 +153,7 @@ class _Once:
         return before is None
 
 
+_NAMES = ["h", "c1", "c2", "gap", "size", "context"]
 _CONTEXT = "h bigint, c1 bigint, c2 bigint, gap int, size int, context binary"
 
 
@@ -249,7 +250,7 @@ def _sliced(contexts: DataFrame, known) -> DataFrame:
             if rows:
                 owner = batch.take(pa.array(parents, pa.int64()))
                 columns = [*_context_rows(rows, digests), pa.array(fresh), owner.column("c1"), owner.column("c2"), pa.array(at, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*T.StructType.fromDDL(_CONTEXT).names, "fresh", "p1", "p2", "at"])
+                yield pa.RecordBatch.from_arrays(columns, [*_NAMES, "fresh", "p1", "p2", "at"])
 
     return in_arrow(contexts.select("c1", "c2", "gap", "context"), scan, _CONTEXT + ", fresh boolean, p1 bigint, p2 bigint, at bigint")
 
