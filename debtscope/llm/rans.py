@@ -32,6 +32,18 @@ def quantised(counts: np.ndarray, bits: int) -> np.ndarray:
     return freq
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, the number of each id among them, and their counts."""
+    top = int(ids.max())
+    if top > 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids, minlength=top + 1)
+    symbols = np.flatnonzero(counts)
+    number = np.zeros(top + 1, np.int64)
+    number[symbols] = np.arange(len(symbols))
+    return symbols.astype(ids.dtype), number[ids], counts[symbols]
+
+
 def _tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
 
@@ -51,7 +63,7 @@ def encode(ids: np.ndarray) -> bytes:
     blocks, steps = _shape(n)
     if not n:
         return _HEAD.pack(MAGIC, LANES, 0, BLOCK, 0, 0, 0, 0)
-    symbols, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, at, counts = _counted(ids)
     bits = max(18, int(len(symbols)).bit_length() + 2)
     freq = quantised(counts, bits)
     f_of, c_of = _tables(freq)
@@ -89,7 +101,7 @@ def encode(ids: np.ndarray) -> bytes:
 
 
 def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
-    """Ids of the blocks ``first`` up to, not including, ``last``; checksums are verified."""
+    """Ids of the blocks ``first`` up to, not including, ``last``; checksums and final states are verified."""
     magic, lanes, bits, block, n, n_symbols, n_table, n_words = _HEAD.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a token segment")
@@ -133,6 +145,8 @@ def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
             x[need] = (x[need] << _WORD) | stream[spot[need]].astype(np.uint64)
             place += order[:, -1]
         state = x
+    if (state != _LEAST).any():
+        raise ValueError("a coder did not end where it began: the segment is damaged")
     flat = out.transpose(1, 0, 2).reshape(some, steps * lanes)
     ids = symbols[flat[np.arange(steps * lanes)[None, :] < lengths[:, None]]]
     for b, (a, size) in enumerate(zip(np.cumsum(lengths) - lengths, lengths, strict=True)):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -20,7 +21,7 @@ from debtscope.llm.shared import in_arrow, text_of
 
 SEGMENT_IDS = 1 << 21
 #: Text bytes tokenized together, and words that a worker remembers before it forgets all.
-_TEXT, _MEMORY = 4 << 20, 1_000_000
+_TEXT, _MEMORY = 8 << 20, 1_000_000
 #: A lower-case Latin word and closing marks: normalising leaves it alone, and the marks are a piece of their own.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?:;|#%$&*]*)")
 
@@ -42,10 +43,14 @@ class WordIds:
         step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: step.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
         self.by_word = self._drops_blanks()
+        self._forget()
+        self.marks: dict[str, array] = {}
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = [0]
-        self.marks: dict[str, list[int]] = {"": []}
+        self.cores: dict[str, array] = {}
+        self.ids = array("I")
+        self.ends = array("q", [0])
 
     def _drops_blanks(self) -> bool:
         """Whether blanks only part words and case plays no part, as the way by words needs."""
@@ -56,32 +61,31 @@ class WordIds:
         probes = ("Ab c", "ab\nc", " ab  c\n", "ab,\n.c", "été çà, x1 .")
         return all(ids(p) == [i for w in p.lower().split() for i in ids(w)] for p in probes)
 
-    def _of(self, word: str) -> list[int]:
+    def _of(self, word: str) -> Sequence[int]:
         m = _PLAIN.fullmatch(word.lower())
         if not m:
             return self.full.encode(word, add_special_tokens=False).ids
         core, mark = m.groups()
+        ids = self.cores.get(core)
+        if ids is None:
+            tokens = self.full.model.tokenize(core if core.isascii() else core.translate(self.bytes))
+            ids = self.cores[core] = array("I", [t.id for t in tokens])
+        if not mark:
+            return ids
         if mark not in self.marks:
-            self.marks[mark] = self.full.encode(mark, add_special_tokens=False).ids
-        return [t.id for t in self.full.model.tokenize(core.translate(self.bytes))] + self.marks[mark]
+            self.marks[mark] = array("I", self.full.encode(mark, add_special_tokens=False).ids)
+        return ids + self.marks[mark]
 
     def _codes(self, words: list[str]) -> np.ndarray:
         if len(self.known) + len(words) > _MEMORY:
-            self.known.clear()
-            self.ends = [0]
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            k = self.known.get(w)
-            if k is None:
-                ids = self._of(w)
-                k = self.known[w] = len(self.ends) - 1
-                end = self.ends[-1] + len(ids)
-                if end > len(self.ids):
-                    self.ids = np.resize(self.ids, max(2 * len(self.ids), end))
-                self.ids[self.ends[-1] : end] = ids
-                self.ends.append(end)
-            out[i] = k
-        return out
+            self._forget()
+        known, ids, ends = self.known, self.ids, self.ends
+        for w in words:
+            if w not in known:
+                known[w] = len(ends) - 1
+                ids.extend(self._of(w))
+                ends.append(len(ids))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, ``end_id`` after each text, and the number of ids of each text."""
@@ -91,7 +95,7 @@ class WordIds:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         words = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        ends = np.array(self.ends, np.int64)
+        ends, known = np.array(self.ends, np.int64), np.array(self.ids, np.uint32)
         counts = (ends[1:] - ends[:-1])[words] if len(words) else words
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
@@ -103,7 +107,7 @@ class WordIds:
         ending[where - 1] = True
         out[ending] = end_id
         source = np.arange(int(total[-1])) + np.repeat(ends[words] - total[:-1], counts)
-        out[~ending] = self.ids[source]
+        out[~ending] = known[source]
         return out, sizes
 
 
