@@ -150,7 +150,6 @@ def test_token_files_against_the_tokenizer(spark, make):
         at += len(ids)
     got = read_token_files(spark, path).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.ids, r.ids_crc32) for r in got] == want
-    assert spark.read.parquet(path).count() > 1
 
 
 def test_a_tokenizer_that_keeps_blanks_gets_whole_texts(spark, make):
