@@ -330,17 +330,16 @@ WITH {_PATH_SQL},
 blobs AS (SELECT q.p_partkey, p.p_brand AS repo, q.path, p.p_size * 4000 AS size,
   CASE lower(ext) WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' END AS language
   FROM paths q JOIN part p USING (p_partkey) WHERE p.p_partkey % 11 <> 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY size, path, p_partkey) AS r FROM blobs
-  WHERE language IS NOT NULL AND split_part(path, '/', 1) NOT IN ('.hidden', 'node_modules', 'vendor'))
-SELECT repo, path, size, language FROM ranked WHERE r <= 10 AND size <= 100000
+shown AS (SELECT * FROM blobs WHERE language IS NOT NULL AND split_part(path, '/', 1) NOT IN ('.hidden', 'node_modules', 'vendor'))
+SELECT repo, path, size, language FROM shown
 """)
 def scorable_blobs(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten smallest scorable blobs of each repository, then the size cap."""
+    """All scorable blobs of each repository."""
     kind = F.when(F.col("p_partkey") % 11 == 0, "tree").otherwise("blob")
     blobs = part_paths(spark, folder).select(
         F.col("p_brand").alias("repo"), "path", (F.col("p_size") * 4000).alias("size"), kind.alias("type")
     )
-    return blob_candidates(blobs, top=10).select("repo", "path", "size", "language")
+    return blob_candidates(blobs).select("repo", "path", "size", "language")
 
 
 @query("""
@@ -413,7 +412,8 @@ def history_export_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-SELECT substr(replace(replace(replace(event_type || ': "k" ' || props, '"', ''), ':', '_'), ' ', '_'), 1, 50) AS slug, count(*) AS n
+SELECT substr(replace(replace(replace(event_type || ': "k" ' || props, '"', ''), ':', '_'), ' ', '_'), 1, 50) || '-' ||
+  substr(md5(event_type || ': "k" ' || props), 1, 8) AS slug, count(*) AS n
 FROM events GROUP BY 1
 """)
 def query_slugs(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ from debtscope.sources.datasets import (
     write_scores,
 )
 from debtscope.streaming.live_stats import analyses, live_figures, start_append, start_moments
-from debtscope.streaming.rescoring import current_scores, once_per_content, saved_files, start_rescoring
+from debtscope.streaming.rescoring import compact_scores, current_scores, saved_files, start_rescoring
 
 
 @query(f"""
@@ -74,7 +74,7 @@ def exported_records(spark: SparkSession, folder: str) -> DataFrame:
     return back.groupBy("severity").agg(F.count("*").alias("n"), F.max("debt_score").alias("top"))
 
 
-@query("SELECT 'type_' || event_type AS query_slug, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("SELECT 'type_' || event_type || '-' || substr(md5('type:' || event_type), 1, 8) AS query_slug, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def master_table(spark: SparkSession, folder: str) -> DataFrame:
     """Events appended in two runs to a master table by query slug."""
     path = work_path(spark, "master")
@@ -85,30 +85,32 @@ def master_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH f AS (SELECT doc_id, text, len({lines("text")}) AS n FROM documents WHERE {strip("text")} <> '' AND doc_id % 2 = 0),
+WITH f AS (SELECT doc_id, text, len({lines("text")}) AS n FROM documents WHERE {strip("text")} <> '' AND doc_id % 3 <> 1),
 s AS (SELECT *, (least(0.8, n / 1000) + 0.2 + 0.5 + 0.3) / 4 AS d FROM f)
 SELECT 'doc/' || doc_id AS path, n::INTEGER AS total_lines, {rnd("d", 6)} AS debt_score, {severity_repo("d")} AS severity
-FROM s
+FROM s WHERE true
 UNION ALL
 SELECT 'doc/' || doc_id, len({lines("text || chr(10) || 'x'")})::INTEGER,
-  {rnd(f"(least(0.8, len({lines("text || chr(10) || 'x'")}) / 1000) + 1.0) / 4", 6)}, 'LOW' FROM documents WHERE doc_id % 2 = 1
+  {rnd(f"(least(0.8, len({lines("text || chr(10) || 'x'")}) / 1000) + 1.0) / 4", 6)}, 'LOW' FROM documents WHERE doc_id % 3 = 1
 """)
 def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents saved as a stream, odd ones saved twice with a change: latest score per path."""
+    """All documents saved as a stream, two thirds saved again with a change and half of those put back: latest score per path."""
 
     def build() -> DataFrame:
         docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
         path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")
         first = docs.select(path, F.lit("python").alias("language"), F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("saved_at"))
-        changed = docs.where("doc_id % 2 = 1").select(
+        changed = docs.where("doc_id % 3 > 0").select(
             path, F.lit("python").alias("language"), F.concat("text", F.lit("\nx")).alias("content"), F.lit("2024-01-01 00:01:00").cast("timestamp").alias("saved_at")
         )
-        return first.unionByName(changed)
+        put_back = first.where("cast(substr(path, 5) as long) % 3 = 2").withColumn("saved_at", F.lit("2024-01-01 00:02:00").cast("timestamp"))
+        return first.unionByName(changed).unionByName(put_back)
 
     landed(spark, folder, "saves", build)
     source = _folder_of(spark, folder, "saves")
     target, state = work_path(spark, "rescored"), work_path(spark, "rescoring-state")
-    start_rescoring(once_per_content(saved_files(spark, source)), target, state).awaitTermination()
+    start_rescoring(saved_files(spark, source), target, state).awaitTermination()
+    compact_scores(spark, target)
     return current_scores(spark, target).select("path", "total_lines", round_to(F.col("debt_score"), 6).alias("debt_score"), "severity")
 
 

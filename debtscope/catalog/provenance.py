@@ -65,21 +65,18 @@ def assistant_markers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH {COMMITS},
-latest AS (SELECT * FROM graded WHERE recency <= 4),
 totals AS (SELECT conv_id AS repo, count(*) AS total, count(*) FILTER (marker_count > 0) AS found,
   count(*) FILTER (marker_count > 0 AND confidence = 'High') AS high,
-  coalesce(string_agg(turn || ':' || confidence, ',' ORDER BY recency) FILTER (marker_count > 0 AND recency <= 4), '') AS marks
-  FROM latest GROUP BY 1)
+  coalesce(string_agg(turn || ':' || confidence, ',' ORDER BY recency) FILTER (marker_count > 0), '') AS marks
+  FROM graded GROUP BY 1)
 SELECT repo, total AS total_commits_analyzed, found AS ai_commits_found, {rnd("found / total", 4)} AS ai_commit_ratio,
   {_CERTAINTY} AS ai_confidence_level, {_RATIO} AS ai_confidence, found / total > 0.05 AS likely_ai_assisted,
-  array_to_string(list_slice(string_split(marks, ','), 1, 2), ',') AS first_marks
+  marks AS all_marks
 FROM totals
 """)
 def commit_rollups(spark: SparkSession, folder: str) -> DataFrame:
-    """Rollup of each repository's four latest commits with its first two marked ones."""
-    rollup = commit_rollup(
-        conversation_commits(spark, folder), newest_turn(), PROSE_PATTERNS, CERTAIN, limit=4, kept=2
-    )
+    """Rollup of all commits of each repository with its marked ones."""
+    rollup = commit_rollup(conversation_commits(spark, folder), newest_turn(), PROSE_PATTERNS, CERTAIN)
     marks = F.transform("ai_commits", lambda c: F.concat_ws(":", F.substring_index(c["sha"], "-", -1), c["confidence"]))
     return rollup.select(
         "repo",
@@ -89,7 +86,7 @@ def commit_rollups(spark: SparkSession, folder: str) -> DataFrame:
         "ai_confidence_level",
         "ai_confidence",
         "likely_ai_assisted",
-        F.array_join(marks, ",").alias("first_marks"),
+        F.array_join(marks, ",").alias("all_marks"),
     )
 
 
@@ -103,10 +100,10 @@ def latest_commit_cut(spark: SparkSession, folder: str) -> DataFrame:
 WITH {COMMITS}
 SELECT c_custkey AS repo, c_name AS name, 0 AS ai_commits_found, 'None' AS ai_confidence FROM customer
 WHERE c_acctbal BETWEEN 500 AND 9000 AND c_custkey IN (
-  SELECT conv_id FROM graded WHERE recency <= 50 GROUP BY 1 HAVING max(marker_count) = 0)
+  SELECT conv_id FROM graded GROUP BY 1 HAVING max(marker_count) = 0)
 """)
 def control_group(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers of fitting balance whose conversation shows no marker in its latest fifty turns."""
+    """Customers of fitting balance whose conversation shows no marker."""
     customers = table(spark, folder, "customer").where("c_acctbal between 500 and 9000")
     candidates = customers.select(F.col("c_custkey").alias("repo"), F.col("c_name").alias("name"))
     clean = control_repositories(candidates, conversation_commits(spark, folder), newest_turn(), PROSE_PATTERNS)

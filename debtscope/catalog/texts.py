@@ -85,7 +85,7 @@ def duplication_by_file(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 WITH {DOCUMENT_LINES}
 SELECT doc_id AS file_id, hash, array_to_string(list(pos ORDER BY pos), ',') AS positions, count(*) AS occurrences,
-  6::BIGINT AS line_count, substr(array_to_string(arg_min(rw, pos), chr(10)), 1, 200) AS sample_text
+  6::BIGINT AS line_count, array_to_string(arg_min(rw, pos), chr(10)) AS sample_text
 FROM repeats GROUP BY doc_id, hash
 """)
 def duplicate_block_list(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from debtscope.functions.rows import let
 
-# Sizes up to which the exact count is used.
+# Sizes up to which the exact count is used unless a method is named.
 RANK_SUM_LIMIT = 8
+RANK_SUM_PAIRS = 10_000
 SIGNED_RANK_LIMIT = 50
 
 

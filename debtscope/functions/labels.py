@@ -110,7 +110,7 @@ def study_cohort(confidence: Column) -> Column:
 
 
 def dashboard_cohort(confidence: Column) -> Column:
-    """AI for anything but the label None; null has no label."""
+    """AI for anything but the label None, a missing label included."""
     return F.when(confidence == "None", "human").otherwise("ai")
 
 

@@ -23,6 +23,13 @@ BLOB_SKIP = (
 )
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a listed path that lies below a root folder."""
+    plain = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+    at = F.instr(path, F.lit(plain))
+    return F.when(at > 0, F.substr(path, at + len(plain))).otherwise(path)
+
+
 def in_skipped_tree(path: Column) -> Column:
     """A part of the path, the file name included, is a skipped folder."""
     return F.exists(F.split(path, "/"), lambda part: part.isin(*TREE_SKIP))
@@ -47,7 +54,7 @@ def repository_address(url: Column, host: str = r"github\.com") -> Column:
 
     record = F.struct(
         piece(1, 1).alias("owner"),
-        F.replace(piece(2, 2), F.lit(".git"), F.lit("")).alias("repo"),
+        F.regexp_replace(piece(2, 2), r"\.git$", "").alias("repo"),
         F.when(url.rlike(plain), "main").otherwise(F.regexp_extract(url, inner, 3)).alias("branch"),
         F.when(url.rlike(plain), "").otherwise(F.regexp_extract(url, inner, 4)).alias("path"),
         url.alias("url"),
@@ -56,5 +63,5 @@ def repository_address(url: Column, host: str = r"github\.com") -> Column:
 
 
 def query_slug(query: Column) -> Column:
-    """Search query as a file-name part: no quotes, no colons or blanks, 50 characters."""
-    return F.substring(F.translate(query, ': "', "__"), 1, 50)
+    """Search query as a file-name part: no quotes, colons or blanks, 50 characters and a hash of the whole query."""
+    return F.concat_ws("-", F.substring(F.translate(query, ': "', "__"), 1, 50), F.substring(F.md5(query), 1, 8))

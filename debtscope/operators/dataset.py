@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from debtscope.functions.labels import BLOB_LANGUAGES, age_days, language_of
+from debtscope.functions.labels import BLOB_LANGUAGES, age_days, dashboard_cohort, language_of
 from debtscope.functions.paths import in_skipped_blob_folder, in_skipped_tree
 from debtscope.schemas import SCORE_COLUMNS
 
@@ -117,14 +117,20 @@ def blob_candidates(
     partition: Sequence[str] = ("repo",),
     path: str = "path",
     size: str = "size",
-    top: int = 40,
-    max_bytes: int = 100_000,
+    top: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Blobs to score: known language, not hidden, smallest ``top`` per repository, then the size cap."""
+    """Blobs to score: known language, not hidden.
+
+    A ``top`` keeps the smallest of each repository, ``max_bytes`` caps their size after that.
+    """
     kept = blobs.where(
         (F.col("type") == "blob") & ~in_skipped_blob_folder(F.col(path))
     ).withColumn("language", language_of(F.col(path), BLOB_LANGUAGES))
-    return smallest_files(kept.where("language is not null"), partition, size, path, top).where(F.col(size) <= max_bytes)
+    kept = kept.where("language is not null")
+    if top is not None:
+        kept = smallest_files(kept, partition, size, path, top)
+    return kept if max_bytes is None else kept.where(F.col(size) <= max_bytes)
 
 
 def smallest_files(df: DataFrame, partition: Sequence[str], size: str, tiebreak: str, top: int = 40) -> DataFrame:
@@ -135,10 +141,8 @@ def smallest_files(df: DataFrame, partition: Sequence[str], size: str, tiebreak:
 
 def browse(df: DataFrame, cohort: str = "all", language: str = "") -> DataFrame:
     """Dashboard browse filter: all, ai or human, and an exact language."""
-    if cohort == "ai":
-        df = df.where("ai_confidence <> 'None'")
-    elif cohort == "human":
-        df = df.where("ai_confidence = 'None'")
+    if cohort in ("ai", "human"):
+        df = df.where(dashboard_cohort(F.col("ai_confidence")) == cohort)
     return df.where(F.col("language") == language) if language else df
 
 

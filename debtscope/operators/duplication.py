@@ -92,11 +92,15 @@ def file_duplication(files: DataFrame, min_block: int = 4, window: int = 6, cont
 
 
 def duplicate_blocks(
-    files: DataFrame, key: str = "file_id", min_block: int = 4, window: int = 6, content: str = "content"
+    files: DataFrame, key: str = "file_id", min_block: int = 4, window: int = 6, content: str = "content", sample_chars: int | None = None
 ) -> DataFrame:
-    """One row per repeated block of a file: positions, count and a 200-character sample."""
+    """One row per repeated block of a file: positions, count and its text, cut to ``sample_chars`` if given."""
     found = repeated_windows(files, min_block, window, content)
-    sample = lambda pos: F.substring(F.array_join(F.slice("lines", pos + 1, window), "\n"), 1, 200)
+
+    def sample(pos: Column) -> Column:
+        text = F.array_join(F.slice("lines", pos + 1, window), "\n")
+        return text if sample_chars is None else F.substring(text, 1, sample_chars)
+
     rows = found.select(
         key,
         F.explode(

@@ -21,12 +21,15 @@ from debtscope.functions.markers import (
 from debtscope.functions.rows import ratio, round_to
 
 
-def latest_commits(commits: DataFrame, limit: int, order: Sequence[Column]) -> DataFrame:
+def latest_commits(commits: DataFrame, limit: int | None, order: Sequence[Column]) -> DataFrame:
     """The newest ``limit`` commits of each repository, with their rank.
 
     The rank filter becomes a group limit that runs before the shuffle, so a
     repository with very many commits sends only ``limit`` rows per task.
+    Without a limit all commits are returned, unranked and unmoved.
     """
+    if limit is None:
+        return commits
     newest = W.partitionBy("repo").orderBy(*order)
     return commits.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= limit)
 
@@ -48,21 +51,31 @@ def commit_rollup(
     order: Sequence[Column],
     patterns: Sequence[str] = MARKER_PATTERNS,
     certain: str = CERTAIN_WORDING,
-    limit: int = 100,
-    kept: int = 10,
+    limit: int | None = None,
+    kept: int | None = None,
 ) -> DataFrame:
-    """One row per repository from its latest commits: counts, ratio, confidences, first marked commits."""
+    """One row per repository from its commits: counts, ratio, confidences, marked commits from the newest on.
+
+    ``limit`` looks at the latest commits only, ``kept`` lists the first marked
+    ones only; by default all are read and listed.
+    """
     marked = mark_commits(latest_commits(commits, limit, order), patterns, certain)
     hit = F.col("marker_count") > 0
-    record = F.struct(
-        "recency", "sha", "message", F.col("committed_at").alias("date"), "marker_count", "confidence", "signals"
-    )
-    totals = marked.groupBy("repo").agg(
+    counts = marked.groupBy("repo").agg(
         F.count("*").alias("total_commits_analyzed"),
         F.count_if(hit).alias("ai_commits_found"),
         F.count_if(hit & (F.col("confidence") == "High")).alias("high_commits"),
-        F.slice(F.sort_array(F.collect_list(F.when(hit, record))), 1, kept).alias("ranked"),
     )
+    ranks = F.row_number().over(W.partitionBy("repo").orderBy(*order))
+    listed = marked.where(hit).withColumn("recency", ranks)
+    if kept is not None:
+        listed = listed.where(F.col("recency") <= kept)
+    record = F.struct(
+        "recency", "sha", "message", F.col("committed_at").alias("date"), "marker_count", "confidence", "signals"
+    )
+    lists = listed.groupBy("repo").agg(F.sort_array(F.collect_list(record)).alias("ranked"))
+    none = F.array().cast(lists.schema["ranked"].dataType)
+    totals = counts.join(lists, "repo", "left").withColumn("ranked", F.coalesce("ranked", none))
     share = ratio(F.col("ai_commits_found"), F.col("total_commits_analyzed"))
     return totals.select(
         "repo",
@@ -82,9 +95,12 @@ def control_repositories(
     commits: DataFrame,
     order: Sequence[Column],
     patterns: Sequence[str] = MARKER_PATTERNS,
-    limit: int = 50,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Repositories whose latest commits show no marker; those without commits are unknown and left out."""
+    """Repositories whose commits show no marker; those without commits are unknown and left out.
+
+    ``limit`` looks at the latest commits only.
+    """
     recent = latest_commits(commits, limit, order)
     clean = (
         recent.groupBy("repo")

@@ -188,12 +188,12 @@ def dimension_means(df: DataFrame) -> DataFrame:
 
 
 def severity_counts(df: DataFrame) -> DataFrame:
-    """Rows per severity for both cohorts, zeros filled, in severity order."""
-    counts = (
-        df.groupBy(dashboard_cohort(F.col("ai_confidence")).alias("cohort"))
-        .agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_ORDER])
-    )
-    return counts.unpivot(["cohort"], list(SEVERITY_ORDER), "severity", "n")
+    """Rows per severity for both cohorts, zeros filled also where a cohort has no row."""
+    cohort = dashboard_cohort(F.col("ai_confidence"))
+    pairs = [(c, s) for c in ("ai", "human") for s in SEVERITY_ORDER]
+    wide = df.agg(*[F.count_if((cohort == c) & (F.col("severity") == s)).alias(f"{c}_{s}") for c, s in pairs])
+    rows = F.array(*[F.struct(F.lit(c).alias("cohort"), F.lit(s).alias("severity"), F.col(f"{c}_{s}").alias("n")) for c, s in pairs])
+    return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def study_plan(df: DataFrame) -> DataFrame:

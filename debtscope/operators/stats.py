@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from debtscope.functions.exact import RANK_SUM_LIMIT, SIGNED_RANK_LIMIT, rank_sum_p, signed_rank_p
+from debtscope.functions.exact import RANK_SUM_LIMIT, RANK_SUM_PAIRS, SIGNED_RANK_LIMIT, rank_sum_p, signed_rank_p
 from debtscope.functions.labels import effect_words
 from debtscope.functions.scores import DEFAULT_WEIGHTS, approximate_power, two_sided_p
 from debtscope.operators.ranks import exact_median, ranked_values
@@ -51,32 +51,45 @@ def plain_effect() -> Column:
     return F.when(usable, (F.col("mean_ai") - F.col("mean_human")) / F.sqrt(pooled)).otherwise(F.lit(0.0))
 
 
-def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str = "cohort") -> DataFrame:
+def _exact_if(method: str, small: Column, untied: Column) -> Column:
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method {method!r}")
+    return {"auto": small & untied, "exact": untied, "normal": F.lit(False)}[method]
+
+
+def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str = "cohort", method: str = "auto") -> DataFrame:
     """U statistic of the first group, tie-corrected z with continuity correction and two-sided p.
 
-    Two untied groups of at most eight rows get the exact p.
+    Only rows of the two groups are ranked. ``method`` says how p comes about:
+    "normal" by the approximation, "exact" by counting orders where nothing
+    ties, "auto" exactly where nothing ties, one group has at most eight rows
+    and the sizes multiply to at most ten thousand. Where a group is empty
+    statistics are null.
     """
-    ranked = ranked_values(df, keys, value, {"n1": F.col(group) == "ai", "n2": F.col(group) == "human"})
+    ours = df.where(F.col(group).isin("ai", "human"))
+    ranked = ranked_values(ours, keys, value, {"n1": F.col(group) == "ai", "n2": F.col(group) == "human"})
     n, rank = F.col("n"), F.col("rank")
     sums = ranked.groupBy(*keys).agg(
         F.sum("n1").alias("n_ai"),
         F.sum("n2").alias("n_human"),
         F.sum(F.col("n1") * rank).alias("rank_sum"),
-        F.sum((n * n * n - n).cast("double")).alias("ties"),
+        F.sum(F.pow(n.cast("double"), 3) - n).alias("ties"),
     )
     n1, n2 = F.col("n_ai").cast("double"), F.col("n_human").cast("double")
     total, product = n1 + n2, n1 * n2
-    u = F.col("rank_sum") - n1 * (n1 + 1) / 2
-    variance = product / 12 * (total + 1 - F.col("ties") / (total * (total - 1)))
+    both = (n1 > 0) & (n2 > 0)
+    u = F.when(both, F.col("rank_sum") - n1 * (n1 + 1) / 2)
+    variance = F.when(both, product / 12 * (total + 1 - F.col("ties") / (total * (total - 1))))
     distance = F.greatest(F.abs(F.col("statistic") - product / 2) - 0.5, F.lit(0.0))
-    small = (F.col("ties") == 0) & F.col("n_ai").between(1, RANK_SUM_LIMIT) & F.col("n_human").between(1, RANK_SUM_LIMIT)
+    small = (F.least("n_ai", "n_human") <= RANK_SUM_LIMIT) & (product <= RANK_SUM_PAIRS)
+    exact = both & _exact_if(method, small, F.col("ties") == 0)
     return (
         sums.withColumn("statistic", u)
         .withColumn("sigma", F.sqrt(variance))
         .withColumn("z", F.when(F.col("sigma") > 0, distance / F.col("sigma")))
         .withColumn(
             "p_value",
-            F.when(small, rank_sum_p(F.col("statistic"), F.col("n_ai"), F.col("n_human"))).otherwise(two_sided_p(F.col("z"))),
+            F.when(exact, rank_sum_p(F.col("statistic"), F.col("n_ai"), F.col("n_human"))).otherwise(two_sided_p(F.col("z"))),
         )
         .select(*keys, "n_ai", "n_human", "statistic", "z", "p_value")
     )
@@ -101,10 +114,11 @@ def dimension_tests(df: DataFrame) -> DataFrame:
     )
 
 
-def wilcoxon(pairs: DataFrame, first: str, second: str) -> DataFrame:
+def wilcoxon(pairs: DataFrame, first: str, second: str, method: str = "auto") -> DataFrame:
     """Signed-rank test on paired columns: zero differences dropped, ties averaged.
 
-    Up to fifty untied differences get the exact p.
+    ``method`` is "normal", "exact" (where nothing ties) or "auto": exact for up
+    to fifty untied differences.
     """
     # Equal pairs are counted before the differences are rounded and ranked.
     counted = pairs.groupBy(F.col(first).alias("a"), F.col(second).alias("b")).agg(F.count("*").alias("rows"))
@@ -116,11 +130,11 @@ def wilcoxon(pairs: DataFrame, first: str, second: str) -> DataFrame:
         F.sum("n").cast("double").alias("n"),
         F.sum(F.col("n_up") * F.col("rank")).alias("w_plus"),
         F.sum(F.col("n_down") * F.col("rank")).alias("w_minus"),
-        F.sum((size * size * size - size).cast("double")).alias("ties"),
+        F.sum(F.pow(size.cast("double"), 3) - size).alias("ties"),
     )
     n = F.col("n")
     variance = (n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24
-    small = (F.col("ties") == 0) & n.between(1, SIGNED_RANK_LIMIT)
+    small = (n >= 1) & _exact_if(method, n <= SIGNED_RANK_LIMIT, F.col("ties") == 0)
     return (
         sums.withColumn("statistic", F.least("w_plus", "w_minus"))
         .withColumn("z", F.when(variance > 0, (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(variance)))
@@ -129,16 +143,22 @@ def wilcoxon(pairs: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
+def _beside(row: DataFrame, other: DataFrame) -> DataFrame:
+    """Columns of two one-row frames in one row."""
+    record = other.select(F.struct("*").alias("_other")).scalar()
+    return row.withColumn("_other", record).select(*row.columns, *[F.col(f"_other.{c}").alias(c) for c in other.columns])
+
+
 def score_test(df: DataFrame, score: str = "debt_score", tests: int = 3) -> DataFrame:
     """Unpaired comparison of one score: sizes, means, medians, spread, test, effect and power."""
-    labelled = df.where("cohort is not null and " + score + " is not null").withColumn("measure", F.lit(score))
+    labelled = df.where(F.col("cohort").isin("ai", "human") & F.col(score).isNotNull())
     medians = exact_median(labelled, ["cohort"], score)
     wide = medians.agg(
         *[F.max(F.when(F.col("cohort") == g, F.col("median"))).alias(f"median_{g}") for g in ("ai", "human")]
-    ).withColumn("measure", F.lit(score))
-    moments = group_moments(labelled, ["measure"], score)
-    test = mann_whitney(labelled, ["measure"], score).drop("n_ai", "n_human")
-    joined = moments.join(test, "measure").join(wide, "measure").withColumn("effect_size", cohens_d())
+    )
+    test = mann_whitney(labelled, [], score).drop("n_ai", "n_human")
+    joined = _beside(_beside(group_moments(labelled, [], score), test), wide).withColumn("effect_size", cohens_d())
+    joined = joined.withColumn("measure", F.lit(score))
     corrected = bonferroni(F.col("p_value"), tests)
     return (
         joined.withColumn("p_value_bonferroni", corrected)
@@ -158,11 +178,9 @@ def paired_score_test(pairs: DataFrame, first: str, second: str, tests: int = 3)
         F.avg(second).alias("mean_human"),
         F.stddev_pop(first).alias("std_ai"),
         F.stddev_pop(second).alias("std_human"),
-    ).withColumn("pair", F.lit(1))
-    test = wilcoxon(described, first, second).withColumn("pair", F.lit(1))
+    )
     return (
-        moments.join(test, "pair")
-        .drop("pair")
+        _beside(moments, wilcoxon(described, first, second))
         .withColumn("p_value_bonferroni", bonferroni(F.col("p_value"), tests))
         .withColumn("significant_bonferroni", F.col("p_value_bonferroni") < ALPHA)
     )
@@ -229,11 +247,11 @@ def ablation(df: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def feature_importance(df: DataFrame, trees: int = 100, folds: int = 5, seed: int = 42) -> DataFrame:
+def feature_importance(df: DataFrame, trees: int = 100, folds: int = 5, seed: int = 42, least_rows: int = 10) -> DataFrame:
     """Random-forest importance of six features and cross-validated accuracy.
 
-    ``df`` needs stars, forks, size_kb, ai_confidence and cohort. Under ten
-    rows a single row with an error text is returned.
+    ``df`` needs stars, forks, size_kb, ai_confidence and cohort. Under
+    ``least_rows`` rows a single row with an error text is returned.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -251,7 +269,7 @@ def feature_importance(df: DataFrame, trees: int = 100, folds: int = 5, seed: in
         flag("Low").alias(FEATURES[5]),
         ai.cast("double").alias("label"),
     )
-    if len(table.take(10)) < 10:
+    if len(table.take(least_rows)) < least_rows:
         return spark.createDataFrame([(None, None, None, None, None, "Insufficient data for feature importance analysis")], shape)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("features", "label")
     forest = RandomForestClassifier(numTrees=trees, seed=seed, cacheNodeIds=False)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -29,24 +28,13 @@ def build_session(app_name: str = "debtscope", master: str | None = None, **conf
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the one the cluster names.
+    """Folder for written intermediate tables: the one the cluster names.
 
-    A local folder is made only where none is set and Spark itself is local.
+    Where none is set, a folder in the session's warehouse, which all executors
+    share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="debtscope-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def work_path(spark: SparkSession, name: str) -> str:

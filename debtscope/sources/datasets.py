@@ -20,20 +20,24 @@ def _typed(name: str, text: Column) -> Column:
     if kind.startswith("array"):
         return F.coalesce(F.from_json(text, kind, {"mode": "PERMISSIVE"}), F.array().cast(kind))
     if kind in ("long", "int"):
-        return text.try_cast("double").cast(kind)
+        return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
     return text if kind == "string" else text.try_cast(kind)
 
 
-def read_repositories(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_repositories(spark: SparkSession, path: str | list[str], score: str | None = None) -> DataFrame:
     """Repository dataset from CSV: known columns typed, list columns decoded, others kept as text.
 
-    The label None stays text. A composite score column of any name is
-    called ``debt_score``.
+    The label None stays text; what does not fit its type is null. The column
+    named by ``score`` is called ``debt_score``; without a name the only column
+    that ends in ``_score`` and is no dimension.
     """
     raw = spark.read.options(**_CSV).csv(path)
+    scores = [c for c in raw.columns if c.endswith("_score") and c not in DIMENSION_COLUMNS]
+    if score is None and len(scores) == 1:
+        score = scores[0]
     columns = []
     for name in raw.columns:
-        known = "debt_score" if name.endswith("_score") and name not in DIMENSION_COLUMNS else name
+        known = "debt_score" if name == score else name
         text = F.col(f"`{name}`")
         columns.append((_typed(known, text) if known in REPOSITORY_TYPES else text).alias(known))
     return raw.select(*columns)

@@ -30,15 +30,21 @@ def start_append(rows: DataFrame, target: str, checkpoint: str, **trigger: objec
 
 
 def start_moments(rows: DataFrame, target: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Keep count, sum and sum of squares per cohort; the state is one row per cohort."""
+    """Keep count, sum and sum of squares per cohort; the state is one row per cohort.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    Each batch writes its figures to a folder of its own, so readers never meet
+    a half-written one; a batch that is retried replaces its own folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = cohort_moments(rows).writeStream.outputMode("complete").foreachBatch(write)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def live_figures(spark: SparkSession, target: str) -> DataFrame:
-    """Counts, means and effect size from the kept moments."""
-    return effect_of_moments(spark.read.parquet(target))
+    """Counts, means and effect size from the moments of the newest batch."""
+    kept = spark.read.parquet(target)
+    newest = kept.agg(F.max("batch")).scalar()
+    return effect_of_moments(kept.where(F.col("batch") == newest).drop("batch"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,25 +24,40 @@ def saved_files(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.parquet(folder)
 
 
-def once_per_content(saves: DataFrame, retention: str = "7 days") -> DataFrame:
-    """Drop repeated deliveries of the same content of a path.
+def latest_scores(batch: DataFrame, score: Callable[[DataFrame], DataFrame] = score_by_size) -> DataFrame:
+    """Newest save of each path in a batch, scored.
 
-    State is kept for ``retention`` of event time, so it does not grow for ever.
+    A save is known by its path and time; what it says plays no part, so a save
+    that brings back earlier content counts, and a repeated delivery is scored
+    to the same row.
     """
-    keyed = saves.withColumn("content_hash", F.md5("content"))
-    return keyed.withWatermark("saved_at", retention).dropDuplicatesWithinWatermark(["path", "content_hash"])
+    return score(keep_first(batch, ["path"], [F.col("saved_at").desc(), F.md5("content")]))
 
 
-def latest_scores(batch: DataFrame, score: Callable[[DataFrame], DataFrame] = score_by_size) -> DataFrame:
-    """Newest save of each path in a batch, scored."""
-    newest = keep_first(batch, ["path"], [F.col("saved_at").desc(), F.col("content_hash")])
-    return score(newest)
+def _read(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException:
+        return None
 
 
 def current_scores(spark: SparkSession, target: str) -> DataFrame:
-    """Latest score of every path from the written batches."""
-    written = spark.read.parquet(target)
-    return keep_first(written, ["path"], [F.col("saved_at").desc(), F.col("batch").desc()])
+    """Latest score of every path: the newest compaction and the batches since."""
+    batches, base = spark.read.parquet(f"{target}/batches"), _read(spark, f"{target}/compacted")
+    if base is not None:
+        upto = base.agg(F.max("upto")).first()[0]
+        since = batches.where(F.col("batch") > upto)
+        batches = since.unionByName(base.where(F.col("upto") == upto).drop("upto"))
+    return keep_first(batches, ["path"], [F.col("saved_at").desc(), F.col("batch").desc()])
+
+
+def compact_scores(spark: SparkSession, target: str) -> None:
+    """Write the latest score of every path as one table that later reads start from.
+
+    Batches up to its number are not read any more; files are only added.
+    """
+    upto = spark.read.parquet(f"{target}/batches").agg(F.max("batch")).first()[0]
+    current_scores(spark, target).write.mode("overwrite").parquet(f"{target}/compacted/upto={upto}")
 
 
 def start_rescoring(
@@ -55,7 +71,7 @@ def start_rescoring(
 
     def write(batch: DataFrame, number: int) -> None:
         rows = latest_scores(batch, score)
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows.write.mode("overwrite").parquet(f"{target}/batches/batch={number}")
 
     return (
         saves.writeStream.foreachBatch(write)

@@ -2,11 +2,13 @@
 
 import datetime
 import glob
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from debtscope.functions.paths import repository_address
 from debtscope.operators.dataset import backfill, filter_counts, filter_dataset, keep_first
 from debtscope.operators.paging import page
 from debtscope.operators.provenance import commit_rollup, control_repositories, flatten_search_hits, run_summary
@@ -57,12 +59,16 @@ def test_history_and_score_exports(spark, tmp_path):
     assert score_summary(df.where("false")).first().average_score == 0.0
 
 
+def _md5(text):
+    return hashlib.md5(text.encode()).hexdigest()[:8]
+
+
 def test_query_results_are_appended_by_slug(spark, tmp_path):
     df = spark.createDataFrame([("a b:c", 1), ("other", 2)], "q string, n int")
     append_query_results(df, "q", str(tmp_path / "m"))
     append_query_results(df.where("n = 2"), "q", str(tmp_path / "m"))
     got = spark.read.parquet(str(tmp_path / "m"))
-    assert {(r.query_slug, r["count"]) for r in got.groupBy("query_slug").count().collect()} == {("a_b_c", 1), ("other", 2)}
+    assert {(r.query_slug, r["count"]) for r in got.groupBy("query_slug").count().collect()} == {("a_b_c-" + _md5("a b:c"), 1), ("other-" + _md5("other"), 2)}
 
 
 def test_annotations_scan(spark, tmp_path):
@@ -76,11 +82,12 @@ def test_source_tree(spark, tmp_path):
     for name, data in {
         "src/a.py": b"x = 1\n", "src/b.PY": b"y", "node_modules/c.js": b"z", "src/blank.ts": b" \n", "src/bad.go": b"\xffok", "n.txt": b"n",
     }.items():
-        target = tmp_path / "tree" / name
+        target = tmp_path / "build" / "tree" / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(data)
-    rows = {r.path.rsplit("/", 1)[1]: r for r in source_tree(spark, str(tmp_path / "tree")).collect()}
-    assert set(rows) == {"a.py", "bad.go"}
+    rows = {r.path.rsplit("/", 1)[1]: r for r in source_tree(spark, str(tmp_path / "build" / "tree")).collect()}
+    assert set(rows) == {"a.py", "b.PY", "bad.go"}
+    assert {r.repo for r in rows.values()} == {"src"} and rows["b.PY"].language == "python"
     assert rows["bad.go"].content == "�ok" and rows["a.py"].language == "python"
 
 
@@ -168,7 +175,7 @@ def commits(spark):
 
 
 def test_commit_rollup_reads_latest_hundred(spark):
-    rows = {r.repo: r for r in commit_rollup(commits(spark), [F.col("committed_at").desc()]).collect()}
+    rows = {r.repo: r for r in commit_rollup(commits(spark), [F.col("committed_at").desc()], limit=100, kept=10).collect()}
     assert (rows["a"].total_commits_analyzed, rows["a"].ai_commits_found, rows["a"].ai_confidence) == (100, 0, "None")
     assert (rows["b"].ai_commits_found, rows["b"].ai_commit_ratio, rows["b"].ai_confidence_level) == (1, 0.0167, "Low")
     assert rows["b"].ai_commits[0].sha == "t0" and rows["b"].ai_confidence == "Low"
@@ -176,7 +183,7 @@ def test_commit_rollup_reads_latest_hundred(spark):
 
 def test_control_group_reads_latest_fifty(spark):
     repos = spark.createDataFrame([("a",), ("b",), ("c",), ("unknown",)], "repo string")
-    got = control_repositories(repos, commits(spark), [F.col("committed_at").desc()])
+    got = control_repositories(repos, commits(spark), [F.col("committed_at").desc()], limit=50)
     assert sorted(r.repo for r in got.collect()) == ["a", "b", "c"]
 
 
@@ -224,3 +231,28 @@ def test_review_document_holds_blank_entries(repositories):
     entry = row.repositories[0]
     assert entry.ai_commit_ratio == 0.0 and entry.verification.ai_identification_evidence == []
     assert entry.verification.overall_debt_severity is None
+
+
+def test_numbers_that_do_not_fit_are_null_and_the_score_is_named(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text("name,stars,first_score,second_score\na,nan,0.5,0.25\nb,1e30,x,0.5\nc,12.0,1,1\nd,9007199254740993,1,1\n")
+    plain = {r.name: r for r in read_repositories(spark, str(path)).collect()}
+    assert [plain[n].stars for n in "abcd"] == [None, None, 12, 9007199254740993] and plain["a"].first_score == "0.5"
+    named = {r.name: r for r in read_repositories(spark, str(path), score="first_score").collect()}
+    assert (named["a"].debt_score, named["b"].debt_score, named["a"].second_score) == (0.5, None, "0.25")
+
+
+def test_git_suffix_of_addresses(spark):
+    urls = ["https://github.com/u/user.github.io", "https://github.com/u/r.git", "https://github.com/u/a.gitb.git/", "https://github.com/u/r.git/tree/main/p"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(repository_address(F.col("url")).alias("a")).select("a.*").collect()
+    assert [r.repo for r in rows] == ["user.github.io", "r", "a.gitb", "r"]
+
+
+def test_all_commits_count_unless_a_limit_is_named(spark):
+    rows = [("r", f"s{i}", "generated by chatgpt" if i == 0 else "x", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "repo string, sha string, message string, committed_at timestamp")
+    newest = [F.col("committed_at").desc()]
+    assert commit_rollup(df, newest).first().total_commits_analyzed == 120
+    assert commit_rollup(df, newest, limit=100).first().ai_commits_found == 0
+    repos = spark.createDataFrame([("r",)], "repo string")
+    assert control_repositories(repos, df, newest).count() == 0 and control_repositories(repos, df, newest, limit=50).count() == 1

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from debtscope.operators.agreement import kappa, overall_agreement
@@ -98,3 +99,29 @@ def test_kappa(spark):
 def test_forest_needs_ten_rows(spark):
     df = spark.createDataFrame([(1, 2, 3, "High", "ai")] * 4, "stars int, forks int, size_kb int, ai_confidence string, cohort string")
     assert feature_importance(df).first().error
+
+
+def test_many_equal_values_do_not_overflow(spark):
+    df = spark.range(3_000_000).select(F.lit("d").alias("dim"), F.lit(0.5).alias("v"), F.when(F.col("id") % 2 == 0, "ai").otherwise("human").alias("cohort"))
+    row = mann_whitney(df, ["dim"], "v").first()
+    assert (row.n_ai, row.n_human, row.statistic, row.z) == (1_500_000, 1_500_000, 1.125e12, None)
+    pairs = spark.range(3_000_000).select(F.lit(1.0).alias("a"), F.lit(0.5).alias("b"))
+    assert wilcoxon(pairs, "a", "b").first().w_plus == 3_000_000 * 3_000_001 / 2
+
+
+def test_small_groups_and_rows_without_a_cohort(spark):
+    rows = [("one", "ai", 1.0), ("two", "ai", 1.0), ("two", "human", 2.0), ("two", None, 0.0), ("two", "other", 0.5)]
+    got = {r.dim: r for r in mann_whitney(spark.createDataFrame(rows, "dim string, cohort string, v double"), ["dim"], "v").collect()}
+    assert (got["one"].statistic, got["one"].p_value) == (None, None)
+    assert (got["two"].statistic, got["two"].p_value) == (0.0, 1.0)
+
+
+def test_method_of_the_rank_sum(spark):
+    rows = [("d", "ai", float(i)) for i in range(5)] + [("d", "human", 100.0 + i) for i in range(20)]
+    df = spark.createDataFrame(rows, "dim string, cohort string, v double")
+    exact = 2 / 53130
+    for method, p in (("auto", exact), ("exact", exact)):
+        assert abs(mann_whitney(df, ["dim"], "v", method=method).first().p_value - p) < 1e-12
+    assert mann_whitney(df, ["dim"], "v", method="normal").first().p_value > 5e-4
+    with pytest.raises(ValueError):
+        mann_whitney(df, ["dim"], "v", method="other")

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from debtscope.streaming.live_stats import ANALYSES, analyses, live_figures, start_append, start_moments
-from debtscope.streaming.rescoring import SAVES, current_scores, once_per_content, saved_files, start_rescoring
+from debtscope.streaming.rescoring import SAVES, compact_scores, current_scores, saved_files, start_rescoring
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -17,14 +17,29 @@ def land(spark, rows, shape, folder):
 def test_saved_files_are_scored_again(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     land(spark, [("a.py", "python", "x\n" * 100, DAY), ("b.py", "python", "y\n", DAY)], SAVES, source)
-    start_rescoring(once_per_content(saved_files(spark, source)), target, state).awaitTermination(90)
+    start_rescoring(saved_files(spark, source), target, state).awaitTermination(90)
     later = DAY + datetime.timedelta(hours=1)
     land(spark, [("a.py", "python", "x\n" * 400, later), ("b.py", "python", "y\n", later)], SAVES, source)
-    start_rescoring(once_per_content(saved_files(spark, source)), target, state).awaitTermination(90)
+    start_rescoring(saved_files(spark, source), target, state).awaitTermination(90)
     rows = {r.path: r for r in current_scores(spark, target).collect()}
     assert rows["a.py"].total_lines == 400 and rows["b.py"].total_lines == 1
-    # The same content of b.py was delivered twice and scored once.
-    assert spark.read.parquet(target).where("path = 'b.py'").count() == 1
+    assert rows["b.py"].saved_at == later
+
+
+def test_a_save_that_restores_earlier_content_counts(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for i, content in enumerate(["a\n", "a\nb\nc\nd\n", "a\n"]):
+        land(spark, [("a.py", "python", content, DAY + datetime.timedelta(minutes=i))], SAVES, source)
+        start_rescoring(saved_files(spark, source), target, state).awaitTermination(90)
+        if i == 1:
+            compact_scores(spark, target)
+            assert current_scores(spark, target).first().total_lines == 4
+    assert [r.total_lines for r in current_scores(spark, target).collect()] == [1]
+    compact_scores(spark, target)
+    # A late repeat of the second save changes nothing.
+    land(spark, [("a.py", "python", "a\nb\nc\nd\n", DAY + datetime.timedelta(minutes=1))], SAVES, source)
+    start_rescoring(saved_files(spark, source), target, state).awaitTermination(90)
+    assert [r.total_lines for r in current_scores(spark, target).collect()] == [1]
 
 
 def test_figures_follow_appended_analyses(spark, tmp_path):
