@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from debtscope.functions.rows import round_to
 from debtscope.functions.scores import complexity_score
-from debtscope.operators.nodes import FUNCTION_TYPES, SCRIPT_LANGUAGES, functions_of, inside
+from debtscope.operators.nodes import FUNCTION_TYPES, SCRIPT_LANGUAGES, functions_of
 from debtscope.operators.running import running
 
 # Nodes that add a decision.
@@ -71,11 +71,11 @@ def is_nesting() -> Column:
     return _typed(PYTHON_NESTING, SCRIPT_NESTING)
 
 
-def with_nesting_level(nodes: DataFrame, block: int = 4096) -> DataFrame:
-    """Nodes that matter for complexity, with the number of open nesting nodes, own one included.
+def _events(nodes: DataFrame, block: int) -> DataFrame:
+    """Enter and leave events of the nodes that matter for complexity, with running figures.
 
-    Entering a nesting node counts +1 and leaving it -1; the level is a running
-    sum over these events in document order. No tree is walked.
+    ``level`` is the number of open nesting nodes, an entered one included;
+    ``decisions`` and ``operators`` count the nodes entered so far.
     """
     flagged = nodes.select(
         "file_id",
@@ -89,36 +89,79 @@ def with_nesting_level(nodes: DataFrame, block: int = 4096) -> DataFrame:
     ).where("decision or nesting or operator or function")
     enter = F.struct(F.col("pre").alias("at"), F.lit(0).alias("leaving"))
     leave = F.struct(F.col("post").alias("at"), F.lit(1).alias("leaving"))
-    events = flagged.withColumn(
-        "event", F.explode(F.when(F.col("nesting"), F.array(enter, leave)).otherwise(F.array(enter)))
-    ).select("*", "event.*")
-    step = F.when(~F.col("nesting"), 0).when(F.col("leaving") == 1, -1).otherwise(1)
-    levelled = running(
-        events, ["file_id"], F.floor(F.col("at") / block), ["at", "leaving"], sums={"level": step}
+    two = F.col("nesting") | F.col("function")
+    events = flagged.withColumn("event", F.explode(F.when(two, F.array(enter, leave)).otherwise(F.array(enter)))).select(
+        "file_id", "node_id", "decision", "nesting", "operator", "function", "pre", "post", "event.at", "event.leaving"
     )
-    return levelled.where("leaving = 0").drop("event", "at", "leaving")
+    entered = F.col("leaving") == 0
+    sums = {
+        "level": F.when(~F.col("nesting"), 0).when(entered, 1).otherwise(-1),
+        "decisions": (F.col("decision") & entered).cast("long"),
+        "operators": (F.col("operator") & entered).cast("long"),
+    }
+    return running(events, ["file_id"], F.floor(F.col("at") / block), _ORDER, sums=sums)
 
 
-def function_complexity(nodes: DataFrame) -> DataFrame:
-    """Cyclomatic and cognitive complexity of each function, nested functions included in outer ones."""
-    levels = with_nesting_level(nodes)
-    owners = levels.where("function").select(
-        "file_id",
-        F.col("node_id").alias("function_id"),
-        F.col("pre").alias("f_pre"),
-        F.col("post").alias("f_post"),
-        F.col("level").alias("f_level"),
+# A node is entered before one inside it and left after it.
+_ORDER = ["at", "leaving", "pre", "node_id"]
+
+
+def with_nesting_level(nodes: DataFrame, block: int = 4096) -> DataFrame:
+    """Nodes that matter for complexity, with the number of open nesting nodes, own one included.
+
+    Entering a nesting node counts +1 and leaving it -1; the level is a running
+    sum over these events in document order. No tree is walked.
+    """
+    return _events(nodes, block).where("leaving = 0").drop("at", "leaving", "decisions", "operators")
+
+
+def function_complexity(nodes: DataFrame, block: int = 4096) -> DataFrame:
+    """Cyclomatic and cognitive complexity of each function, nested functions included in outer ones.
+
+    What a function holds is the difference of running sums between its end and
+    its start, so no node is paired with a function. A decision adds its depth
+    below the function; one that opens no level of its own and stands right in
+    the function would add one too little, so these are counted by the nesting
+    node that was opened last at their level.
+    """
+    deep = F.when(F.col("decision") & (F.col("leaving") == 0), F.col("level")).otherwise(0).cast("long")
+    summed = running(_events(nodes, block), ["file_id"], F.floor(F.col("at") / block), _ORDER, sums={"depths": deep})
+
+    opened = F.when(F.col("nesting"), F.struct("at", "leaving", "pre", "node_id"))
+    flat = (
+        running(
+            summed.where("leaving = 0").where("nesting or decision"),
+            ["file_id", "level"],
+            F.floor(F.col("at") / block),
+            _ORDER,
+            maxima={"opener": opened},
+        )
+        .where(F.col("decision") & ~F.col("nesting") & F.col("opener").isNotNull())
+        .groupBy("file_id", F.col("opener.node_id").alias("function_id"))
+        .agg(F.count("*").alias("flat"))
     )
-    members = levels.where("decision or operator or function").select("file_id", "pre", "decision", "operator", "level")
-    depth = F.greatest(F.col("level") - F.col("f_level") - 1, F.lit(0))
-    return (
-        inside(owners, members)
-        .groupBy("file_id", "function_id")
+
+    def gained(name: str) -> Column:
+        at = lambda leaving: F.max(F.when(F.col("leaving") == leaving, F.col(name)))
+        return at(1) - at(0)
+
+    functions = (
+        summed.where("function")
+        .groupBy("file_id", F.col("node_id").alias("function_id"))
         .agg(
-            (1 + F.count_if("decision") + 0.5 * F.count_if("operator")).cast("double").alias("cyclomatic"),
-            F.sum(F.when(F.col("decision"), 1 + depth).otherwise(0)).cast("long").alias("cognitive"),
+            gained("decisions").alias("n"),
+            gained("operators").alias("half"),
+            gained("depths").alias("depths"),
+            F.max(F.when(F.col("leaving") == 0, F.col("level"))).alias("level"),
         )
     )
+    joined = functions.join(flat, ["file_id", "function_id"], "left")
+    return joined.select(
+        "file_id",
+        "function_id",
+        (1 + F.col("n") + 0.5 * F.col("half")).cast("double").alias("cyclomatic"),
+        (F.col("depths") - F.col("n") * F.col("level") + F.coalesce("flat", F.lit(0))).cast("long").alias("cognitive"),
+    )
 
 
 def function_table(nodes: DataFrame) -> DataFrame:
