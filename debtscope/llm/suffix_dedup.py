@@ -20,7 +20,8 @@ WIDTH, GRAM = 200, 32
 HOT, SLICE = 4_000, 8
 #: Bits of the filter of repeated keys: so many a key, never more than the bound (128 MB).
 KEY_BITS, MOST_BITS = 32, 1 << 30
-_BUFFER = 4 << 20
+#: Bytes of text hashed together, bytes of contexts sorted together, and contexts that a task remembers.
+_BUFFER, _SORTED, _MEMORY = 1 << 20, 2 << 20, 500_000
 _STEP = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -147,7 +148,7 @@ class _Once:
         before = self.met.get(digest)
         if before:
             return None
-        if len(self.met) > 2_000_000:
+        if len(self.met) > _MEMORY:
             self.met.clear()
         self.met[digest] = before is not None
         return before is None
@@ -259,7 +260,7 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
     """``c1, c2, a, b``: ranges of bytes of each context that repeats cover.
 
     Contexts of a key come together; whole buckets are suffix-sorted about
-    ``_BUFFER`` bytes at a time. Equal contexts are one text with a multiplicity.
+    ``_SORTED`` bytes at a time. Equal contexts are one text with a multiplicity.
     """
     names = ["c1", "c2", "a", "b"]
 
@@ -280,7 +281,7 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
         size, bucket = 0, None
         for batch in batches:
             for h, c1, c2, context in zip(*(batch.column(n).to_pylist() for n in ("h", "c1", "c2", "context")), strict=True):
-                if h != bucket and size >= _BUFFER:
+                if h != bucket and size >= _SORTED:
                     yield ranges(held)
                     held, size = {}, 0
                 bucket = h
