@@ -7,7 +7,10 @@ tokens only. It is an approximation: statements continued over several lines
 count on their first line, scripts need braces for a body to have an extent,
 and regular-expression literals are read as operators.
 
-Positions are line number times 10000 plus an ordinal within the line.
+Positions follow the text. In Python they are eight times the line number plus
+a place for each kind of node, and leaves of a line share one place; node ids
+are unique however long a line is. In scripts every token has the next number
+of its file, whatever line it stands on.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from debtscope.functions.rows import let
 from debtscope.functions.text import is_blank
 from debtscope.operators.nodes import SCRIPT_LANGUAGES
 
-LINE = 10000
+LINE = 8
+# Place of the leaves of a Python line, after its statement, name, block and docstring.
+_LEAF = 5
+# Ordinal of nodes whose order among siblings plays no part.
+_LATER = 1 << 30
 
 # Strings, comments and the text between them, in one left-to-right pass.
 _PYTHON_TOKENS = (
@@ -60,15 +67,17 @@ _NODE = (
 )
 
 
-def _node(at: Column, parent: Column, ord_: Column, post: Column, kind: Column, end: Column, text: Column) -> Column:
+def _node(
+    at: Column, parent: Column, ord_: Column, post: Column, kind: Column, line: Column, end: Column, text: Column, pre: Column | None = None
+) -> Column:
     return F.struct(
         at.cast("long").alias("node_id"),
         parent.cast("long").alias("parent_id"),
         ord_.cast("int").alias("sibling_ord"),
-        at.cast("long").alias("pre"),
+        (at if pre is None else pre).cast("long").alias("pre"),
         post.cast("long").alias("post"),
         kind.alias("type"),
-        F.floor(at / LINE).cast("long").alias("start_line"),
+        line.cast("long").alias("start_line"),
         end.cast("long").alias("end_line"),
         text.alias("text"),
     )
@@ -78,14 +87,11 @@ def _hits(body: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(body, F.lit(pattern), 0))
 
 
-def _inner(line: Column, first: int, texts: Column, kind: str) -> Column:
-    """Leaf nodes within a line, one per array element."""
-    top = F.lit(0)
+def _inner(line: Column, slot: int, texts: Column, kind: str) -> Column:
+    """Leaf nodes within a Python line, one per array element, with ids below zero."""
+    pre, own = line * LINE + _LEAF, -((line.cast("long") * 4 + slot) * (1 << 28))
     return F.transform(
-        texts,
-        lambda t, i: _node(
-            line * LINE + first + i, top, F.lit(LINE) + i, line * LINE + first + i, F.lit(kind), line, t
-        ),
+        texts, lambda t, i: _node(own - i - 1, F.lit(0), F.lit(_LATER), pre, F.lit(kind), line, line, t, pre)
     )
 
 
@@ -213,9 +219,9 @@ def _python_nodes(lines: Column) -> Column:
         owner = x["word"].isin("def", "class")
         return F.array_compact(
             F.array(
-                _node(at, top, F.lit(LINE) + x["no"], post, kind, y["end"], x["body"]),
-                F.when(owner, _node(at + 1, at, top, at + 1, F.lit("identifier"), x["no"], name)),
-                F.when(owner, _node(at + 2, at, F.lit(1), post, F.lit("block"), y["end"], none)),
+                _node(at, top, F.lit(_LATER), post, kind, x["no"], y["end"], x["body"]),
+                F.when(owner, _node(at + 1, at, top, at + 1, F.lit("identifier"), x["no"], x["no"], name)),
+                F.when(owner, _node(at + 2, at, F.lit(1), post, F.lit("block"), x["no"], y["end"], none)),
             )
         )
 
@@ -227,8 +233,8 @@ def _python_nodes(lines: Column) -> Column:
             parent = F.when(i == 0, top).when(nested, owner["no"] * LINE + 2)
             at = x["no"] * LINE
             made = F.array(
-                _node(at + 3, parent, top, at + 4, F.lit("expression_statement"), x["no"], none),
-                _node(at + 4, at + 3, top, at + 4, F.lit("string"), x["no"], quote),
+                _node(at + 3, parent, top, at + 4, F.lit("expression_statement"), x["no"], x["no"], none),
+                _node(at + 4, at + 3, top, at + 4, F.lit("string"), x["no"], x["no"], quote),
             )
             return F.when(quote.isin('"""', "'''") & parent.isNotNull(), made).otherwise(F.array().cast(f"array<{_NODE}>"))
 
@@ -237,16 +243,16 @@ def _python_nodes(lines: Column) -> Column:
     def line_nodes(x: Column) -> Column:
         body, at = x["body"], x["no"] * LINE
         kind = reduce(lambda c, kv: c.when(x["word"] == kv[0], kv[1]), _PYTHON_LINES.items(), F.when(F.lit(False), ""))
-        single = F.array(_node(at, top, F.lit(LINE) + x["no"], at, kind, x["no"], body))
+        single = F.array(_node(at, top, F.lit(_LATER), at, kind, x["no"], x["no"], body))
         return F.concat(
             F.when(kind.isNotNull(), single).otherwise(F.array().cast(f"array<{_NODE}>")),
-            _inner(x["no"], 100, _repeat(_hits(body, r"\b(?:and|or)\b")), "boolean_operator"),
-            _inner(x["no"], 1000, _repeat(_hits(body, r"\belse\b(?!\s*:)")), "conditional_expression"),
-            _inner(x["no"], 2000, _calls(body), "call"),
-            _inner(x["no"], 9000, F.regexp_extract_all(body, F.lit("#"), 0), "comment"),
+            _inner(x["no"], 0, _repeat(_hits(body, r"\b(?:and|or)\b")), "boolean_operator"),
+            _inner(x["no"], 1, _repeat(_hits(body, r"\belse\b(?!\s*:)")), "conditional_expression"),
+            _inner(x["no"], 2, _calls(body), "call"),
+            _inner(x["no"], 3, F.regexp_extract_all(body, F.lit("#"), 0), "comment"),
         )
 
-    module = F.array(_node(top, F.lit(None), top, (last + 1) * LINE, F.lit("module"), last, none))
+    module = F.array(_node(top, F.lit(None), top, (last + 1) * LINE, F.lit("module"), top, last, none))
     return F.concat(
         module,
         let(
@@ -266,11 +272,15 @@ def outline_python(files: DataFrame) -> DataFrame:
     return nodes.select("file_id", "language", F.inline("_nodes"))
 
 
-# Script constructs by the text that starts them; a final brace opens the body.
+# Script constructs by the text that starts them. A head ends at the first brace outside of
+# brackets; that brace opens the body. Anything else of a line is one piece of text.
+_BRACKETS = r"\((?:[^\n()]|\((?:[^\n()]|\([^\n()]*+\))*+\))*+\)"
+_SCRIPT_HEADS = r"(?:async\s+)?\bfunction\b|\b(?:class|if|for|while|switch|catch)\b"
+_SCRIPT_WORDS = r"\bcase\b|\b(?:do|try|finally)\s*+\{|=>\s*+\{?|\belse\b"
 _SCRIPT_PARTS = (
-    r"(?:(?:async\s+)?\bfunction\b|\b(?:class|if|for|while|switch|catch)\b)[^\n]*\{(?=[ \t\r]*(?:\n|\z))"
-    r"|(?:(?:async\s+)?\bfunction\b|\b(?:class|if|for|while|switch|catch)\b)[^\n{}]*+\{?"
-    r"|\bcase\b|\b(?:do|try|finally)\s*+\{|=>\s*+\{?|\belse\b|[{}\n]"
+    rf"(?:{_SCRIPT_HEADS})(?:[^\n{{}}()]|{_BRACKETS})*+\{{?"
+    rf"|{_SCRIPT_WORDS}|[{{}}\n]"
+    rf"|(?:(?!{_SCRIPT_HEADS}|{_SCRIPT_WORDS})[^{{}}\n])++"
 )
 _SCRIPT_OPERATORS = (
     r"===|!==|==|!=|<=|>=|&&|\|\||\?\?|\*\*|(?<![=<>])[<>](?![=<>/])|(?<![*/])[*%](?![*=/])"
@@ -301,66 +311,69 @@ def _script_kind(token: Column) -> Column:
 def outline_script(files: DataFrame) -> DataFrame:
     """Nodes of JavaScript and TypeScript files from braces and keywords.
 
-    Only compact tokens are shuffled. A body ends at the next closing brace of
-    the same depth; a ``try`` runs on to the end of its handlers.
+    One stream of tokens holds structure, operators, calls and comments in the
+    order of the text, numbered without gaps in each file. A body ends at the
+    next closing brace of the same depth; a ``try`` runs on to the end of its
+    handlers. Only tokens are shuffled.
     """
     blanked = files.withColumn("_text", blank_script(F.col("content")))
-    tokens = blanked.select(
+    pieces = blanked.select(
         "file_id", "language", F.posexplode(F.regexp_extract_all("_text", F.lit(_SCRIPT_PARTS), 0)).alias("at", "token")
     )
-    opens = F.col("token").endswith("{")
-    closes = F.col("token") == "}"
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
+    token = F.col("token")
+    opens, closes = token.endswith("{"), token == "}"
+    goes_on = token.rlike("^(?:catch|finally|else)")
+    owner = F.col("kind").isin("function_declaration", "class_declaration")
+    name = F.regexp_extract("token", r"^(?:async\s+)?(?:function|class)\s*\*?\s*([\w$]+)", 1)
+    leaf = lambda kind, texts: F.transform(texts, lambda t: F.struct(F.lit(kind).alias("type"), t.alias("text")))
+    one = lambda kind, text: F.array(F.struct(kind.alias("type"), text.alias("text")))
+    none = F.array().cast("array<struct<type:string,text:string>>")
+    items = F.concat(
+        F.when(F.col("kind").isNotNull(), one(F.col("kind"), token)).when(closes | goes_on, one(F.lit("}"), token)).otherwise(none),
+        F.when(owner, one(F.lit("identifier"), name)).otherwise(none),
+        leaf("binary_expression", _repeat(_hits(token, _SCRIPT_OPERATORS))),
+        leaf("ternary_expression", _repeat(_hits(token, r"(?<!\?)\?(?![.?:])"))),
+        leaf("call_expression", _calls(token)),
+        leaf("comment", F.regexp_extract_all(token, F.lit("//"), 0)),
+    )
     so_far = W.partitionBy("file_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    placed = (
-        tokens.withColumn("line", 1 + F.count_if(F.col("token") == "\n").over(so_far))
-        .withColumn("after", F.sum(step).over(so_far))
-        .withColumn("depth", F.col("after") - F.when(opens, 1).otherwise(0))
-        .where("token <> '\n'")
+    step = F.when(opens, 1).when(closes, -1).otherwise(0)
+    breaks = F.length(F.regexp_replace(token, r"[^\n]", ""))
+    numbered = (
+        pieces.withColumn("line", 1 + F.sum(breaks).over(so_far) - breaks)
+        .withColumn("depth", F.sum(step).over(so_far) - F.when(opens, 1).otherwise(0))
+        .withColumn("kind", _script_kind(token))
+        .select("file_id", "language", "at", "token", "line", "depth", "kind", F.posexplode(items).alias("sub", "item"))
+        .withColumn("pos", F.row_number().over(W.partitionBy("file_id").orderBy("at", "sub")).cast("long"))
+        .select("*", "item.*")
     )
-    kind = _script_kind(F.col("token"))
-    later = W.partitionBy("file_id", "depth").orderBy("at").rowsBetween(1, W.unboundedFollowing)
-    closing = F.min(F.when(closes, F.struct("at", "line"))).over(later)
-    goes_on = F.col("token").rlike("^(?:catch|finally|else)")
-    sized = (
-        placed.withColumn("kind", kind)
-        .withColumn("close", F.when(opens & F.col("kind").isNotNull(), closing))
-        .withColumn("handler_end", F.lead(F.when(goes_on, F.col("close")), 2).over(W.partitionBy("file_id", "depth").orderBy("at")))
+
+    leads = (F.col("sub") == 0) & (F.col("kind").isNotNull() | closes | goes_on)
+    marks = numbered.where(leads)
+    # Read backwards, the last brace seen is the next one, and the frame only grows.
+    backwards = W.partitionBy("file_id", "depth").orderBy(F.col("at").desc())
+    seen = backwards.rowsBetween(W.unboundedPreceding, -1)
+    closing = F.last(F.when(closes, F.struct("pos", "line")), ignorenulls=True).over(seen)
+    sized = marks.withColumn("close", F.when(opens, closing)).withColumn(
+        "handler_end", F.lag(F.when(goes_on, F.col("close")), 2).over(backwards)
     )
-    end_of = F.when((F.col("kind") == "try_statement") & F.col("handler_end").isNotNull(), F.col("handler_end")).otherwise(F.col("close"))
-    ordinal = F.row_number().over(W.partitionBy("file_id", "line").orderBy("at"))
-    numbered = sized.where("kind is not null").withColumn("end", end_of).withColumn("pre", F.col("line") * LINE + ordinal * 3)
-    end_line = F.coalesce("end.line", "line")
-    name = F.regexp_extract("token", r"^(?:async\s+)?(?:function|class)\s*\*?\s*([\w$]+)", 1)
-    none = F.lit(None).cast("string")
-    same_line = F.col("pre") + F.when(F.col("kind").isin("function_declaration", "class_declaration"), 2).otherwise(0)
-    post = F.when(end_line > F.col("line"), end_line * LINE).when(F.col("end").isNotNull(), F.col("line") * LINE + LINE - 1).otherwise(same_line)
-    owner = F.col("kind").isin("function_declaration", "class_declaration")
-    made = F.array_compact(
-        F.array(
-            _node(F.col("pre"), F.lit(0), F.col("line") * 2 + 1, post, F.col("kind"), end_line, F.col("token")),
-            F.when(owner, _node(F.col("pre") + 1, F.col("pre"), F.lit(0), F.col("pre") + 1, F.lit("identifier"), F.col("line"), name)),
-        )
+    end = F.when((F.col("kind") == "try_statement") & F.col("handler_end").isNotNull(), F.col("handler_end")).otherwise(F.col("close"))
+    ended = sized.where("kind is not null").withColumn("end", end)
+    post = F.coalesce("end.pos", F.col("pos") + F.when(owner, 1).otherwise(0))
+    zero, line = F.lit(0), F.col("line")
+    structure = ended.select(
+        "file_id", "language", _node(F.col("pos"), zero, line * 2 + 1, post, F.col("kind"), line, F.coalesce("end.line", "line"), token).alias("n")
     )
-    structure = numbered.select("file_id", "language", F.inline(made))
-
-    rows = blanked.select("file_id", "language", F.posexplode(F.split("_text", "\n", -1)).alias("i", "body")).withColumn("no", F.col("i") + 1)
-    body, no = F.trim("body"), F.col("no")
-    leaves = F.concat(
-        _inner(no, 6000, _repeat(_hits(body, _SCRIPT_OPERATORS)), "binary_expression"),
-        _inner(no, 7000, _repeat(_hits(body, r"(?<!\?)\?(?![.?:])")), "ternary_expression"),
-        _inner(no, 8000, _calls(body), "call_expression"),
-        _inner(no, 9000, F.regexp_extract_all(body, F.lit("//"), 0), "comment"),
+    small = numbered.where(~leads).withColumn("named", F.col("type") == "identifier")
+    parent, ord_ = F.when(F.col("named"), F.col("pos") - 1).otherwise(zero), F.when(F.col("named"), zero).otherwise(F.lit(_LATER))
+    inner = small.select(
+        "file_id", "language", _node(F.col("pos"), parent, ord_, F.col("pos"), F.col("type"), line, line, F.col("text")).alias("n")
     )
-    inner = rows.select("file_id", "language", F.inline(leaves))
-
-    blocks = _block_comments(blanked)
     module = files.select(
-        "file_id",
-        "language",
-        F.inline(F.array(_node(F.lit(0), F.lit(None), F.lit(0), F.lit(1 << 50), F.lit("program"), F.lit(1), none))),
+        "file_id", "language", _node(zero, F.lit(None), zero, F.lit(1 << 50), F.lit("program"), zero, F.lit(1), F.lit(None).cast("string")).alias("n")
     )
-    return module.unionByName(structure).unionByName(inner).unionByName(blocks)
+    rows = module.unionByName(structure).unionByName(inner).select("file_id", "language", "n.*")
+    return rows.unionByName(_block_comments(blanked))
 
 
 def _block_comments(blanked: DataFrame) -> DataFrame:
@@ -376,12 +389,13 @@ def _block_comments(blanked: DataFrame) -> DataFrame:
     placed = started.withColumn("end", end).withColumn("next", F.col("end") + gap)
     first = F.col("head") & (F.row_number().over(W.partitionBy("file_id").orderBy("i")) == 1)
     ordered = placed.withColumn("ord", F.when(first, 0).otherwise(F.col("next") * 2))
-    at = F.col("start") * LINE + 9500
-    node = _node(at, F.lit(0), F.col("ord"), at, F.lit("comment"), F.col("end"), F.substring("piece", 1, 3))
+    # Ids below zero; comments hold nothing, so their place does not matter.
+    at = -(F.col("i") * 2 + 1)
+    node = _node(at, F.lit(0), F.col("ord"), at, F.lit("comment"), F.col("start"), F.col("end"), F.substring("piece", 1, 3))
     # A comment that opens the file and also stands right above a node gets a
     # second entry without lines, so that both rules find it.
-    below = (F.col("end") + 1) * LINE + 9500
-    anchor = _node(below, F.lit(0), F.col("next") * 2, below, F.lit("comment"), F.col("end"), F.substring("piece", 1, 3))
+    below = at - 1
+    anchor = _node(below, F.lit(0), F.col("next") * 2, below, F.lit("comment"), F.col("end") + 1, F.col("end"), F.substring("piece", 1, 3))
     both = F.array_compact(F.array(node, F.when(F.col("ord") == 0, anchor)))
     return ordered.select("file_id", "language", F.inline(both))
 

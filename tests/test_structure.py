@@ -241,3 +241,31 @@ def test_duplication_against_brute_force(spark):
             n, covered, repeats = brute_duplication(content, window=window)
             assert (totals[i].total_lines, totals[i].duplicated_lines) == (n, covered)
             assert blocks.get(i, {}) == repeats
+
+
+def test_scripts_of_one_line(spark):
+    body = "function f%d(a,b){if(a>0&&call%d(b)){return a?b:a}for(var i=0;i<b;i++){a+=i}return a}"
+    sources = [(str(n), "javascript", "".join(body % (i, i) for i in range(n))) for n in (1, 500, 3000)]
+    nodes = outline(spark.createDataFrame(sources, "file_id string, language string, content string")).cache()
+    alone = nodes.where("file_id = '1'").count() - 1
+    for n in (500, 3000):
+        mine = nodes.where(f"file_id = '{n}'")
+        assert mine.count() == mine.select("node_id").distinct().count() == alone * n + 1
+    values = function_complexity(nodes).groupBy("file_id").agg(F.count("*").alias("n"), F.min("cyclomatic").alias("low"), F.max("cyclomatic").alias("high"), F.max("cognitive").alias("load"))
+    rows = {r.file_id: r for r in values.collect()}
+    one = rows["1"]
+    # if, for and the ternary; half each for >, && and <; the ternary opens no level of its own
+    assert (one.n, one.low, one.load) == (1, 1 + 3 + 0.5 * 3, 1 + 1 + 1)
+    for n in (500, 3000):
+        assert (rows[str(n)].n, rows[str(n)].low, rows[str(n)].high, rows[str(n)].load) == (n, one.low, one.low, one.load)
+    nodes.unpersist()
+
+
+def test_a_long_python_line_keeps_every_node(spark):
+    text = "def f(a):\n    return " + " or ".join(f"g{i}(a)" for i in range(3000)) + "\ndef h():\n    return 1\n"
+    nodes = outline(spark.createDataFrame([("p", "python", text)], "file_id string, language string, content string"))
+    rows = nodes.groupBy("type").count().collect()
+    counts = {r["type"]: r["count"] for r in rows}
+    assert (counts["boolean_operator"], counts["call"], counts["function_definition"]) == (2999, 3000, 2)
+    assert nodes.count() == nodes.select("node_id").distinct().count()
+    assert {r.cyclomatic for r in function_complexity(nodes).collect()} == {1 + 0.5 * 2999, 1.0}
