@@ -21,9 +21,11 @@ from debtscope.session import table, work_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines; ``n_chars`` follows the text."""
-    judged = clean_lines(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text").where("kept")
+    judged = clean_lines(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judged.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    row = F.struct(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    # A filter would be pushed below the measures and take them a second time.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("_kept")).select("_kept.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
