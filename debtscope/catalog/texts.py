@@ -11,7 +11,7 @@ from debtscope.functions.labels import severity
 from debtscope.functions.rows import round_to
 from debtscope.functions.scores import content_size_score
 from debtscope.functions.text import byte_span, line_count
-from debtscope.operators.duplication import duplicate_blocks, file_duplication, repeated_windows
+from debtscope.operators.duplication import duplicate_blocks, file_duplication, repeated_windows, scoped_duplication, shared_blocks
 from debtscope.operators.nodes import comments_of
 from debtscope.operators.rollup import repository_rollup
 from debtscope.plans.bindings import document_files
@@ -101,6 +101,34 @@ def duplicate_block_list(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SCOPED = """
+WITH {lines}, scoped AS (SELECT g.*, source FROM good g JOIN doc_lines USING (doc_id)),
+often AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {keys}) AS n FROM scoped) WHERE n > 1),
+hit AS (SELECT doc_id, count(DISTINCT pos + k) AS d FROM often, range(6) AS t(k) GROUP BY doc_id)
+SELECT doc_id AS file_id, len(ls)::BIGINT AS total_lines, coalesce(d, 0)::BIGINT AS duplicated_lines FROM doc_lines LEFT JOIN hit USING (doc_id)
+"""
+
+
+@query(_SCOPED.format(lines=DOCUMENT_LINES, keys="source, hash"))
+def duplication_in_repositories(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document in blocks that its source holds elsewhere too."""
+    return scoped_duplication(document_files(spark, folder), "repo")
+
+
+@query(_SCOPED.format(lines=DOCUMENT_LINES, keys="hash"))
+def duplication_in_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document in blocks that any document holds elsewhere too."""
+    return scoped_duplication(document_files(spark, folder), "corpus")
+
+
+@query(f"""
+WITH {DOCUMENT_LINES} SELECT hash, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM good GROUP BY hash HAVING count(*) > 1
+""")
+def corpus_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block that the corpus holds more than once."""
+    return shared_blocks(document_files(spark, folder))
+
+
 @query(f"""
 WITH {DOCUMENT_LINES}
 SELECT doc_id AS file_id, count(*) AS repeated_windows, count(DISTINCT hash) AS distinct_windows

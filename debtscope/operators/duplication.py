@@ -116,3 +116,51 @@ def duplicate_blocks(
         F.lit(window).alias("line_count"),
         F.min_by("sample", "pos").alias("sample_text"),
     )
+
+
+SCOPES = {"file": ("file_id",), "repo": ("repo",), "corpus": ()}
+
+
+def _placed_windows(files: DataFrame, scope: str, min_block: int, window: int, content: str) -> tuple[DataFrame, list[str]]:
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope {scope!r}, use one of {sorted(SCOPES)}")
+    within = list(SCOPES[scope])
+    keys = list(dict.fromkeys(["file_id", *within]))
+    hashes = window_hashes(split_lines(F.col(content)), min_block, window)
+    return files.select(*keys, F.explode(hashes).alias("w")).select(*keys, "w.hash", "w.pos"), within
+
+
+def shared_blocks(
+    files: DataFrame, scope: str = "corpus", min_block: int = 4, window: int = 6, content: str = "content"
+) -> DataFrame:
+    """One row per block that a file, a repository or the corpus holds more than once: places and files.
+
+    ``files`` needs ``file_id``, for scope "repo" also ``repo``. Only hashes
+    are shuffled, counted per file first, and no list of places is made.
+    """
+    windows, within = _placed_windows(files, scope, min_block, window, content)
+    in_file = windows.groupBy(*dict.fromkeys([*within, "file_id"]), "hash").agg(F.count("*").alias("n"))
+    return (
+        in_file.groupBy(*within, "hash")
+        .agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"))
+        .where("occurrences > 1")
+    )
+
+
+def scoped_duplication(
+    files: DataFrame, scope: str = "corpus", min_block: int = 4, window: int = 6, content: str = "content"
+) -> DataFrame:
+    """``file_id, total_lines, duplicated_lines``: lines in blocks that also stand elsewhere within the scope.
+
+    Windows meet their counts by hash, one row for each hash however many
+    files share it; positions come back as one short list per file.
+    """
+    windows, within = _placed_windows(files, scope, min_block, window, content)
+    often = windows.groupBy(*within, "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    covered = (
+        windows.join(often, [*within, "hash"], "left_semi")
+        .groupBy("file_id")
+        .agg(covered_lines(F.collect_list("pos"), window).alias("duplicated_lines"))
+    )
+    lines = files.select("file_id", F.size(split_lines(F.col(content))).cast("long").alias("total_lines"))
+    return lines.join(covered, "file_id", "left").withColumn("duplicated_lines", F.coalesce("duplicated_lines", F.lit(0)).cast("long"))

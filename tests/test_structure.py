@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from debtscope.operators.annotations import documentation_gaps, file_records, function_notes
 from debtscope.operators.complexity import file_complexity, function_complexity, function_table, with_function_list
 from debtscope.operators.documentation import documented_entities, documented_modules, file_documentation
-from debtscope.operators.duplication import duplicate_blocks, file_duplication
+from debtscope.operators.duplication import duplicate_blocks, file_duplication, scoped_duplication, shared_blocks
 from debtscope.operators.handling import file_handling, function_handling
 from debtscope.operators.nodes import file_outline_metrics
 from debtscope.operators.outline import blank_python, outline
@@ -269,3 +269,16 @@ def test_a_long_python_line_keeps_every_node(spark):
     assert (counts["boolean_operator"], counts["call"], counts["function_definition"]) == (2999, 3000, 2)
     assert nodes.count() == nodes.select("node_id").distinct().count()
     assert {r.cyclomatic for r in function_complexity(nodes).collect()} == {1 + 0.5 * 2999, 1.0}
+
+
+def test_scopes_of_duplication(spark):
+    block, other = "\n".join(f"v{i} = {i}" for i in range(6)), "\n".join(f"w{i} = {i}" for i in range(6))
+    rows = [("a", "r1", block), ("b", "r1", block + "\nx"), ("c", "r2", block), ("d", "r2", other + "\n" + other), ("e", "r2", "")]
+    rows += [(f"n{i}", "hot", block) for i in range(300)]
+    df = spark.createDataFrame(rows, "file_id string, repo string, content string")
+    lines = {s: {r.file_id: r.duplicated_lines for r in scoped_duplication(df, s).collect()} for s in ("file", "repo", "corpus")}
+    assert [lines["file"][k] for k in "abcde"] == [0, 0, 0, 12, 0]
+    assert [lines["repo"][k] for k in "abcde"] == [6, 6, 0, 12, 0] and lines["repo"]["n7"] == 6
+    assert [lines["corpus"][k] for k in "abcde"] == [6, 6, 6, 12, 0]
+    shared = sorted((r.occurrences, r.files) for r in shared_blocks(df).collect())
+    assert shared == [(2, 1), (303, 303)]
