@@ -198,7 +198,7 @@ def _contexts(docs: DataFrame, known) -> DataFrame:
                     digests.append(digest)
                     fresh.append(wants is not None)
                 if rows:
-                    owner = batch.take(pa.array(which[unit]))
+                    owner = batch.select([f.name for f in carried]).take(pa.array(which[unit]))
                     columns = [*_context_rows(rows, digests), pa.array(fresh), *[owner.column(f.name) for f in carried], pa.array(first - (ends - sizes)[unit] + offsets[unit])]
                     yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -249,7 +249,7 @@ def _sliced(contexts: DataFrame, known) -> DataFrame:
                         parents.append(i)
                         at.append(a)
             if rows:
-                owner = batch.take(pa.array(parents, pa.int64()))
+                owner = batch.select(["c1", "c2"]).take(pa.array(parents, pa.int64()))
                 columns = [*_context_rows(rows, digests), pa.array(fresh), owner.column("c1"), owner.column("c2"), pa.array(at, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, [*_NAMES, "fresh", "p1", "p2", "at"])
 
