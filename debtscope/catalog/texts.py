@@ -201,14 +201,15 @@ def document_comments(spark: SparkSession, folder: str) -> DataFrame:
     return comments_of(document_files(spark, folder)).withColumn("line", F.col("line").cast("long"))
 
 
-@query("""
-SELECT doc_id AS file_id, decode(array_slice(encode(text), 4, 10)) AS span
-FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM documents)
-""")
+@query("SELECT doc_id AS file_id, substr(text, 4, 7) AS head, md5(substr(text, 4)) AS rest FROM documents")
 def byte_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes 3 to 10 of each document's ASCII form."""
-    ascii_text = F.regexp_replace("content", "[^ -~]", "?")
-    return document_files(spark, folder).select("file_id", byte_span(ascii_text, F.lit(3), F.lit(10)).alias("span"))
+    """Spans of each document by byte offsets that follow from characters: its fourth to tenth, and all from the fourth on."""
+    text, bytes_of = F.col("content"), lambda n: F.octet_length(F.substring("content", 1, n))
+    return document_files(spark, folder).select(
+        "file_id",
+        byte_span(text, bytes_of(3), bytes_of(10)).alias("head"),
+        F.md5(byte_span(text, bytes_of(3), F.octet_length(text))).alias("rest"),
+    )
 
 
 @query(f"""
