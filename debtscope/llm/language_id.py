@@ -39,7 +39,7 @@ def codewords(n: int) -> np.ndarray:
     """
     size = max(16, 1 << n.bit_length())
     rows = np.array([[1 - 2 * ((i & j).bit_count() & 1) for j in range(size)] for i in range(1, n + 1)]).reshape(n, size)
-    return rows[:, (rows.max(axis=0) != rows.min(axis=0))] if n else rows
+    return rows[:, rows.max(axis=0) != rows.min(axis=0)] if n > 1 else rows[:, :0]
 
 
 class LanguageCode:
@@ -48,13 +48,13 @@ class LanguageCode:
     def __init__(self, names: list[str], counts: np.ndarray):
         self.names = names
         self.code = codewords(len(names))
-        chance = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True) if len(names) else counts
+        chance = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
         weights = []
         for bit in self.code.T:
             weights.append(np.log(chance[bit > 0].mean(axis=0)) - np.log(chance[bit < 0].mean(axis=0)))
         self.weights = np.array(weights, np.float32).T.copy() if weights else np.zeros((BUCKETS, 0), np.float32)
         # A place weighs as much as it tells apart the two languages it separates worst.
-        sure = (self.code * (chance @ self.weights)).min(axis=0) if weights else np.zeros(0)
+        sure = (self.code * (chance @ self.weights)).min(axis=0) if len(weights) else np.zeros(0)
         self.trust = np.maximum(sure, 1e-6) / max(sure.max(initial=0), 1e-6)
 
     def decide(self, text: bytes) -> tuple[str, float, bool]:
