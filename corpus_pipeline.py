@@ -14,7 +14,7 @@ from debtscope.llm.mixing import mix_documents
 from debtscope.llm.quality_rules import clean_lines
 from debtscope.llm.queries import tokenizer_config
 from debtscope.llm.shared import stored
-from debtscope.llm.simhash import drop_near_copies
+from debtscope.llm.shingle_pairs import drop_like_texts
 from debtscope.llm.token_files import read_token_files, write_token_files
 from debtscope.session import table, work_path
 
@@ -29,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by shingles of five words."""
-    return drop_near_copies(docs, shingle=5, max_bits=3)
+    """One document of each group of texts that share 0.8 or more of their shingles of five words."""
+    return drop_like_texts(docs, shingle=5, max_bits=3, at_least="0.8")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,162 @@
+"""Pairs of texts with like sets of word shingles: MinHash bands propose, exact Jaccard decides."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
+
+from debtscope.llm.components import components
+from debtscope.llm.shared import in_arrow, stored
+from debtscope.llm.simhash import bit_sums, links, shingle_hashes
+from debtscope.llm.suffix_dedup import key_filter, passes
+
+#: Bands of MinHash values and values a band: a pair at 0.8 meets in one with probability 0.99993.
+BANDS, ROWS = 24, 5
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_CHUNK = 1 << 10
+
+
+def shingle_set(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Distinct hashes in order, and a key that equal sets share."""
+    distinct = np.unique(hashes)
+    return distinct, xxhash.xxh3_64_intdigest(distinct.tobytes())
+
+
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash values of a set; none for the empty set."""
+    if not len(distinct):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), _CHUNK):
+        np.minimum(least, (distinct[at : at + _CHUNK, None] * _FACTORS).min(axis=0), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(bands[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def with_bands(docs: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """Columns of ``docs`` but the text, and ``fingerprint``, ``node`` (key of the shingle set), ``n`` and ``bands``."""
+    carried = [f for f in docs.schema if f.name != text_col]
+    added = T.StructType.fromDDL("fingerprint bigint, node bigint, n int, bands array<bigint>")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, nodes, sizes, bands = [], [], [], []
+            for x in batch.column(text_col).cast(pa.binary()):
+                hashes = shingle_hashes(x.as_py() or b"", shingle, seed)
+                distinct, node = shingle_set(hashes)
+                prints.append(bit_sums(hashes))
+                nodes.append(node)
+                sizes.append(len(distinct))
+                bands.append(band_keys(distinct))
+            ends = np.cumsum([0, *map(len, bands)])
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *bands]))
+            columns = [pa.array(prints, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in carried], *columns], [*[f.name for f in carried], *added.names])
+
+    return in_arrow(docs, scan, T.StructType([*carried, *added]))
+
+
+def _sets(texts: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``node, hashes`` of the wanted nodes; only texts whose hash passes a filter are read by Python."""
+    known = key_filter(nodes.select(F.col("t").alias("h")).distinct())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.flatnonzero(passes(known.value, batch.column("t").to_numpy().view(np.uint64)))
+            found = [shingle_set(shingle_hashes(x.as_py() or b"", shingle, seed)) for x in batch.column("text").cast(pa.binary()).take(pa.array(good))]
+            values = [pa.array(np.array([k for _, k in found], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x, _ in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(values, ["node", "hashes"])
+
+    sets = in_arrow(texts, scan, "node bigint, hashes array<bigint>")
+    return sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, at_least: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of ``at_least`` or more."""
+    up, down = at_least.numerator, at_least.denominator
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common * down >= (len(x) + len(y) - common) * up)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return in_arrow(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y"), scan, "a bigint, b bigint")
+
+
+def like_groups(docs: DataFrame, shingle: int, max_bits: int, seed: int, at_least: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Groups of ``docs`` (``doc_id, t, text``; t a hash of the text): ``doc_id, t, fingerprint, node`` and ``node, root``.
+
+    Texts of equal sets are one node. Candidates are pairs of nodes that share a
+    band, and those that SimHash links; all are verified on whole sets. Roots
+    are the components of the verified pairs. In a band each node is held
+    against the smallest one first. Where a band still has several components,
+    all nodes outside of its largest are held against all others of it, so
+    a band of copies costs as many pairs as it has nodes and no pair of a band
+    is left out that could join two components.
+    """
+    up, down = at_least.numerator, at_least.denominator
+    prints = stored(with_bands(docs, "text", shingle, seed), "shingle-bands", compression="zstd")
+    nodes = stored(prints.where("n > 0").groupBy("node").agg(F.min_by(F.struct("t", "fingerprint", "n", "bands"), "t").alias("_x")).select("node", "_x.*"), "shingle-nodes", compression="zstd")
+    banded = nodes.select("node", "n", F.explode("bands").alias("key"))
+    along = W.partitionBy("key").orderBy("node")
+    first = F.first(F.struct("node", "n")).over(along)
+    met = banded.select("key", "node", "n", first.alias("hub"), F.lead("node").over(along).alias("_next")).where("_next is not null or node != hub.node")
+    met = stored(met.select("key", "node", "n", "hub"), "shingle-met", compression="zstd")
+
+    def fits(m: Column, n: Column) -> Column:
+        return F.least(m, n) * down >= F.greatest(m, n) * up
+
+    hubs = met.where("node != hub.node").where(fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    classes = stored(nodes.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("node").alias("rep")), "print-classes")
+    near = links(classes.select("fp"), max_bits)
+    left, right = classes.select(F.col("fp").alias("a"), F.col("rep").alias("_a")), classes.select(F.col("fp").alias("b"), F.col("rep").alias("_b"))
+    linked = near.join(left, "a").join(right, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    twins = nodes.join(classes, (F.col("fingerprint") == F.col("fp")) & (F.col("node") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = stored(hubs.union(linked).union(twins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
+    wanted = met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = stored(_sets(docs.select("t", "text"), nodes.join(wanted, "node", "left_semi").select("node", "t"), shingle, seed), "shingle-sets", compression="zstd")
+    found = stored(_alike(pairs, sets, at_least), "shingle-links")
+
+    roots = stored(components(found), "shingle-roots")
+    rooted = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    parts = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("_parts"))
+    still = stored(rooted.join(parts.where("_parts > 1"), "key"), "shingle-open")
+    outside = still.where("root != most").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("_r"))
+    others = still.select("key", F.col("node").alias("b"), "n", "root")
+    more = outside.join(others, "key").where((F.col("_r") != F.col("root")) & fits(F.col("m"), F.col("n")))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = stored(_alike(more, sets, at_least), "shingle-links")
+    return prints.select("doc_id", "t", "fingerprint", "node"), stored(components(found.union(rest)), "shingle-roots")
+
+
+def drop_like_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3, at_least: str = "0.8", seed: int = 42) -> DataFrame:
+    """``docs`` with one document of each group of like texts: that of the smallest id, then of the smallest text.
+
+    Ids may repeat or be null. Documents without words are one group.
+    """
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    hashed = F.xxhash64(F.coalesce(text, F.lit("")))
+    prints, roots = like_groups(docs.select(id_.alias("doc_id"), hashed.alias("t"), text.alias("text")), shingle, max_bits, seed, Fraction(at_least))
+    grouped = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("_root"))
+    first = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("t").alias("_t"))).alias("_x"))
+    chosen = stored(first.select("_x._id", "_x._t"), "like-chosen")
+    kept = docs.withColumn("_t_of", hashed).join(chosen, id_.eqNullSafe(F.col("_id")) & (F.col("_t_of") == F.col("_t")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = prints.join(chosen, prints["doc_id"].eqNullSafe(chosen["_id"]) & (prints["t"] == chosen["_t"]), "left_semi")
+    if found.count() == chosen.count():
+        return kept.select(row.alias("_row")).select("_row.*")
+    # Equal rows of the same id and text: one stays.
+    return kept.groupBy("_id", "_t").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")

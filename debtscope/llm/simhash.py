@@ -21,13 +21,17 @@ _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a UTF-8 text; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Hash of every word shingle of a UTF-8 text; a text of fewer words is one shingle, none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*[words[i:] for i in range(shingle)])))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+
+
+def bit_sums(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes; 0 of none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = np.ascontiguousarray(hashes[at : at + _CHUNK]).view(np.uint8).reshape(-1, 8)
@@ -36,6 +40,11 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of a UTF-8 text; 0 without words."""
+    return bit_sums(shingle_hashes(text, shingle, seed))
+
+
 def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, seed: int = 42, out: str = "fingerprint") -> DataFrame:
     """Columns of ``docs`` but the text, and the fingerprint as a long.
 

@@ -100,13 +100,18 @@ def _binary(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
 
 
 def _repeated_keys(keys: DataFrame):
-    """A broadcast filter that holds every key counted at least twice.
+    """A broadcast filter that holds every key counted at least twice."""
+    return key_filter(keys.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h"))
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast filter that holds the distinct keys ``h``.
 
     It only spares work: keys that pass by chance are told apart later. Its
     size follows the number of keys up to a fixed bound.
     """
     spark = keys.sparkSession
-    often = stored(keys.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h"), "repeated-keys")
+    often = stored(keys, "repeated-keys")
     bits = 1 << 16
     wanted = min(often.count() * KEY_BITS, MOST_BITS)
     while bits < wanted:
@@ -119,7 +124,7 @@ def _repeated_keys(keys: DataFrame):
     return spark.sparkContext.broadcast(table.view(np.uint64))
 
 
-def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     low = h & np.uint64(len(table) * 64 - 1)
     return (table[(low >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
@@ -186,7 +191,7 @@ def _contexts(docs: DataFrame, known) -> DataFrame:
             for data, which, offsets, sizes in _buffers(_binary(batch, "text")):
                 ends = np.cumsum(sizes)
                 first, last, place, h = window_anchors(np.frombuffer(data, np.uint8), ends, sizes)
-                good = _passes(known.value, h)
+                good = passes(known.value, h)
                 first, last, place, h = first[good], last[good], place[good], h[good]
                 unit = np.searchsorted(ends, first, "right")
                 rows, digests, fresh = [], [], []
@@ -237,7 +242,7 @@ def _sliced(contexts: DataFrame, known) -> DataFrame:
             rows, digests, fresh, parents, at = [], [], [], [], []
             for i, (x, gap) in enumerate(zip(batch.column("context").to_pylist(), batch.column("gap").to_pylist(), strict=True)):
                 cells = list(_slices(x, gap))
-                good = _passes(known.value, np.array([c[2] for c in cells], np.uint64))
+                good = passes(known.value, np.array([c[2] for c in cells], np.uint64))
                 for (a, b, key, left), yes in zip(cells, good.tolist(), strict=True):
                     if yes:
                         piece = x[a : b + WIDTH]

@@ -1,0 +1,58 @@
+"""Groups of like shingle sets against brute-force Jaccard."""
+
+import random
+
+from debtscope.llm.shingle_pairs import drop_like_texts
+from debtscope.llm.simhash import fingerprint
+
+
+def shingles(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))}
+
+
+def alike(a, b):
+    return len(a & b) * 10 >= len(a | b) * 8
+
+
+def edited_texts():
+    r = random.Random(3)
+    rows = []
+    for _ in range(40):
+        base = [f"w{r.randrange(5_000)}" for _ in range(r.randint(60, 300))]
+        rows.append(" ".join(base))
+        for edits in (1, 2, 3, 5):
+            copy = list(base)
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(5_000)}"
+            rows.append(" ".join(copy))
+    return rows
+
+
+def test_edited_copies_go_and_others_stay(make):
+    texts = edited_texts()
+    sets, top = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                far += ((fingerprint(texts[i].encode(), 5) ^ fingerprint(texts[j].encode(), 5)) & (2**64 - 1)).bit_count() > 3
+                a, b = root(i), root(j)
+                top[max(a, b)] = min(a, b)
+    assert far > 40
+    kept = drop_like_texts(make(list(enumerate(texts))))
+    assert sorted(k.doc_id for k in kept.collect()) == sorted({root(i) for i in range(len(texts))})
+
+
+def test_repeated_and_missing_ids(make):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = make([(1, a), (1, b), (1, b), (None, a + " c"), (None, "p q r s t u"), (None, "v w x y z"), (7, None), (8, " ")])
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in drop_like_texts(docs).collect()))
+    assert kept == sorted([(1, a), (1, b), (0, "p q r s t u"), (0, "v w x y z"), (7, "")])
+    assert drop_like_texts(make([])).count() == 0
