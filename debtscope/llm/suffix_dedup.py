@@ -16,7 +16,7 @@ from debtscope.llm.suffix_sort import repeated_starts
 
 #: Length of a repeat, and of the piece of it that leads equal strings to one bucket.
 WIDTH, GRAM = 200, 32
-#: A bucket of more contexts than HOT is dealt out again by slices of SLICE starts.
+#: A bucket of more contexts than HOT is dealt out again by slices of SLICE starts, and a bucket of more slices by windows.
 HOT, SLICE = 4_000, 8
 #: Bits of the filter of repeated keys: so many a key, never more than the bound (128 MB).
 KEY_BITS, MOST_BITS = 32, 1 << 30
@@ -302,6 +302,34 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
     return in_arrow(dealt, scan, "c1 bigint, c2 bigint, a bigint, b bigint")
 
 
+def _window_keys(contexts: DataFrame) -> DataFrame:
+    """Each window of each context: the halves of its digest, and the context and place it has."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("context").to_pylist()
+            many = np.array([len(x) - WIDTH + 1 for x in texts], np.int64)
+            digests = b"".join(xxhash.xxh3_128_digest(x[a : a + WIDTH]) for x, n in zip(texts, many.tolist(), strict=True) for a in range(n))
+            both = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            owner = batch.select(["c1", "c2"]).take(pa.array(np.repeat(np.arange(len(texts)), many)))
+            at = np.arange(len(both)) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), owner.column("c1"), owner.column("c2"), pa.array(at, pa.int64())], ["w1", "w2", "c1", "c2", "a"])
+
+    return in_arrow(contexts.select("c1", "c2", "context"), scan, "w1 bigint, w2 bigint, c1 bigint, c2 bigint, a bigint")
+
+
+def _counted_repeats(pieces: DataFrame) -> DataFrame:
+    """``c1, c2, a, b`` of ``_sorted_repeats`` for crowded slices: windows are counted by digest in partial sums.
+
+    No bucket of texts is made. Slices met more than once are covered whole.
+    """
+    windows = _zipped(_window_keys(pieces.where("context is not null")), "crowded-windows")
+    often = windows.groupBy("w1", "w2").count().where("count >= 2").select("w1", "w2")
+    again = pieces.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.max("size").cast("long").alias("b")).where("n > 1")
+    once = windows.join(often, ["w1", "w2"]).select("c1", "c2", "a", (F.col("a") + WIDTH).alias("b")).distinct()
+    return once.union(again.select("c1", "c2", F.lit(0).cast("long"), "b"))
+
+
 def repeat_ranges(docs: DataFrame) -> DataFrame:
     """Byte ranges of ``docs`` (``text`` and key columns) that repeats cover: the keys, ``start`` and ``end``."""
     keys = [c for c in docs.columns if c != "text"]
@@ -313,7 +341,11 @@ def repeat_ranges(docs: DataFrame) -> DataFrame:
         crowded = fresh.join(hot, "h", "left_semi")
         bytes_of = crowded.where("context is not null")
         pieces = _zipped(_sliced(bytes_of, _repeated_keys(_slice_keys(bytes_of))), "repeat-slices")
-        inner = _sorted_repeats(pieces.where("fresh"))
+        cut = pieces.where("fresh")
+        full = stored(cut.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot-slices")
+        inner = _sorted_repeats(cut.join(full, "h", "left_anti"))
+        if full.count():
+            inner = inner.union(_counted_repeats(cut.join(full, "h", "left_semi")))
         placed = pieces.select("c1", "c2", "p1", "p2", "at").join(inner, ["c1", "c2"])
         again = crowded.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n > 1")
         found = found.union(placed.select("p1", "p2", F.col("at") + F.col("a"), F.col("at") + F.col("b"))).union(
@@ -337,15 +369,16 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     2. Runs of other windows become contexts; a task sends equal contexts once.
     3. Contexts meet by gram and are suffix-sorted in two stages; neighbours
        with 200 common bytes repeat. Crowded grams are dealt out again by
-       slices of their windows, so no bucket grows with a common passage.
+       slices of their windows, and windows of crowded slices are counted by
+       digest, so no bucket of texts grows with a common passage.
     4. Ranges come back to their documents and are cut out.
 
     Returns the columns of ``docs`` but the text, and ``n_bytes``,
     ``n_removed``, ``n_spans`` and ``kept`` (binary: cuts may fall inside a
     character); input columns of these names are replaced. Null texts are
     empty. Equal rows are separate documents and so repeat each other. The
-    result is exact: the gram filter and 128-bit digests of contexts decide
-    only what meets.
+    result is exact up to 128-bit digests of contexts, and of windows in
+    crowded slices.
     """
     text = text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_t"), text.alias("text"))

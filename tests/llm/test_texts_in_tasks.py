@@ -86,6 +86,24 @@ def test_repeats_against_brute_force(make, monkeypatch, hot):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == w, i
 
 
+def test_no_bucket_of_distinct_pieces_grows(make, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(230))
+    texts = ["".join(r.choice("stuvwxyz") for _ in range(60)) + passage + "".join(r.choice("stuvwxyz") for _ in range(60)) for _ in range(40)]
+    largest, sort = [], suffix_dedup._sorted_repeats
+
+    def watched(contexts):
+        largest.extend(x["count"] for x in contexts.groupBy("h").count().collect())
+        return sort(contexts)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_repeats", watched)
+    got = {x.doc_id: x for x in drop_repeats(make(list(enumerate(texts)))).collect()}
+    for i, w in enumerate(cut_repeats([t.encode() for t in texts])):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == w, i
+    assert max(largest, default=0) <= 5
+
+
 def test_repeats_of_equal_rows_and_other_columns(make):
     text = "".join(chr(97 + i * i % 26) for i in range(300))
     docs = make([(1, text, 5), (1, text, 5), (None, "short", 6)], "doc_id long, text string, n_bytes int")
