@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from debtscope.llm import sql
 from debtscope.llm.chat import chat_digest, chat_windows
 from debtscope.llm.decontamination import find_leaks
+from debtscope.llm.hard_negatives import mine_hard_negatives
 from debtscope.llm.language_id import identify, learn_languages
 from debtscope.llm.line_dedup import drop_shared_lines
 from debtscope.llm.mixing import plan_mix
+from debtscope.llm.phrases import mine_phrases
 from debtscope.llm.quality_model import learn_quality, score_quality, word_contexts, word_vectors
 from debtscope.llm.quality_rules import clean_lines
 from debtscope.llm.simhash import near_copies
@@ -110,7 +112,33 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among the embeddings; each seventh label is moved on by one."""
+    given = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(given.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first collocations of each language of the documents."""
+    return mine_phrases(table(spark, folder, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_chat_windows, op3_mix_sources, op4_token_files, op5_simhash_groups, op6_quality_rules, op7_quality_scores, op8_language_id, op9_benchmark_leaks, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_chat_windows,
+        op3_mix_sources,
+        op4_token_files,
+        op5_simhash_groups,
+        op6_quality_rules,
+        op7_quality_scores,
+        op8_language_id,
+        op9_benchmark_leaks,
+        op10_line_dedup,
+        op11_hard_negatives,
+        op13_phrases,
+    )
 }
 ORACLES: dict[str, str] = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}

@@ -186,10 +186,65 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM shared)) AS n_
 FROM keyed GROUP BY doc_id
 """
 
+OP11 = """
+WITH units AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM units a JOIN units b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+likes AS (SELECT * FROM scores WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, p.other_id AS positive_id,
+  row_number() OVER (PARTITION BY anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)::INT AS rank,
+  s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM likes p JOIN scores s USING (anchor_id)
+WHERE NOT s.alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS t(size))
+),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+often AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cut AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM often)
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, h.a AS l, r.a AS r, ((1000000::HUGEINT * c.a * c.a) // (h.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cut c JOIN often h ON c.lang = h.lang AND c.head = h.phrase JOIN often r ON c.lang = r.lang AND c.rest = r.phrase
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+),
+longer AS (
+  SELECT lang, part, max(a) AS more
+  FROM (SELECT lang, a, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') AS part FROM (SELECT *, unnest([1, 2]) AS i FROM often WHERE size = 3))
+  GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored s JOIN total USING (lang) LEFT JOIN longer g ON s.lang = g.lang AND s.phrase = g.part
+WHERE coalesce(100 * more, 0) < 50 * a
+QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op2_chat_windows": OP2,
     "op3_mix_sources": OP3,
     "op6_quality_rules": OP6,
     "op9_benchmark_leaks": OP9,
     "op10_line_dedup": OP10,
+    "op11_hard_negatives": OP11,
+    "op13_phrases": OP13,
 }
