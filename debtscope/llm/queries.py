@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debtscope.llm import sql
+from debtscope.llm.byte_bpe import decode_ids, encode_texts
 from debtscope.llm.chat import chat_digest, chat_windows
 from debtscope.llm.decontamination import find_leaks
 from debtscope.llm.hard_negatives import mine_hard_negatives
@@ -119,6 +120,24 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return mine_hard_negatives(given.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def byte_bpe() -> tuple[bytes, str]:
+    """Content of the public rank file for many languages, and the pattern that goes with it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's byte-level ids and of the bytes that they decode to."""
+    ranks, pattern = byte_bpe()
+    ids = encode_texts(table(spark, folder, "documents").select("doc_id", "text"), ranks, pattern)
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decode_ids(ids, ranks, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     """The first collocations of each language of the documents."""
     return mine_phrases(table(spark, folder, "documents").select("lang", "text"))
@@ -138,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_benchmark_leaks,
         op10_line_dedup,
         op11_hard_negatives,
+        op12_byte_bpe,
         op13_phrases,
     )
 }
