@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,14 +142,15 @@ class Counter:
 
 def _scanned(shard: DataFrame, reached: list[np.ndarray], step: int, shards: int) -> tuple[DataFrame, object]:
     """One step: counts of the phrases that are active, a few rows for each phrase and task."""
-    known = shard.sparkSession.sparkContext.broadcast(reached)
+    known = shard.sparkSession.sparkContext.broadcast([zlib.compress(x, 1) for x in reached])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.frombuffer(zlib.decompress(x), np.uint8) for x in known.value]
         counters: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
                 if lang not in counters:
-                    counters[lang] = Counter(lang, known.value, step, shards)
+                    counters[lang] = Counter(lang, tables, step, shards)
                 yield from counters[lang].add(text.as_py())
                 if sum(c.held for c in counters.values()) >= _WORDS:
                     for counter in counters.values():
@@ -173,7 +175,7 @@ def count_phrases(
     active, after at most ``max_words`` cycles.
 
     What has reached the threshold is known by hash slot: one byte for each of
-    ``slots`` slots and length goes to all tasks, and bits of slots come back.
+    ``slots`` slots and length, compressed, goes to all tasks, and bits of slots come back.
     That bound does not grow with the corpus; where many phrases share slots,
     more phrases than needed are counted, all of them wholly.
     """
@@ -200,7 +202,7 @@ def count_phrases(
             part[(part == 0) & (on[: len(part)] > 0)] = step
             last = max(last, step + shards)
         sums = sums.where(F.col("n") < min_count)
-        known.unpersist()
+        known.destroy()
     out = counted[0]
     for more in counted[1:]:
         out = out.unionByName(more)
