@@ -14,23 +14,23 @@ from debtscope.llm.mixing import mix_documents
 from debtscope.llm.quality_rules import clean_lines
 from debtscope.llm.queries import tokenizer_config
 from debtscope.llm.shared import stored
-from debtscope.llm.shingle_pairs import drop_like_texts
+from debtscope.llm.simhash import drop_near_copies
 from debtscope.llm.token_files import read_token_files, write_token_files
 from debtscope.session import table, work_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines; ``n_chars`` follows the text."""
-    judged = clean_lines(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text")
+    judged = clean_lines(docs.select(F.struct("*").alias("given"), F.col("text").alias("whole")), "whole")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    row = F.struct(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    row = F.struct(*[new.get(c, F.col(f"given.`{c}`")).alias(c) for c in docs.columns])
     # A filter would be pushed below the measures and take them a second time.
-    return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("_kept")).select("_kept.*")
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("passed")).select("passed.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 or more of their shingles of five words."""
-    return drop_like_texts(docs, shingle=5, max_bits=3, at_least="0.8")
+    """One document of each group whose fingerprints of three-word shingles link at two or fewer differing bits."""
+    return drop_near_copies(docs, shingle=3, max_bits=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
