@@ -14,14 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from debtscope.llm.shared import in_arrow, text_of, with_columns
+from debtscope.llm.shared import ascii_lower, beside, in_arrow, of_row, stored, text_of
 
 #: A-Z become a-z, digits, a-z and all bytes from 128 stay, everything else separates words.
 _KEPT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SPAN = re.compile(rb"[^ ]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Words hashed together in a task.
-_CHUNK = 1_000_000
+#: Bytes of text whose words are held and hashed together in a task.
+_TEXT = 4 << 20
 
 
 def normalised_words(text: bytes) -> list[bytes]:
@@ -99,55 +99,91 @@ def _cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-_RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ARROW_RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _pass(docs: DataFrame, text_col: str, known, last: bool, clean: bool) -> DataFrame:
-    """One scan of all texts for the windows of one broadcast set."""
-    carried = [f for f in docs.schema if f.name not in ("_words", "_ranges", "_found") and not (last and not clean and f.name == text_col)]
-    added = [T.StructField("_words", T.LongType()), T.StructField("_ranges", _RANGES), T.StructField("_found", T.ArrayType(T.StringType()))]
-    if clean and last:
-        added.append(T.StructField("clean_text", T.StringType()))
-    again = "_ranges" in docs.columns
+def _segments(text: bytes, overlap: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Words of a text a part at a time, each with the number of its first word; a part repeats the last ``overlap`` words."""
+    plain, at, seen, tail = text.translate(_KEPT), 0, 0, []
+    while at < len(plain):
+        end = at + _TEXT
+        while end < len(plain) and plain[end] != 32:
+            end += 1
+        words = plain[at:end].split()
+        yield seen - len(tail), tail + words
+        seen, at, tail = seen + len(words), end, (tail + words)[-overlap:] if overlap else []
+
+
+class _Found:
+    """Hits of the documents of a batch, looked for some bytes of text at a time."""
+
+    def __init__(self, windows: WindowSet):
+        self.windows, self.overlap = windows, max(windows.by_width, default=1) - 1
+        self.counts: list[int] = []
+        self.ranges: dict[int, list[tuple[int, int]]] = {}
+        self.names: dict[int, set[str]] = {}
+        self.pending: list[tuple[int, int, list[bytes]]] = []
+        self.held = 0
+
+    def add(self, text: bytes) -> None:
+        count = 0
+        for first, words in _segments(text, self.overlap):
+            count = first + len(words)
+            self.pending.append((len(self.counts), first, words))
+            self.held += sum(map(len, words)) + 8 * len(words)
+            if self.held >= _TEXT:
+                self.flush()
+        self.counts.append(count)
+
+    def flush(self) -> None:
+        sizes = np.array([len(w) for _, _, w in self.pending], np.int64)
+        ends = np.cumsum(sizes)
+        for i, j, name in self.windows.hits(list(chain.from_iterable(w for _, _, w in self.pending)), np.repeat(ends, sizes)):
+            part = int(np.searchsorted(ends, i, "right"))
+            doc, first, _ = self.pending[part]
+            base = int(ends[part] - sizes[part]) - first
+            self.ranges.setdefault(doc, []).append((i - base, j - base))
+            self.names.setdefault(doc, set()).add(name)
+        self.pending, self.held = [], 0
+
+
+_HITS = "n_words bigint, ranges array<struct<start:int,end:int>>, found array<string>"
+
+
+def _pass(docs: DataFrame, known, last: bool, clean: bool) -> DataFrame:
+    """One scan of all texts for the windows of one broadcast set.
+
+    ``docs`` has ``row``, ``text`` and, after the first pass, what was found so
+    far. The last pass leaves the text out and, where asked, cuts the ranges
+    out of the texts that have any.
+    """
+    fields = T._parse_datatype_string("row int, text string, " + _HITS + ", clean string").fields
+    carried = [docs.schema["row"], *([] if last else [fields[1]])]
+    added = [*fields[2:5], *([fields[5]] if clean and last else [])]
+    again = "ranges" in docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = known.value
         for batch in batches:
-            texts = [x or b"" for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
-            split = map(normalised_words, texts)
-            counts: list[int] = []
-            ranges = [[(r["start"], r["end"]) for r in x] for x in batch.column("_ranges").to_pylist()] if again else [[] for _ in texts]
-            found = [set(x) for x in batch.column("_found").to_pylist()] if again else [set() for _ in texts]
-            first, pending = 0, []
-
-            def flush():
-                sizes = np.array([len(w) for w in pending], np.int64)
-                ends = np.cumsum(sizes)
-                for i, j, name in windows.hits(list(chain.from_iterable(pending)), np.repeat(ends, sizes)):
-                    d = int(np.searchsorted(ends, i, "right"))
-                    base = int(ends[d] - sizes[d])
-                    ranges[first + d].append((i - base, j - base))
-                    found[first + d].add(name)
-
-            held = 0
-            for k, words in enumerate(split):
-                counts.append(len(words))
-                pending.append(words)
-                held += len(words)
-                if held >= _CHUNK:
-                    flush()
-                    first, pending, held = k + 1, [], 0
-            flush()
-            whole = [_merged(r) for r in ranges]
-            columns = [batch.column(f.name) for f in carried]
-            columns += [
-                pa.array(counts, pa.int64()),
-                pa.array([[{"start": a, "end": b} for a, b in r] for r in whole], _ARROW_RANGES),
-                pa.array([sorted(x) for x in found], pa.list_(pa.string())),
+            texts = batch.column("text").cast(pa.binary())
+            found = _Found(windows)
+            for x in texts:
+                found.add(x.as_py() or b"")
+            found.flush()
+            ranges = [_merged(found.ranges.get(k, [])) for k in range(len(texts))]
+            names = [found.names.get(k, set()) for k in range(len(texts))]
+            if again:
+                before, said = batch.column("ranges").to_pylist(), batch.column("found").to_pylist()
+                ranges = [_merged([*((r["start"], r["end"]) for r in old), *new]) for old, new in zip(before, ranges, strict=True)]
+                names = [new.union(old) for old, new in zip(said, names, strict=True)]
+            columns = [
+                *[batch.column(f.name) for f in carried],
+                pa.array(found.counts, pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in r] for r in ranges], _ARROW_RANGES),
+                pa.array([sorted(x) for x in names], pa.list_(pa.string())),
             ]
             if clean and last:
-                columns.append(pa.array([_cut(t, r) if r else t for t, r in zip(texts, whole, strict=True)], pa.binary()).cast(pa.string()))
+                columns.append(pa.array([_cut(t.as_py(), r) if r else None for t, r in zip(texts, ranges, strict=True)], pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in [*carried, *added]])
 
     return in_arrow(docs, scan, T.StructType([*carried, *added]))
@@ -171,43 +207,50 @@ def find_leaks(
 
     Adds ``n_words``, ``n_hit`` (words inside a hit), ``spans`` (ranges of
     words), ``items`` (names of the items found, sorted) and ``contaminated``;
-    with ``clean`` also ``clean_text``, the text without the spans, else the
-    text itself is left out. Input columns of these names are replaced. Null texts have no
-    words; a null item name counts as empty. Rows and their repeats are kept.
+    with ``clean`` also ``clean_text``, the text without the spans where there
+    are any, else null. The text itself is left out. Input columns of these
+    names are replaced. Null texts have no words; a null item name counts as
+    empty. Rows and their repeats are kept. A task holds the words of about
+    ``_TEXT`` bytes of text, also of a single long one.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), text_of("text").alias("text"))
-    sized = items.withColumn("_n", F.greatest(F.regexp_count(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(1)))
+    sized = items.withColumn("_n", F.greatest(F.regexp_count(ascii_lower(F.col("text")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(1)))
     along = W.orderBy("name", "text").rowsBetween(W.unboundedPreceding, -1)
     cut = sized.withColumn("_set", F.floor(F.coalesce(F.sum("_n").over(along), F.lit(0)) / set_windows))
     sets = (sized.agg(F.floor(F.sum("_n") / set_windows)).first()[0] or 0) + 1
-    out = with_columns(docs, [], drop=["n_words", "n_hit", "spans", "items", "contaminated", "clean_text"])
+    replaced = [text_col, "n_words", "n_hit", "spans", "items", "contaminated", "clean_text"]
+    out = beside(docs, replaced, text=F.col(f"`{text_col}`"))
     for k in range(sets):
         chosen = [(r["name"], r["text"].encode()) for r in cut.where(F.col("_set") == k).select("name", "text").collect()]
-        out = _pass(out, text_col, spark.sparkContext.broadcast(WindowSet(chosen, width)), k == sets - 1, clean)
-    hit = F.aggregate("_ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    return with_columns(
-        out,
-        [
-            ("n_words", F.col("_words")),
-            ("n_hit", hit),
-            ("spans", F.col("_ranges")),
-            ("items", F.array_sort("_found")),
-            ("contaminated", F.size("_ranges") > 0),
-            *([("clean_text", F.col("clean_text"))] if clean else []),
-        ],
-        drop=["_words", "_ranges", "_found"],
+        out = _pass(out, spark.sparkContext.broadcast(WindowSet(chosen, width)), k == sets - 1, clean)
+    return out.select(
+        *of_row(docs, replaced),
+        "n_words",
+        F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("n_hit"),
+        F.col("ranges").alias("spans"),
+        F.array_sort("found").alias("items"),
+        (F.size("ranges") > 0).alias("contaminated"),
+        *([F.col("clean").alias("clean_text")] if clean else []),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents, or with the spans cut out of them.
 
-    ``mode`` is "documents" or "spans". Columns are those of ``docs``.
+    ``mode`` is "documents" or "spans". Columns are those of ``docs``. Only
+    texts and their digests are scanned; digests of contaminated texts come
+    back and are joined, so clean documents are never rewritten. Equal texts
+    share their verdict; null texts are clean, and an empty benchmark or table
+    takes nothing out.
     """
-    named = docs.select("*", F.struct("*").alias("_row"))
-    found = find_leaks(named.select("_row", F.col(f"`{text_col}`").alias("_text")), benchmark, "_text", clean=mode == "spans", **options)
+    digest = F.md5(F.col(f"`{text_col}`").cast("binary"))
+    texts = docs.select(digest.alias("digest"), F.col(f"`{text_col}`").alias("text"))
+    hits = find_leaks(texts, benchmark, clean=mode == "spans", **options).where("contaminated")
+    found = stored(hits.select(F.col("digest").alias("hit"), *(["clean_text"] if mode == "spans" else [])).dropDuplicates(["hit"]), "leaks")
+    rows = beside(docs, digest=digest)
     if mode == "documents":
-        return found.where(~F.col("contaminated")).select("_row.*")
-    kept = found.select("_row.*", "clean_text", "contaminated")
-    return with_columns(kept, [(text_col, F.when(F.col("contaminated"), F.col("clean_text")).otherwise(F.col(f"`{text_col}`")))], drop=["clean_text", "contaminated"]).select(*docs.columns)
+        return rows.join(found, F.col("digest") == F.col("hit"), "left_anti").select(*of_row(docs))
+    kept = rows.join(found, F.col("digest") == F.col("hit"), "left")
+    whole = F.when(F.col("hit").isNotNull(), F.col("clean_text")).otherwise(F.col(f"row.`{text_col}`")).alias(text_col)
+    return kept.select(*[whole if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

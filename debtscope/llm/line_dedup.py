@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from debtscope.llm.shared import WHITE, ascii_lower, same, text_of, with_columns
+from debtscope.llm.shared import WHITE, ascii_lower, beside, same, text_of
 
 #: Each shared key is copied to so many salts, so that its places spread over as many tasks.
 SALTS = 8
@@ -17,7 +17,8 @@ def line_key(line: Column) -> Column:
 
 
 def _hashed(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key).alias("_h1"), F.xxhash64(key, F.lit(1)).alias("_h2")
+    """128 bits of a key: two hashes of other seeds, as the number before the key seeds the second."""
+    return F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")
 
 
 def drop_shared_lines(
@@ -36,45 +37,31 @@ def drop_shared_lines(
     empty text is one empty line. Keys shorter than ``min_chars`` code points
     stay. A text that loses all lines is empty.
     """
-    text = text_of(text_col)
-    ident = [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_t")]
+    named = beside(docs, ["n_lines", "n_dropped"], id=F.col(f"`{id_col}`"), lines=F.split(text_of(text_col), "\n"), t=F.xxhash64(text_of(text_col)))
 
-    keys = docs.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n"), line_key))).alias("_key"))
+    keys = named.select(F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key"))
     shared = (
-        keys.where(F.length("_key") >= min_chars)
-        .groupBy(*_hashed(F.col("_key")))
+        keys.where(F.length("key") >= min_chars)
+        .groupBy(*_hashed(F.col("key")))
         .count()
         .where(F.col("count") >= min_docs)
-        .select("_h1", "_h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        .select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
 
     places = (
-        docs.select(*ident, F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
-        .withColumn("_key", line_key(F.col("_line")))
-        .where(F.length("_key") >= min_chars)
-        .select("_id", "_t", "_pos", *_hashed(F.col("_key")), F.pmod(F.col("_t") + F.col("_pos"), F.lit(SALTS)).cast("int").alias("_salt"))
+        named.select("id", "t", F.posexplode("lines").alias("pos", "line"))
+        .withColumn("key", line_key(F.col("line")))
+        .where(F.length("key") >= min_chars)
+        .select("id", "t", "pos", *_hashed(F.col("key")), F.pmod(F.col("t") + F.col("pos"), F.lit(SALTS)).cast("int").alias("salt"))
     )
     dropped = (
-        places.join(shared, ["_h1", "_h2", "_salt"], "left_semi")
-        .groupBy(F.col("_id").alias("_did"), F.col("_t").alias("_dt"))
-        .agg(F.collect_set("_pos").alias("_gone"))
+        places.join(shared, ["h1", "h2", "salt"], "left_semi")
+        .groupBy(F.col("id").alias("did"), F.col("t").alias("dt"))
+        .agg(F.collect_set("pos").alias("found"))
     )
 
-    rows = docs.select("*", *ident)
-    joined = rows.join(dropped, same(F.col("_id"), F.col("_did")) & (F.col("_t") == F.col("_dt")), "left")
-    lined = joined.withColumn("_lines", F.split(text, "\n")).withColumn(
-        "_gone", F.coalesce("_gone", F.array().cast("array<int>"))
-    )
-    kept = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda p: F.col("_lines")[p]
-    )
-    out = with_columns(
-        lined,
-        [
-            (text_col, F.array_join(kept, "\n")),
-            ("n_lines", F.size("_lines").cast("long")),
-            ("n_dropped", F.size("_gone").cast("long")),
-        ],
-        drop=["_id", "_t", "_did", "_dt", "_gone", "_lines"],
-    )
-    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    joined = named.join(dropped, same(F.col("id"), F.col("did")) & (F.col("t") == F.col("dt")), "left")
+    lined = joined.withColumn("gone", F.coalesce("found", F.array().cast("array<int>")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda p: F.col("lines")[p])
+    rest = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return lined.select(*rest, F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from debtscope.llm.shared import same, stored, text_of, with_columns, word_count
+from debtscope.llm.shared import beside, of_row, same, stored, text_of, word_count
 
 
 def _seeded(seed: int, *parts: Column) -> Column:
@@ -115,7 +115,8 @@ def plan_mix(
     evenly spaced choice of blocks. Where a block lies is known from prefix
     sums, so blocks are never listed.
 
-    Returns ``doc_id, source, size, source_size, target, taken``; equal rows
+    Returns ``doc_id, source, size, source_size, target, taken`` and ``copies``,
+    the number of whole documents that stand for the words taken; equal rows
     give equal results, null texts have size 0, null is a source of its own,
     and an empty table gives no rows. No document is taken beyond ``cap`` times.
     """
@@ -152,8 +153,8 @@ def plan_mix(
         .withColumn("_start", _number(_seeded(seed, F.col("_source"), F.col("_shard"))) % F.col("_n"))
         .select(F.col("_source").alias("_s"), F.col("_shard").alias("_h"), "_n", "_passes", "_rest", "_start")
     )
-    along = W.partitionBy("source", "_shard").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    offsets = placed.withColumn("_end", F.sum("size").over(along)).join(
+    along = W.partitionBy("source", "_shard").orderBy("_order", "doc_id", "size")
+    offsets = placed.withColumn("_end", F.sum("size").over(along.rowsBetween(W.unboundedPreceding, 0))).join(
         chosen, same(F.col("_source"), F.col("_s")) & (F.col("_shard") == F.col("_h"))
     )
 
@@ -165,23 +166,26 @@ def plan_mix(
         return blocks_before(j) * b + (blocks_before(j + 1) - blocks_before(j)) * (x % b)
 
     taken = F.col("_passes") * F.col("size") + words_before(F.col("_end")) - words_before(F.col("_end") - F.col("size"))
-    return offsets.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    shared = offsets.withColumn("taken", taken.cast("long")).withColumn("_share", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)))
+    # Shares add up along the shard from a seeded start; a document gets the whole numbers that its own share passes.
+    begin = (F.col("_start") % 1024) / F.lit(1024.0)
+    before = F.coalesce(F.sum("_share").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    copies = F.floor(begin + before + F.col("_share")) - F.floor(begin + before)
+    return shared.select("doc_id", "source", "size", "source_size", "target", "taken", copies.cast("int").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, **options) -> DataFrame:
     """The mix as whole documents: rows of ``docs``, each as often as the plan takes it.
 
-    A document is repeated by the whole part of taken / size and once more with
-    the rest as a seeded chance, so sums stay near the targets. Documents
-    without words are not in the mix. Rows of equal id and size are each
-    repeated as often as the one that the plan takes most.
+    Shares taken / size are added up along each shard, and a document is
+    repeated by the whole numbers passed between the sum before and after it:
+    by the whole part of its share or one more, and each shard by its sum of
+    shares within one document. Documents without words are not in the mix.
+    Rows of equal id and size are each repeated as often as the one that the
+    plan takes most. Columns are those of ``docs``; an empty table stays empty.
     """
-    plan = plan_mix(docs, id_col, text_col, seed=seed, **options).select("doc_id", "size", "taken").distinct()
-    chance = _number(_seeded(seed + 1, F.col("doc_id"))) / F.lit(float(2**32))
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0)
-    copies = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(copies).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_size_of", word_count(text_of(text_col)))
-    joined = rows.join(copies, same(F.col(f"`{id_col}`"), F.col("_id")) & (F.col("_size_of") == F.col("_size")))
-    return with_columns(
-        joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), [], drop=["_size_of", "_id", "_size", "_copies", "_copy"]
-    )
+    plan = plan_mix(docs, id_col, text_col, seed=seed, **options)
+    copies = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = beside(docs, id=F.col(f"`{id_col}`"), size=word_count(text_of(text_col)))
+    joined = rows.join(copies, same(F.col("id"), F.col("mix_id")) & (F.col("size") == F.col("mix_size")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*of_row(docs))

@@ -188,7 +188,7 @@ def _with_vectors(docs: DataFrame, vectors, text_col: str, net: QualityNet | Non
     """Columns but the text, and the pooled vector, or the score where a net is given."""
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast((vectors, net))
-    plain = with_columns(docs, [], drop=["score", "_vector"])
+    plain = with_columns(docs, [], drop=["_vector" if net is None else "score"])
     carried = [f for f in plain.schema if f.name != text_col]
     added = T.StructField("_vector", T.ArrayType(T.FloatType())) if net is None else T.StructField("score", T.DoubleType())
 

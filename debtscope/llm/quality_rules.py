@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from debtscope.functions.rows import let
-from debtscope.llm.shared import WHITE, text_of, with_columns, words_of
+from debtscope.llm.shared import WHITE, beside, of_row, text_of, words_of
 
 SYMBOL = r"[#*$%&|<>]"
 #: Phrases of page furniture, matched in lower case anywhere in a line.
@@ -121,23 +121,25 @@ def clean_lines(
             ),
         )
 
-    measured = docs.withColumn("_w", of_words).withColumn("_l", let(F.split(text, "\n"), judged))
-    lost = F.when(F.col("_l.chars") > 0, F.col("_l.bad_chars") / F.col("_l.chars")).otherwise(F.lit(0.0))
-    failed = (F.col("_w.n") < min_words) | (F.col("_w.repeats") * 100 > F.col("_w.n") * max_repeat_percent)
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "lost", "base_failed", "kept", "clean_text")
+    measured = beside(docs, added, text=text, w=of_words, l=let(F.split(text, "\n"), judged))
+    text = F.col("text")
+    lost = F.when(F.col("l.chars") > 0, F.col("l.bad_chars") / F.col("l.chars")).otherwise(F.lit(0.0))
+    failed = (F.col("w.n") < min_words) | (F.col("w.repeats") * 100 > F.col("w.n") * max_repeat_percent)
     stays = F.filter(F.split(text, "\n"), lambda x: (F.btrim(x, F.lit(WHITE)) == "") | ~bad_line(x))
     names = {
-        "n_words": F.col("_w.n"),
-        "word_chars": F.col("_w.chars"),
+        "n_words": F.col("w.n"),
+        "word_chars": F.col("w.chars"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
-        "n_dup_lines": F.col("_l.dups"),
-        "n_repeat_words": F.col("_w.repeats"),
-        "n_bad_lines": F.col("_l.bad"),
+        "n_dup_lines": F.col("l.dups"),
+        "n_repeat_words": F.col("w.repeats"),
+        "n_bad_lines": F.col("l.bad"),
         "lost": lost,
         "base_failed": failed,
         "kept": ~failed & (lost <= max_lost),
-        "clean_text": F.when(F.col("_l.bad") == 0, text).otherwise(F.array_join(stays, "\n")),
+        "clean_text": F.when(F.col("l.bad") == 0, text).otherwise(F.array_join(stays, "\n")),
     }
-    return with_columns(measured, names.items(), drop=["_w", "_l"])
+    return measured.select(*of_row(docs, added), *[value.alias(name) for name, value in names.items()])
 
 
 def _chars(lines: Column) -> Column:

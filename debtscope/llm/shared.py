@@ -60,6 +60,22 @@ def with_columns(df: DataFrame, added: Iterable[tuple[str, Column]], drop: Itera
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[value.alias(name) for name, value in added])
 
 
+def beside(docs: DataFrame, drop: Iterable[str] = (), **parts: Column) -> DataFrame:
+    """Each row as one struct ``row``, without the columns in ``drop``, and what an operator needs beside it.
+
+    Helper columns then clash with no input column.
+    """
+    dropped = set(drop)
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in dropped]
+    return docs.select(F.struct(*names or [F.lit(0).alias("none")]).alias("row"), *[value.alias(name) for name, value in parts.items()])
+
+
+def of_row(docs: DataFrame, drop: Iterable[str] = ()) -> list[Column]:
+    """The columns of ``docs`` out of a struct that ``beside`` made, without those in ``drop``."""
+    dropped = set(drop)
+    return [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in dropped]
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from debtscope.llm.components import components
-from debtscope.llm.shared import in_arrow, same, stored
+from debtscope.llm.shared import beside, in_arrow, of_row, same, stored
 
 _LOW = (1 << 31) - 1
 #: Parity checks of the Hamming code of length 31: place p (from 1) takes part in check k if bit k of p is set.
@@ -113,6 +113,18 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _grouped(named: DataFrame, shingle: int, max_bits: int, seed: int) -> DataFrame:
+    """``named`` (``doc_id``, ``_text`` and more) without the text, with ``fingerprint``, ``root`` (the group) and ``component_id``."""
+    prints = stored(with_fingerprints(named, "_text", shingle, seed), "prints")
+    classes = stored(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("rep")), "print-classes")
+    found = stored(links(classes.select("fp"), max_bits), "print-links")
+    roots = components(found)
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy(F.col("root").alias("_r")).agg(F.min("rep").alias("component_id"))
+    labels = rooted.join(firsts, F.col("root") == F.col("_r")).select("fp", "root", "component_id")
+    return prints.join(labels, prints["fingerprint"] == labels["fp"]).drop("fp")
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42
 ) -> DataFrame:
@@ -121,29 +133,34 @@ def near_copies(
     ``component_id`` is the smallest id that can be reached over links. Equal
     fingerprints become one class with its smallest id before anything is
     compared; classes, links and components are stored tables, so no group of
-    copies meets in one task. Null ids have the component of their class.
+    copies meets in one task. Every row has its own result, repeated rows equal
+    ones; null ids have the component of their class, which is null where a
+    group has no id at all. An empty table gives no rows, and other columns
+    are not read.
     """
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_text"))
-    prints = stored(with_fingerprints(named, "_text", shingle, seed), "prints")
-    classes = stored(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("rep")), "print-classes")
-    found = stored(links(classes.select("fp"), max_bits), "print-links")
-    roots = components(found)
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy(F.col("root").alias("_r")).agg(F.min("rep").alias("component_id"))
-    labels = rooted.join(firsts, F.col("root") == F.col("_r")).select("fp", "component_id")
-    return prints.join(labels, prints["fingerprint"] == labels["fp"]).select("doc_id", "fingerprint", "component_id")
+    return _grouped(named, shingle, max_bits, seed).select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42
+) -> DataFrame:
     """``docs`` with one document of each group of near copies: that of the smallest id.
 
-    Of rows with equal ids in a group one stays, the one with the smallest text.
+    A null id comes last, and of rows with equal ids in a group the text with
+    the smallest digest stays; of rows with equal ids and texts one stays. No
+    group takes from another, whatever ids they share. Null texts count as
+    empty ones. Columns are those of ``docs``.
     """
-    groups = stored(near_copies(docs, id_col, text_col, **options).select("doc_id", "component_id"), "near-groups")
-    chosen = groups.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_chosen"))
-    kept = docs.join(chosen.distinct(), same(F.col(f"`{id_col}`"), F.col("_chosen")), "left_semi")
-    if chosen.count() == chosen.distinct().count():
-        return kept
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min_by(row, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_row"))
-    return once.select("_row.*")
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    digest = F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))
+    found = _grouped(docs.select(ident.alias("doc_id"), digest.alias("digest"), text.alias("_text")), shingle, max_bits, seed)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
+    chosen = stored(first.select(F.col("first.doc_id").alias("chosen"), F.col("first.digest").alias("as")), "near-firsts")
+    rows = beside(docs, id=ident, digest=digest)
+    kept = rows.join(chosen, same(F.col("id"), F.col("chosen")) & (F.col("digest") == F.col("as")), "left_semi")
+    marks = found.select("doc_id", "digest").join(chosen, same(F.col("doc_id"), F.col("chosen")) & (F.col("digest") == F.col("as")), "left_semi")
+    if marks.count() > chosen.count():
+        whole = F.xxhash64(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+        kept = kept.groupBy("id", "digest").agg(F.min_by("row", whole).alias("row"))
+    return kept.select(*of_row(docs))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from debtscope.llm.shared import in_arrow, same, stored, text_of, with_columns
+from debtscope.llm.shared import beside, in_arrow, of_row, same, stored, text_of
 from debtscope.llm.suffix_sort import repeated_starts
 
 #: Length of a repeat, and of the piece of it that leads equal strings to one bucket.
@@ -382,19 +382,20 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_t"), text.alias("text"))
-    ranges = repeat_ranges(rows).groupBy(F.col("_id").alias("_rid"), F.col("_t").alias("_rt")).agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))
-    plain = with_columns(docs, [("_id", F.col(f"`{id_col}`")), ("_t", F.xxhash64(text)), ("_text", text)], drop=[text_col, "n_bytes", "n_removed", "n_spans", "kept"])
-    joined = plain.join(ranges, same(F.col("_id"), F.col("_rid")) & (F.col("_t") == F.col("_rt")), "left").drop("_id", "_t", "_rid", "_rt")
-    carried = [f for f in joined.schema if f.name not in ("_text", "_ranges")]
+    ranges = repeat_ranges(rows).groupBy(F.col("_id").alias("rid"), F.col("_t").alias("rt")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    replaced = [text_col, "n_bytes", "n_removed", "n_spans", "kept"]
+    plain = beside(docs, replaced, id=F.col(f"`{id_col}`"), t=F.xxhash64(text), text=text)
+    joined = plain.join(ranges, same(F.col("id"), F.col("rid")) & (F.col("t") == F.col("rt")), "left").select("row", "text", "ranges")
+    carried = [joined.schema["row"]]
     added = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_cut(x, sorted((r["start"], r["end"]) for r in rs or ())) for x, rs in zip(_binary(batch, "_text"), batch.column("_ranges").to_pylist(), strict=True)]
+            out = [_cut(x, sorted((r["start"], r["end"]) for r in rs or ())) for x, rs in zip(_binary(batch, "text"), batch.column("ranges").to_pylist(), strict=True)]
             columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in carried], *columns], [f.name for f in [*carried, *added]])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], [f.name for f in [*carried, *added]])
 
-    return in_arrow(joined, scan, T.StructType([*carried, *added]))
+    return in_arrow(joined, scan, T.StructType([*carried, *added])).select(*of_row(docs, replaced), *[f.name for f in added])
 
 
 def _cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:

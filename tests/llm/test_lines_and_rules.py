@@ -70,7 +70,8 @@ def test_measures_against_brute_force(make):
 
 
 def test_verdict_of_lines(make):
-    clean = "\n".join(f"A plain sentence of number {i} with some words in it to read." for i in range(6))
+    kinds = [("cats", "sleep in"), ("dogs", "run over"), ("birds", "sing of"), ("cows", "walk to"), ("old men", "talk about"), ("young girls", "draw")]
+    clean = "\n".join(f"Sentence {i} says that {who} {what} the {i * 7} gardens behind our house." for i, (who, what) in enumerate(kinds))
     junk = "Home | About | News | Contact | Help\n" + "BUY!! NOW!! ALL!! OF!! IT!! TODAY!! AT!! ONCE!! OR!! NEVER!! EVER!! AGAIN!!"
     rows = [(1, clean), (2, clean + "\nHome | About | News | Help"), (3, "A short start to it.\n" + junk * 2)]
     got = {r.doc_id: r for r in clean_lines(make(rows)).collect()}
@@ -81,7 +82,7 @@ def test_verdict_of_lines(make):
 
 def test_rules_replace_clashing_names_and_run_in_the_row(make):
     docs = make([(1, "a b", 5, "z")], "doc_id long, text string, kept int, _w string")
-    out = clean_lines(docs.drop("_w"))
+    out = clean_lines(docs)
     assert out.columns.count("kept") == 1 and out.first().kept is False
     assert "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()
     assert clean_lines(make([])).count() == 0

@@ -11,10 +11,18 @@ from debtscope.session import table
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("n", [2, 3, 4, 9, 40])
-def test_codewords_are_far_apart(n):
+@pytest.mark.parametrize("n,apart", [(2, 1), (3, 2), (4, 4), (5, 8), (7, 32), (8, 8), (9, 8), (40, 32)])
+def test_codewords_are_far_apart(n, apart):
     code = codewords(n)
-    assert all((code[i] != code[j]).sum() >= 8 for i in range(n) for j in range(i))
+    columns = {tuple(c * c[0]) for c in code.T}
+    assert len(columns) == code.shape[1] and all(len(set(c)) == 2 for c in code.T)
+    assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= apart
+    # Fewer wrong bits than half of that distance leave the nearest word what it was.
+    rng = np.random.default_rng(n)
+    for i in range(n):
+        said = code[i].copy()
+        said[rng.choice(len(said), (apart - 1) // 2, replace=False)] *= -1
+        assert (code != said).sum(axis=1).argmin() == i
 
 
 def test_codes_of_no_and_one_class():
