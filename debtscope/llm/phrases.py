@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 46 if c in b".,;:!
 _BREAK = b"."
 #: Text bytes split together and words counted together in a task.
 _TEXT, _WORDS = 4 << 20, 4_000_000
-_ROWS = "size int, lang string, phrase string, slot int, n long"
+#: Slots whose counts travel together.
+_SLOTS = 1 << 16
 
 
 def _tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -53,31 +55,23 @@ class _Ids(dict):
         return self[word]
 
 
-class Counter:
-    """Counts the phrases of one language that are active in one step.
+class Scanner:
+    """Reads texts of one language and looks at all their phrases, some million words at a time."""
 
-    ``reached`` has for each length below the longest a table of slots: the
-    step at whose end the phrases that hash there had reached the threshold, or
-    0. A longer phrase starts after the later step of its two subphrases and is
-    counted for one cycle of ``shards`` steps from there. Slots are shared, so
-    a phrase may start early or without need; whether and when it is counted is
-    the same in every task, and a count always covers one whole cycle.
-    """
-
-    def __init__(self, lang: str, reached: list[np.ndarray], step: int, shards: int):
-        self.lang, self.reached, self.step, self.shards = lang, reached, step, shards
-        self.shift = np.uint64(64 - (len(reached[0]).bit_length() - 1))
+    def __init__(self, lang: str, max_words: int, slots: int):
+        self.lang, self.max_words = lang, max_words
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
         self.seed = xxhash.xxh3_64_intdigest(lang.encode())
         self._start([])
 
     def _start(self, tail: list[bytes]) -> None:
-        """Begin anew behind ``tail``, whose words are context and have been counted."""
+        """Begin anew behind ``tail``, whose words are context and have been looked at."""
         self.ids = _Ids(self.seed)
         self.parts = [np.fromiter(map(self.ids.__getitem__, tail), np.int64, len(tail))]
         self.tail, self.known, self.held = tail, len(tail), 0
 
-    def add(self, text: bytes) -> Iterator[pa.RecordBatch]:
-        """Read a text; yields counts whenever enough words are held."""
+    def add(self, text: bytes) -> Iterator[Phrases]:
+        """Read a text; yields phrases whenever enough words are held."""
         for tokens in _tokens(text.translate(_PLAIN)):
             self._read(tokens)
             if self.held >= _WORDS:
@@ -87,84 +81,179 @@ class Counter:
     def _read(self, tokens: list[bytes]) -> None:
         self.parts.append(np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens)))
         self.held += len(tokens)
-        self.tail = [*self.tail, *tokens][-len(self.reached) :] if len(tokens) < len(self.reached) else tokens[-len(self.reached) :]
-
-    def _slots(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> self.shift).astype(np.int64)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        """Counts of all that was read since the last flush."""
-        at, known = np.concatenate(self.parts), self.known
-        words, own = self.ids.words, np.array(self.ids.hashes, np.uint64)
-        if self.step <= self.shards:
-            counts = np.bincount(at[known:], minlength=len(words))
-            counts[0] = 0
-            some = np.flatnonzero(counts)
-            yield from self._rows(1, [words[i] for i in some], own[some], counts[some])
-        hashes = own[at]
-        since = np.where(at > 0, self.reached[0][self._slots(own)][at], 0)
-        for size in range(2, len(self.reached) + 2):
-            if len(at) < size:
+        back = self.max_words - 1
+        self.tail = [*self.tail, *tokens][-back:] if len(tokens) < back else tokens[-back:]
+
+    def flush(self) -> Iterator[Phrases]:
+        """The phrases of each length that end in what was read since the last flush, shortest first."""
+        at, known, words = np.concatenate(self.parts), self.known, self.ids.words
+        own = np.array(self.ids.hashes, np.uint64)
+        hashes, whole = own[at], at > 0
+        for size in range(1, self.max_words + 1):
+            if size > 1:
+                hashes, whole = _mixed(hashes[:-1], own[at[size - 1 :]]), whole[:-1] & (at[size - 1 :] > 0)
+            if not len(hashes):
                 break
-            start = np.maximum(since[:-1], since[1:]).astype(np.int64)
-            active = (since[:-1] > 0) & (since[1:] > 0) & (start < self.step) & (self.step <= start + self.shards)
-            active[: max(known - size + 1, 0)] = False
-            hashes = _mixed(hashes[:-1], own[at[size - 1 :]])
-            begins = np.flatnonzero(active)
-            if len(begins):
-                name = at[begins]
-                for k in range(1, size):
-                    key, first, name, counts = np.unique(name << 32 | at[begins + k], return_index=True, return_inverse=True, return_counts=True)
-                first = begins[first]
-                texts = [b" ".join([words[j] for j in at[i : i + size]]) for i in first]
-                yield from self._rows(size, texts, hashes[first], counts)
-            if size <= len(self.reached):
-                since = np.where((since[:-1] > 0) & (since[1:] > 0), self.reached[size - 1][self._slots(hashes)], 0)
+            fresh = whole.copy()
+            fresh[: max(known - size + 1, 0)] = False
+            yield Phrases(self.lang, size, words, at, (hashes >> self.shift).astype(np.int64), whole, fresh)
         self._start(self.tail)
 
-    def _rows(self, size: int, texts: list[bytes], hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows for the shuffle; the slot is named while it has not reached the threshold."""
-        slots = np.full(len(texts), -1)
-        if size <= len(self.reached):
-            slots = self._slots(hashes)
-            slots[self.reached[size - 1][slots] > 0] = -1
+
+@dataclass
+class Phrases:
+    """Phrases of one length by the place they start at: their slots, whether no piece ends inside, and whether they are new."""
+
+    lang: str
+    size: int
+    words: list[bytes]
+    at: np.ndarray
+    slots: np.ndarray
+    whole: np.ndarray
+    fresh: np.ndarray
+
+    def rows(self, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts of the distinct phrases among the wanted places."""
+        begins = np.flatnonzero(wanted)
+        if not len(begins):
+            return
+        name, first, counts = self.at[begins], None, None
+        for k in range(min(1, self.size - 1), self.size):
+            key = name << 32 | self.at[begins + k] if self.size > 1 else name
+            _, first, name, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        texts = [b" ".join([self.words[j] for j in self.at[i : i + self.size]]) for i in begins[first]]
         for a in range(0, len(texts), 1 << 18):
             part = texts[a : a + (1 << 18)]
             columns = [
-                pa.array(np.full(len(part), size, np.int32)),
+                pa.array(np.full(len(part), self.size, np.int32)),
                 pa.array([self.lang] * len(part), pa.string()),
                 pa.array(part, pa.binary()).cast(pa.string()),
-                pa.array(slots[a : a + (1 << 18)].astype(np.int32)),
                 pa.array(counts[a : a + (1 << 18)].astype(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, _ROWS.replace(",", "").split()[::2])
+            yield pa.RecordBatch.from_arrays(columns, ["size", "lang", "phrase", "n"])
+
+
+class StepCount:
+    """Counts, up to the threshold, of the slots of the phrases that are active in one step.
+
+    ``reached`` has for each length a table of slots: the step at whose end the
+    phrases that hash there had reached the threshold, or 0. Words start before
+    the first step, a longer phrase after the later step of its two
+    subphrases; each is counted for one cycle of ``shards`` steps. Slots are
+    shared, so a phrase may start early, and a slot may reach the threshold for
+    phrases that do not; when a phrase is counted is the same in every task.
+    """
+
+    def __init__(self, reached: list[np.ndarray], step: int, shards: int, least: int):
+        self.reached, self.step, self.shards, self.least = reached, step, shards, least
+        kind = np.uint8 if least <= 255 else np.uint32
+        self.tables = [np.zeros(len(x), kind) for x in reached]
+        self.since: np.ndarray | None = None
+
+    def add(self, phrases: Phrases) -> None:
+        mine = self.reached[phrases.size - 1][phrases.slots]
+        if phrases.size == 1:
+            active = phrases.fresh if self.step <= self.shards else np.zeros(len(mine), bool)
+        else:
+            start = np.maximum(self.since[:-1], self.since[1:]).astype(np.int64)
+            both = (self.since[:-1] > 0) & (self.since[1:] > 0)
+            active = phrases.fresh & both & (start < self.step) & (self.step <= start + self.shards)
+        slots, counts = np.unique(phrases.slots[active & (mine == 0)], return_counts=True)
+        table = self.tables[phrases.size - 1]
+        table[slots] = np.minimum(table[slots].astype(np.int64) + counts, self.least)
+        self.since = np.where(phrases.whole, mine, 0)
 
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for size, table in enumerate(self.tables, 1):
+            yield _chunk_rows(size, {c: part for c, part in enumerate(_cut(table)) if part.any()})
 
-def _scanned(shard: DataFrame, reached: list[np.ndarray], step: int, shards: int) -> tuple[DataFrame, object]:
-    """One step: counts of the phrases that are active, a few rows for each phrase and task."""
-    known = shard.sparkSession.sparkContext.broadcast([zlib.compress(x, 1) for x in reached])
+
+def _cut(table: np.ndarray) -> list[np.ndarray]:
+    return [table[a : a + _SLOTS] for a in range(0, len(table), _SLOTS)]
+
+
+def _chunk_rows(size: int, parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    packed = pa.array([zlib.compress(x.astype("<u4") if x.dtype.itemsize > 1 else x, 1) for x in parts.values()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([size] * len(parts), pa.int32()), pa.array(list(parts), pa.int32()), packed], ["size", "chunk", "counts"])
+
+
+def _scanned(texts: DataFrame, start: Callable, schema: str) -> DataFrame:
+    """Rows that ``start()``, a function of phrases and one to end with, makes of all phrases."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.frombuffer(zlib.decompress(x), np.uint8) for x in known.value]
-        counters: dict[str, Counter] = {}
+        max_words, slots, look, end = start()
+        scanners: dict[str, Scanner] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-                if lang not in counters:
-                    counters[lang] = Counter(lang, tables, step, shards)
-                yield from counters[lang].add(text.as_py())
-                if sum(c.held for c in counters.values()) >= _WORDS:
-                    for counter in counters.values():
-                        yield from counter.flush()
-        for counter in counters.values():
-            yield from counter.flush()
+                if lang not in scanners:
+                    scanners[lang] = Scanner(lang, max_words, slots)
+                for phrases in scanners[lang].add(text.as_py()):
+                    yield from look(phrases)
+                if sum(s.held for s in scanners.values()) >= _WORDS:
+                    for scanner in scanners.values():
+                        for phrases in scanner.flush():
+                            yield from look(phrases)
+        for scanner in scanners.values():
+            for phrases in scanner.flush():
+                yield from look(phrases)
+        yield from end()
+
+    return in_arrow(texts, scan, schema)
+
+
+_CHUNKS = "size int, chunk int, counts binary"
+
 
-    return in_arrow(shard, scan, _ROWS), known
+def _step(shard: DataFrame, known, step: int, shards: int, least: int) -> DataFrame:
+    def start():
+        count = StepCount(_unpacked(known.value), step, shards, least)
+
+        def look(phrases: Phrases) -> tuple:
+            count.add(phrases)
+            return ()
+
+        return len(count.tables), len(count.tables[0]), look, count.rows
+
+    return _scanned(shard, start, _CHUNKS)
+
+
+def _summed(chunks: DataFrame, least: int) -> DataFrame:
+    """Sums of the counts of each chunk of slots, up to the threshold, and the slots that are there now."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.uint8 if least <= 255 else np.dtype("<u4")
+        key, total = None, None
+
+        def row() -> pa.RecordBatch:
+            there = total >= least
+            rest = _chunk_rows(key[0], {key[1]: np.where(there, 0, total).astype(kind)})
+            return pa.RecordBatch.from_arrays([*rest.columns, pa.array([np.packbits(there).tobytes() if there.any() else None], pa.binary())], ["size", "chunk", "counts", "bits"])
+
+        for batch in batches:
+            for size, chunk, counts in zip(batch.column("size").to_pylist(), batch.column("chunk").to_pylist(), batch.column("counts")):
+                if key != (size, chunk):
+                    if key:
+                        yield row()
+                    key, total = (size, chunk), 0
+                total = np.minimum(total + np.frombuffer(zlib.decompress(counts.as_py()), kind).astype(np.int64), least)
+        if key:
+            yield row()
+
+    return in_arrow(chunks.repartition("size", "chunk").sortWithinPartitions("size", "chunk"), scan, _CHUNKS + ", bits binary")
+
+
+def _packed(reached: list[np.ndarray]) -> list[bytes]:
+    return [zlib.compress(x, 1) for x in reached]
+
+
+def _unpacked(reached: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(x), np.uint8) for x in reached]
 
 
 def count_phrases(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, min_count: int = 10, shards: int = 4, slots: int = 1 << 24
 ) -> DataFrame:
-    """``size, lang, phrase, slot, n`` parts whose sums by phrase are whole counts.
+    """``size, lang, phrase, n`` parts whose sums by phrase are whole counts.
 
     All words are counted, and all phrases up to ``max_words`` words that occur
     ``min_count`` times or more; others may be. Texts are dealt to ``shards``
@@ -174,10 +263,12 @@ def count_phrases(
     counted until each shard was read once since. It ends when no phrase is
     active, after at most ``max_words`` cycles.
 
-    What has reached the threshold is known by hash slot: one byte for each of
-    ``slots`` slots and length, compressed, goes to all tasks, and bits of slots come back.
-    That bound does not grow with the corpus; where many phrases share slots,
-    more phrases than needed are counted, all of them wholly.
+    These counts are kept by hash slot and stop at the threshold: a byte for
+    each of ``slots`` slots and length goes to all tasks, compressed, and bits
+    of slots come back, whatever the corpus holds. A last scan counts the
+    phrases themselves whose slot has reached the threshold. Phrases that share
+    a slot may be counted without need, and more of them are the more phrases
+    there are; counts are whole and exact all the same.
     """
     if slots & (slots - 1) or not 1 <= shards <= 255 // max_words:
         raise ValueError("slots must be a power of two, and steps must fit a byte")
@@ -187,34 +278,27 @@ def count_phrases(
     dealt.write.partitionBy("shard").parquet(path)
     held = spark.read.schema(dealt.schema).parquet(path)
 
-    reached = [np.zeros(slots, np.uint8) for _ in range(max_words - 1)]
-    sums, counted, step, last = None, [], 0, shards
+    reached = [np.zeros(slots, np.uint8) for _ in range(max_words)]
+    sums, step, last = None, 0, shards
     while step < last:
         step += 1
-        rows, known = _scanned(held.where(F.col("shard") == (step - 1) % shards).select("lang", "text"), reached, step, shards)
-        counted.append(stored(rows, "phrase-step"))
-        fresh = counted[-1].where("slot >= 0").groupBy("size", "slot").agg(F.sum("n").alias("n"))
-        sums = stored(fresh if sums is None else fresh.unionByName(sums).groupBy("size", "slot").agg(F.sum("n").alias("n")), "phrase-slots")
-        for size, bucket, bits in _bitmaps(sums.where(F.col("n") >= min_count)):
-            on = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
-            low = (bucket - 1) * len(on)
-            part = reached[size - 1][low : low + len(on)]
-            part[(part == 0) & (on[: len(part)] > 0)] = step
-            last = max(last, step + shards)
-        sums = sums.where(F.col("n") < min_count)
+        known = spark.sparkContext.broadcast(_packed(reached))
+        rows = _step(held.where(F.col("shard") == (step - 1) % shards).select("lang", "text"), known, step, shards, min_count)
+        sums = stored(_summed(rows if sums is None else rows.unionByName(sums.select("size", "chunk", "counts")), min_count), "phrase-slots")
+        for size, chunk, bits in sums.where("bits is not null").select("size", "chunk", "bits").toLocalIterator():
+            part = _cut(reached[size - 1])[chunk]
+            part[np.unpackbits(np.frombuffer(bits, np.uint8))[: len(part)] > 0] = step
+            if size < max_words:
+                last = max(last, step + shards)
         known.destroy()
-    out = counted[0]
-    for more in counted[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _bitmaps(slots: DataFrame) -> list[tuple[int, int, bytes]]:
-    """Slots as bitmaps by length and bucket, in order of their bits."""
-    first = F.col("slot").cast("long") + 1
-    bits = F.bitmap_construct_agg(F.bitmap_bit_position(first))
-    found = slots.groupBy("size", F.bitmap_bucket_number(first).alias("bucket")).agg(bits.alias("bits"))
-    return [(r["size"], r["bucket"], bytes(r["bits"])) for r in found.toLocalIterator()]
+
+    found = spark.sparkContext.broadcast(_packed([x > 0 for x in reached]))
+
+    def start():
+        there = _unpacked(found.value)
+        return max_words, slots, lambda p: p.rows(p.fresh & (there[p.size - 1][p.slots] > 0) if p.size > 1 else p.fresh), lambda: ()
+
+    return _scanned(held.select("lang", "text"), start, "size int, lang string, phrase string, n long")
 
 
 def _part(words: Column, begin: Column | int, size: Column | int) -> Column:

@@ -76,25 +76,37 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("words,text", [(7, 16), (1, 1), (1000, 3)])
 def test_parts_of_a_text_count_like_the_whole(words, text, monkeypatch):
-    """Phrases across the seams of what is split and counted together are counted once."""
+    """Phrases across the seams of what is split and looked at together are counted once."""
     monkeypatch.setattr(phrases, "_WORDS", words)
     monkeypatch.setattr(phrases, "_TEXT", text)
     said = "to be or not to be, that is to be or not to be. " * 5
-    reached = [np.full(64, 1, np.uint8), np.full(64, 2, np.uint8)]
-    seen = Tally()
-    for step, shards, sizes in ((1, 4, {1}), (2, 1, {2}), (3, 1, {3}), (3, 4, {1, 2, 3}), (9, 4, set())):
-        counter, got = phrases.Counter("en", reached, step, shards), Tally()
-        for batch in [*counter.add(said.encode()), *counter.add(b"to be"), *counter.flush()]:
+    scanner, got, want = phrases.Scanner("en", 3, 64), Tally(), Tally()
+    for part in [*scanner.add(said.encode()), *scanner.add(b"to be"), *scanner.flush()]:
+        for batch in part.rows(part.fresh):
             for row in batch.to_pylist():
-                got[row["phrase"]] += row["n"]
-        want = Tally()
-        for piece in re.split("[.,]", said) + ["to be"]:
-            w = piece.split()
-            for size in sizes:
-                want.update(" ".join(w[i : i + size]) for i in range(len(w) - size + 1))
-        assert got == want
-        seen.update(got)
-    assert seen["to be"] > 40
+                got[row["size"], row["phrase"]] += row["n"]
+    for piece in re.split("[.,]", said) + ["to be"]:
+        w = piece.split()
+        want.update((size, " ".join(w[i : i + size])) for size in (1, 2, 3) for i in range(len(w) - size + 1))
+    assert got == want
+
+
+@pytest.mark.parametrize("words", [3, 1000])
+def test_each_phrase_is_counted_for_one_cycle(words, monkeypatch):
+    """Words from the first step, longer phrases from the step after both subphrases got there."""
+    monkeypatch.setattr(phrases, "_WORDS", words)
+    reached = [np.full(64, 1, np.uint8), np.full(64, 2, np.uint8), np.zeros(64, np.uint8)]
+    for step, sizes in ((1, []), (2, [2]), (3, [2, 3]), (4, [3]), (5, [])):
+        count, scanner = phrases.StepCount(reached, step, 2, 9), phrases.Scanner("en", 3, 64)
+        for part in [*scanner.add(b"a b c. a b"), *scanner.flush()]:
+            count.add(part)
+        assert [int(t.sum()) for t in count.tables] == [0, 0, 1 if 3 in sizes else 0]
+    fresh = [np.zeros(64, np.uint8)] * 3
+    for step, total in ((1, 5), (2, 5), (3, 0)):
+        count, scanner = phrases.StepCount(fresh, step, 2, 9), phrases.Scanner("en", 3, 64)
+        for part in [*scanner.add(b"a b c. a b"), *scanner.flush()]:
+            count.add(part)
+        assert [int(t.sum()) for t in count.tables] == [total, 0, 0]
 
 
 def test_a_long_text(spark):
