@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,27 +22,28 @@ from debtscope.llm.shared import in_arrow, stored, text_of
 
 #: Code points that a chunk has of its own, and that it shares with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-#: Ids sent together, pre-tokens that a worker remembers before it forgets all, and the longest of them.
+#: Ids sent together, runs of text that a worker remembers before it forgets all, and the longest of them.
 _IDS, _MEMORY, _LONG = 1 << 20, 500_000, 64
 #: Code points behind the start of a pre-token that may decide where it ends, and what always ends one:
 #: a letter or digit before anything else, and whatever stands before white space.
 _AHEAD = 3
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SURE = r"\p{L}(?=\P{L})|\p{N}(?=\P{N})|\P{White_Space}(?=\p{White_Space})"
 
 
 class _Known(dict):
-    """Ids of pre-tokens; each distinct one is merged once."""
+    """Ids, as the bytes of 32-bit numbers, of runs of text that end where white space starts; each distinct run is encoded once."""
 
-    def __init__(self, merge):
+    def __init__(self, encode):
         super().__init__()
-        self.merge = merge
+        self.encode = encode
 
-    def __missing__(self, piece: str) -> Sequence[int]:
-        ids = tuple(self.merge(piece))
-        if len(piece) <= _LONG:
+    def __missing__(self, run: str) -> bytes:
+        ids = self.encode(run)
+        if len(run) <= _LONG:
             if len(self) >= _MEMORY:
                 self.clear()
-            self[piece] = ids
+            self[run] = ids
         return ids
 
 
@@ -54,24 +57,32 @@ class ByteBpe:
         # White space is what Unicode calls so, as in the pattern's own dialect.
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.sure = regex.compile(_SURE)
-        self.known = _Known(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece)
-        self.bytes = {rank: token for token, rank in table.items()}
+        self.runs = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
+        self.known = _Known(lambda run: array("i", chain.from_iterable(map(self.merge, self.pattern.findall(run)))).tobytes())
+        tokens = {rank: token for token, rank in table.items()}
+        self.bytes = [tokens.get(i) for i in range(max(tokens, default=-1) + 1)]
 
-    def encode(self, text: str, begin: int = 0, end: int | None = None) -> Iterator[int]:
-        """Ids of the pre-tokens that start from ``begin``, a boundary, to before ``end``."""
+    def encode(self, text: str, begin: int = 0, end: int | None = None) -> bytes:
+        """Ids of the pre-tokens that start from ``begin``, a boundary, to before ``end``, as the bytes of 32-bit numbers.
+
+        No pre-token reaches from anything else into white space, so runs of
+        white space and what follows it are pre-tokenised each on its own.
+        """
         if end is None:
-            pieces = self.pattern.findall(text, begin)
-        else:
-            pieces = []
-            for m in self.pattern.finditer(text, begin):
-                if m.start() >= end:
-                    break
-                pieces.append(m.group())
-        return chain.from_iterable(map(self.known.__getitem__, pieces))
+            return b"".join(map(self.known.__getitem__, self.runs.findall(text, begin)))
+        pieces = []
+        for m in self.pattern.finditer(text, begin):
+            if m.start() >= end:
+                break
+            pieces.append(m.group())
+        return b"".join(map(self.known.__getitem__, pieces))
 
-    def decode(self, ids: Sequence[int | None]) -> bytes:
-        """Bytes of ids; a null id has none, one outside of the vocabulary is an error."""
-        return b"".join(self.bytes[i] for i in ids if i is not None)
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """Bytes of ids; one outside of the vocabulary is an error."""
+        if ids and not (0 <= min(ids) and max(ids) < len(self.bytes)):
+            raise ValueError("an id outside of the vocabulary")
+        return b"".join(map(self.bytes.__getitem__, ids))
 
     def seams(self, text: str, own: int, first: bool, last: bool) -> tuple[list[int], list[int]]:
         """Boundaries of a chunk that may be shared with the one before and with the one after.
@@ -98,20 +109,20 @@ def _codec(ranks: bytes, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
-def _lists(parts: Iterator[Iterator[int]]) -> Iterator[tuple[int, pa.Array]]:
+def _lists(parts: Iterator[bytes]) -> Iterator[tuple[int, pa.Array]]:
     """Number of parts and their ids as an array of lists, some million ids at a time."""
-    ids, ends = array("i"), [0]
+    ids, ends = [], [0]
     for part in parts:
-        ids.extend(part)
-        ends.append(len(ids))
-        if len(ids) >= _IDS:
-            yield len(ends) - 1, _list(ids, ends)
-            ids, ends = array("i"), [0]
-    yield len(ends) - 1, _list(ids, ends)
+        ids.append(part)
+        ends.append(ends[-1] + len(part) // 4)
+        if ends[-1] >= _IDS:
+            yield len(ids), _list(ids, ends)
+            ids, ends = [], [0]
+    yield len(ids), _list(ids, ends)
 
 
-def _list(ids: array, ends: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+def _list(ids: list[bytes], ends: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 _ID_LISTS = T.ArrayType(T.IntegerType())
@@ -125,7 +136,7 @@ def _encoded(pieces: DataFrame, known) -> DataFrame:
         codec = _codec(*known.value)
         for batch in batches:
             texts, begins, ends = (batch.column(c) for c in ("text", "begin", "end"))
-            parts = (codec.encode(t.as_py(), b.as_py(), e.as_py()) for t, b, e in zip(texts, begins, ends, strict=True))
+            parts = (codec.encode(t.as_py(), b, e) for t, b, e in zip(texts, begins.to_pylist(), ends.to_pylist(), strict=True))
             at = 0
             for n, ids in _lists(parts):
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(at, n) for f in carried], ids], [*[f.name for f in carried], "ids"])
@@ -231,7 +242,11 @@ def decode_ids(docs: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids"
             step = max(1, batch.num_rows * _IDS // max(len(batch.column(ids_col).flatten()), 1))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                texts = [codec.decode(x.values.to_pylist() if x.is_valid else ()) for x in part.column(ids_col)]
+                lists = part.column(ids_col)
+                ids, ends = lists.flatten().to_pylist() if lists.flatten().null_count else lists.flatten().to_numpy().tolist(), [0]
+                ends += pc.fill_null(pc.list_value_length(lists), 0).to_numpy().cumsum().tolist()
+                parts = (ids[a:z] for a, z in pairwise(ends))
+                texts = [codec.decode([i for i in x if i is not None] if lists.flatten().null_count else x) for x in parts]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
 
     return in_arrow(plain, scan, T.StructType([*plain.schema, T.StructField("decoded", T.BinaryType())]))
