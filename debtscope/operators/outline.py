@@ -3,9 +3,11 @@
 Strings and comments are blanked first, line by line structure is read from
 indentation (Python) or braces (scripts). Source text never leaves its row:
 Python extents are found inside the row, scripts shuffle brace and keyword
-tokens only. It is an approximation: statements continued over several lines
-count on their first line, scripts need braces for a body to have an extent,
-and regular-expression literals are read as operators.
+tokens only. Lines that brackets, backslashes or strings continue are one
+statement on its first line, and what stands before a slash tells a regular
+expression from a division. It is an approximation: scripts need braces for a
+body to have an extent, brackets nest at most 16 deep within one statement, and
+a regular expression right after a closing bracket is read as a division.
 
 Positions follow the text. In Python they are eight times the line number plus
 a place for each kind of node, and leaves of a line share one place; node ids
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from debtscope.functions.rows import let
 from debtscope.functions.text import is_blank
+from debtscope.operators.languages import nested, outline_languages
 from debtscope.operators.nodes import SCRIPT_LANGUAGES
 
 LINE = 8
@@ -30,6 +33,8 @@ LINE = 8
 _LEAF = 5
 # Ordinal of nodes whose order among siblings plays no part.
 _LATER = 1 << 30
+# A line that belongs to the statement before it, and the end of a string of several lines.
+_CONTINUED = "\x01"
 
 # Strings, comments and the text between them, in one left-to-right pass.
 _PYTHON_TOKENS = (
@@ -40,8 +45,13 @@ _PYTHON_TOKENS = (
 _SCRIPT_TOKENS = (
     r"/\*[\s\S]*?(?:\*/|\z)" r"|//[^\n]*+"
     r'|"(?:[^"\\\n]++|\\[\s\S])*+"?' r"|'(?:[^'\\\n]++|\\[\s\S])*+'?" r"|`(?:[^`\\]++|\\[\s\S])*+`?"
+    r"|(?=/)(?<=(?:^|[=(,:;!&|?{}\[+\-*%~^<>\n]|\b(?:return|typeof|case|in|of|do|else|throw|void|delete|await|yield))[ \t]{0,40})"
+    r"/(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
     r"|[^\"'`/]++" r"|/"
 )
+# What a statement may hold: strings over several lines, escaped line ends and balanced brackets.
+_INSIDE = nested(r"[(\[{]", r"[)\]}]", r"[^()\[\]{}]++", 16)
+_STATEMENT = rf"(?:[\"']{{3}}\n*+\x01|[^\n()\[\]{{}}\\\"']++|[\"']|\\[\s\S]|{_INSIDE}|[()\[\]{{}}])*+(?:\n|\z)"
 
 # Python statements that open a body, by keyword.
 _PYTHON_BODIES = {
@@ -100,12 +110,13 @@ def _repeat(count: Column) -> Column:
 
 
 def _calls(body: Column) -> Column:
-    """Called names as ``name(``; a call on the result of a call repeats the first name."""
+    """Called names as ``name(``; one on a literal has its own name, one on the result of a call repeats the first name."""
     name = r"(?<![\w.$])([A-Za-z_$][\w.$]*)\s*"
     own = r"(?<!def )(?<!class )(?<!function )"
     direct = F.regexp_extract_all(body, F.lit(own + name + r"\("), 1)
+    literal = F.regexp_extract_all(body, F.lit(r"(?<=[\"\]])\.([A-Za-z_$][\w$]*)\s*\("), 1)
     chained = F.regexp_extract_all(body, F.lit(own + name + r"(?=\((?:[^()]|\([^()]*\))*+\)\s*\.\s*\w+\()"), 1)
-    called = F.filter(F.concat(direct, chained), lambda n: ~n.isin(*_NOT_CALLED))
+    called = F.filter(F.concat(direct, literal, chained), lambda n: ~n.isin(*_NOT_CALLED))
     return F.transform(called, lambda n: F.concat(n, F.lit("(")))
 
 
@@ -127,8 +138,8 @@ def blank_python(content: Column) -> Column:
         content,
         _PYTHON_TOKENS,
         [
-            (lambda t: t.startswith('"""'), lambda t: F.concat(F.lit('"""'), _breaks(t), F.lit(")"))),
-            (lambda t: t.startswith("'''"), lambda t: F.concat(F.lit("'''"), _breaks(t), F.lit(")"))),
+            (lambda t: t.startswith('"""'), lambda t: F.concat(F.lit('"""'), _breaks(t), F.lit(_CONTINUED))),
+            (lambda t: t.startswith("'''"), lambda t: F.concat(F.lit("'''"), _breaks(t), F.lit(_CONTINUED))),
             (lambda t: t.startswith('"') | t.startswith("'"), lambda t: F.concat(F.lit('"s"'), _breaks(t))),
             (lambda t: t.startswith("#"), lambda t: F.lit("#")),
         ],
@@ -144,11 +155,23 @@ def blank_script(content: Column) -> Column:
             (lambda t: t.startswith("/**"), lambda t: F.concat(F.lit("/**"), _breaks(t), F.lit("*/"))),
             (lambda t: t.startswith("/*"), lambda t: F.concat(F.lit("/*"), _breaks(t), F.lit("*/"))),
             (lambda t: t.startswith("//"), lambda t: F.lit("//")),
+            (lambda t: t.startswith("/") & (F.length(t) > 1), lambda t: F.lit('"r"')),
             (lambda t: F.substring(t, 1, 1).isin('"', "'", "`"), lambda t: F.concat(F.lit('"s"'), _breaks(t))),
         ],
     )
 
 
+def join_lines(blanked: Column) -> Column:
+    """Blanked Python text with each statement on its first line; the line count stays."""
+
+    def join(t: Column) -> Column:
+        more = F.length(_breaks(t)) - t.endswith("\n").cast("int")
+        flat = F.concat(F.translate(F.rtrim(t, F.lit("\n")), "\\\n", "  "), F.repeat(F.lit("\n" + _CONTINUED), more), F.when(t.endswith("\n"), "\n").otherwise(""))
+        return F.when(more > 0, flat).otherwise(t)
+
+    return F.array_join(F.transform(F.regexp_extract_all(blanked, F.lit(_STATEMENT), F.lit(0)), join), "")
+
+
 def _python_lines(blanked: Column) -> Column:
     """Filled lines with number, indentation and stripped body."""
     rows = F.transform(
@@ -189,7 +212,7 @@ def _classified(lines: Column) -> Column:
 
 
 def _python_nodes(lines: Column) -> Column:
-    starts = lambda x: ~x["body"].rlike(r"^[)\]}#]")
+    starts = lambda x: ~x["body"].rlike(r"^[)\]}#\x01]")
     last = F.coalesce(F.get(lines, F.size(lines) - 1)["no"], F.lit(0))
     none = F.lit(None).cast("string")
     top = F.lit(0)
@@ -265,7 +288,7 @@ def _python_nodes(lines: Column) -> Column:
 
 def outline_python(files: DataFrame) -> DataFrame:
     """Nodes of Python files, found inside each row."""
-    lines = files.withColumn("_lines", _python_lines(blank_python(F.col("content"))))
+    lines = files.withColumn("_lines", _python_lines(join_lines(blank_python(F.translate("content", _CONTINUED, "")))))
     nodes = lines.select(
         "file_id", "language", let(F.col("_lines"), lambda ls: let(_classified(ls), _python_nodes)).alias("_nodes")
     )
@@ -274,17 +297,17 @@ def outline_python(files: DataFrame) -> DataFrame:
 
 # Script constructs by the text that starts them. A head ends at the first brace outside of
 # brackets; that brace opens the body. Anything else of a line is one piece of text.
-_BRACKETS = r"\((?:[^\n()]|\((?:[^\n()]|\([^\n()]*+\))*+\))*+\)"
+_BRACKETS = nested(r"\(", r"\)", r"[^(){}]++", 8)
 _SCRIPT_HEADS = r"(?:async\s+)?\bfunction\b|\b(?:class|if|for|while|switch|catch)\b"
 _SCRIPT_WORDS = r"\bcase\b|\b(?:do|try|finally)\s*+\{|=>\s*+\{?|\belse\b"
 _SCRIPT_PARTS = (
-    rf"(?:{_SCRIPT_HEADS})(?:[^\n{{}}()]|{_BRACKETS})*+\{{?"
+    rf"(?:{_SCRIPT_HEADS})(?:[^\n{{}}()]++|{_BRACKETS})*+\{{?"
     rf"|{_SCRIPT_WORDS}|[{{}}\n]"
     rf"|(?:(?!{_SCRIPT_HEADS}|{_SCRIPT_WORDS})[^{{}}\n])++"
 )
 _SCRIPT_OPERATORS = (
     r"===|!==|==|!=|<=|>=|&&|\|\||\?\?|\*\*|(?<![=<>])[<>](?![=<>/])|(?<![*/])[*%](?![*=/])"
-    r"|(?<=[\w)\]\"] )[+\-](?= )"
+    r"|(?<=[\w)\]\"] )[+\-](?=\s|$)"
 )
 
 
@@ -401,8 +424,8 @@ def _block_comments(blanked: DataFrame) -> DataFrame:
 
 
 def outline(files: DataFrame) -> DataFrame:
-    """Nodes of all non-blank Python and script files (``file_id``, ``language``, ``content``)."""
+    """Nodes of all non-blank files in a known language (``file_id``, ``language``, ``content``)."""
     readable = files.where(~is_blank(F.col("content"))).select("file_id", "language", "content")
     python = outline_python(readable.where("language = 'python'"))
     script = outline_script(readable.where(F.col("language").isin(*SCRIPT_LANGUAGES)))
-    return python.unionByName(script)
+    return python.unionByName(script).unionByName(outline_languages(readable))
