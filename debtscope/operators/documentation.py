@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from debtscope.functions.rows import ratio, round_to
 from debtscope.functions.scores import documentation_score
 from debtscope.functions.text import strip
-from debtscope.operators.nodes import FUNCTION_TYPES, classes_of, functions_of
+from debtscope.operators.nodes import FUNCTION_TYPES, classes_of, functions_of, is_class
 
 
 def _leading(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -85,34 +86,91 @@ def documented_entities(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _doc_marks(nodes: DataFrame) -> DataFrame:
+    """Functions, classes, roots and comments in one pass over the nodes: ``file_id, role, documented, lines``.
+
+    A string marks its statement, a statement or comment that comes first marks
+    what holds it, a block marks its owner. Each step is one aggregation or
+    window keyed by a node or its parent; rows that take no part in a step pass
+    through it under their own key.
+    """
+    language, kind, text = F.col("language"), F.col("type"), F.col("text")
+    python = language == "python"
+    quoted = python & (kind == "string") & (text.startswith('"""') | text.startswith("'''"))
+    role = (
+        F.when(F.col("parent_id").isNull(), "root")
+        .when(kind.isin(*FUNCTION_TYPES), "function")
+        .when(is_class(language, kind), "class")
+        .when(kind == "comment", "comment")
+        .when(python & (kind == "block"), "block")
+        .when(python & (kind == "expression_statement"), "statement")
+    )
+    own = F.struct(
+        role.alias("role"), python.alias("python"), "parent_id", "sibling_ord",
+        F.when(kind == "comment", F.col("end_line") - F.col("start_line") + 1).otherwise(0).alias("lines"),
+        (~python & (kind == "comment") & text.startswith("/*")).alias("block_note"),
+        (~python & (kind == "comment") & strip(text).startswith("/**")).alias("doc_note"),
+    )
+    keyed = nodes.where(role.isNotNull() | quoted).select(
+        "file_id", F.when(quoted, F.col("parent_id")).otherwise(F.col("node_id")).alias("node_id"), F.when(role.isNotNull(), own).alias("own"), quoted.alias("quoted")
+    )
+    stated = (
+        keyed.groupBy("file_id", "node_id")
+        .agg(F.max("own").alias("own"), F.bool_or("quoted").alias("quoted"))
+        .where(F.col("own").isNotNull() & ((F.col("own.role") != "statement") | F.col("quoted")))
+        .select("file_id", "node_id", "own.*")
+    )
+
+    siblings = W.partitionBy("file_id", "parent_id").orderBy("sibling_ord", "node_id")
+    before = F.count_if(F.col("role") == "comment").over(siblings.rowsBetween(W.unboundedPreceding, -1))
+    last = F.lag(F.when(F.col("doc_note"), F.col("sibling_ord"))).over(siblings)
+    first = F.col("sibling_ord") == F.col("before")
+    placed = stated.withColumn("before", before).withColumn("last", last)
+    leads = first & ((F.col("role") == "statement") | F.col("block_note"))
+    noted = F.col("role").isin("function", "class") & ~F.col("python") & (F.col("last") + 1 == F.col("sibling_ord"))
+    # A leading statement or comment speaks for its parent, everything else but a statement for itself.
+    mark = lambda node, mine, said, note, itself: F.struct(
+        node.alias("node_id"), F.when(mine, F.struct("role", "parent_id", "lines")).alias("own"), said.alias("stated"), note.alias("block_note"), itself.alias("noted")
+    )
+    no, yes = F.lit(False), F.lit(True)
+    marks = F.array_compact(
+        F.array(
+            F.when(F.col("role") != "statement", mark(F.col("node_id"), yes, no, no, F.coalesce(noted, no))),
+            F.when(leads, mark(F.col("parent_id"), no, F.col("role") == "statement", F.col("block_note"), no)),
+        )
+    )
+    held = (
+        placed.select("file_id", F.inline(marks))
+        .groupBy("file_id", "node_id")
+        .agg(F.max("own").alias("own"), F.bool_or("stated").alias("stated"), F.bool_or("block_note").alias("block_note"), F.bool_or("noted").alias("noted"))
+        .where(F.col("own").isNotNull() & ((F.col("own.role") != "block") | F.col("stated")))
+        .select("file_id", "node_id", "own.*", "stated", "block_note", "noted")
+    )
+    block = F.col("role") == "block"
+    owners = held.select(
+        "file_id",
+        F.when(block, F.col("parent_id")).otherwise(F.col("node_id")).alias("node_id"),
+        F.when(~block, F.struct("role", "lines")).alias("own"),
+        F.when(block, yes).when(F.col("role") == "root", F.col("stated") | F.col("block_note")).otherwise(F.col("noted")).alias("documented"),
+    )
+    return (
+        owners.groupBy("file_id", "node_id")
+        .agg(F.max("own").alias("own"), F.bool_or("documented").alias("documented"))
+        .where(F.col("own").isNotNull())
+        .select("file_id", "own.role", "own.lines", F.col("documented").cast("int").alias("documented"))
+    )
+
+
 def file_documentation(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """Coverage, comment density and score per file; ``files`` gives ``file_id`` and ``total_lines``."""
-    entities = documented_entities(nodes).select(
-        "file_id",
-        F.when(F.col("kind") == "function", 1).otherwise(0).alias("functions"),
-        F.when(F.col("kind") == "class", 1).otherwise(0).alias("classes"),
-        F.col("has_docstring").cast("int").alias("documented"),
-        F.lit(0).alias("module_doc"),
-        F.lit(0).cast("long").alias("comment_lines"),
-    )
-    modules = documented_modules(nodes).select(
-        "file_id", F.lit(0), F.lit(0), F.lit(0), F.lit(1), F.lit(0).cast("long")
-    )
-    comments = nodes.where("type = 'comment'").select(
-        "file_id", F.lit(0), F.lit(0), F.lit(0), F.lit(0), (F.col("end_line") - F.col("start_line") + 1).cast("long")
-    )
-    totals = (
-        entities.union(modules)
-        .union(comments)
-        .groupBy("file_id")
-        .agg(
-            F.sum("functions").alias("total_functions"),
-            F.sum(F.col("functions") * F.col("documented")).alias("documented_functions"),
-            F.sum("classes").alias("total_classes"),
-            F.sum(F.col("classes") * F.col("documented")).alias("documented_classes"),
-            F.max("module_doc").alias("module_doc"),
-            F.sum("comment_lines").alias("comment_lines"),
-        )
+    is_role = lambda name: (F.col("role") == name).cast("int")
+    totals = _doc_marks(nodes).groupBy("file_id").agg(
+        F.sum(is_role("function")).alias("total_functions"),
+        F.sum(is_role("function") * F.col("documented")).alias("documented_functions"),
+        F.sum(is_role("class")).alias("total_classes"),
+        F.sum(is_role("class") * F.col("documented")).alias("documented_classes"),
+        F.max(is_role("root") * F.col("documented")).alias("module_doc"),
+        F.sum("lines").cast("long").alias("comment_lines"),
     )
     joined = files.select("file_id", F.col("total_lines").cast("long").alias("total_lines")).join(totals, "file_id", "left").na.fill(0)
     units = F.col("total_functions") + F.col("total_classes") + F.when(F.col("total_lines") > 0, 1).otherwise(0)
