@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from debtscope.functions.rows import round_to
@@ -75,7 +76,8 @@ def _events(nodes: DataFrame, block: int) -> DataFrame:
     """Enter and leave events of the nodes that matter for complexity, with running figures.
 
     ``level`` is the number of open nesting nodes, an entered one included;
-    ``decisions`` and ``operators`` count the nodes entered so far.
+    ``decisions`` and ``operators`` count the nodes entered so far, ``depths``
+    sums the levels of these decisions. All four run in one pass over blocks.
     """
     flagged = nodes.select(
         "file_id",
@@ -94,12 +96,33 @@ def _events(nodes: DataFrame, block: int) -> DataFrame:
         "file_id", "node_id", "decision", "nesting", "operator", "function", "pre", "post", "event.at", "event.leaving"
     )
     entered = F.col("leaving") == 0
-    sums = {
-        "level": F.when(~F.col("nesting"), 0).when(entered, 1).otherwise(-1),
-        "decisions": (F.col("decision") & entered).cast("long"),
-        "operators": (F.col("operator") & entered).cast("long"),
-    }
-    return running(events, ["file_id"], F.floor(F.col("at") / block), _ORDER, sums=sums)
+    steps = events.select(
+        "*",
+        F.floor(F.col("at") / block).alias("_block"),
+        F.when(~F.col("nesting"), 0).when(entered, 1).otherwise(-1).alias("_step"),
+        (F.col("decision") & entered).cast("long").alias("_decides"),
+        (F.col("operator") & entered).cast("long").alias("_operates"),
+    )
+    # Inside a block levels count from its start; a decision is deeper by the level that the block starts at.
+    inside = W.partitionBy("file_id", "_block").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, 0)
+    sums = {"_level": "_step", "_decisions": "_decides", "_operators": "_operates"}
+    rows = steps.select("*", *[F.sum(value).over(inside).alias(name) for name, value in sums.items()])
+    deep = F.col("_decides") * F.col("_level")
+    totals = rows.groupBy("file_id", "_block").agg(
+        F.sum("_step").alias("_dl"), F.sum("_decides").alias("_dd"), F.sum("_operates").alias("_do"), F.sum(deep).alias("_dp")
+    )
+    earlier = W.partitionBy("file_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    bases = totals.select("*", *[F.coalesce(F.sum(c).over(earlier), zero).alias(f"{c}0") for c in ("_dl", "_dd", "_do")])
+    below = F.coalesce(F.sum(F.col("_dp") + F.col("_dl0") * F.col("_dd")).over(earlier), zero)
+    bases = bases.select("file_id", "_block", "_dl0", "_dd0", "_do0", below.alias("_dp0"))
+    return rows.withColumn("_depths", F.sum(deep).over(inside)).join(bases, ["file_id", "_block"]).select(
+        *events.columns,
+        (F.col("_level") + F.col("_dl0")).alias("level"),
+        (F.col("_decisions") + F.col("_dd0")).alias("decisions"),
+        (F.col("_operators") + F.col("_do0")).alias("operators"),
+        (F.col("_depths") + F.col("_dl0") * F.col("_decisions") + F.col("_dp0")).alias("depths"),
+    )
 
 
 # A node is entered before one inside it and left after it.
@@ -112,7 +135,7 @@ def with_nesting_level(nodes: DataFrame, block: int = 4096) -> DataFrame:
     Entering a nesting node counts +1 and leaving it -1; the level is a running
     sum over these events in document order. No tree is walked.
     """
-    return _events(nodes, block).where("leaving = 0").drop("at", "leaving", "decisions", "operators")
+    return _events(nodes, block).where("leaving = 0").drop("at", "leaving", "decisions", "operators", "depths")
 
 
 def function_complexity(nodes: DataFrame, block: int = 4096) -> DataFrame:
@@ -124,8 +147,7 @@ def function_complexity(nodes: DataFrame, block: int = 4096) -> DataFrame:
     the function would add one too little, so these are counted by the nesting
     node that was opened last at their level.
     """
-    deep = F.when(F.col("decision") & (F.col("leaving") == 0), F.col("level")).otherwise(0).cast("long")
-    summed = running(_events(nodes, block), ["file_id"], F.floor(F.col("at") / block), _ORDER, sums={"depths": deep})
+    summed = _events(nodes, block)
 
     opened = F.when(F.col("nesting"), F.struct("at", "leaving", "pre", "node_id"))
     flat = (
