@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,8 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 46 if c in b".,;:!
 _BREAK = b"."
 #: Text bytes split together and words counted together in a task.
 _TEXT, _WORDS = 4 << 20, 4_000_000
+#: Words whose hashes are kept in one row of a shard.
+_SEGMENT = 1 << 18
 #: Slots whose counts travel together.
 _SLOTS = 1 << 16
 
@@ -58,9 +60,8 @@ class _Ids(dict):
 class Scanner:
     """Reads texts of one language and looks at all their phrases, some million words at a time."""
 
-    def __init__(self, lang: str, max_words: int, slots: int):
-        self.lang, self.max_words = lang, max_words
-        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+    def __init__(self, lang: str, max_words: int, most: int):
+        self.lang, self.max_words, self.most = lang, max_words, most
         self.seed = xxhash.xxh3_64_intdigest(lang.encode())
         self._start([])
 
@@ -70,12 +71,12 @@ class Scanner:
         self.parts = [np.fromiter(map(self.ids.__getitem__, tail), np.int64, len(tail))]
         self.tail, self.known, self.held = tail, len(tail), 0
 
-    def add(self, text: bytes) -> Iterator[Phrases]:
-        """Read a text; yields phrases whenever enough words are held."""
+    def add(self, text: bytes) -> Iterator[Words]:
+        """Read a text; yields words whenever enough are held."""
         for tokens in _tokens(text.translate(_PLAIN)):
             self._read(tokens)
-            if self.held >= _WORDS:
-                yield from self.flush()
+            if self.held >= self.most:
+                yield self.flush()
         self._read([_BREAK])
 
     def _read(self, tokens: list[bytes]) -> None:
@@ -84,30 +85,49 @@ class Scanner:
         back = self.max_words - 1
         self.tail = [*self.tail, *tokens][-back:] if len(tokens) < back else tokens[-back:]
 
-    def flush(self) -> Iterator[Phrases]:
-        """The phrases of each length that end in what was read since the last flush, shortest first."""
-        at, known, words = np.concatenate(self.parts), self.known, self.ids.words
-        own = np.array(self.ids.hashes, np.uint64)
-        hashes, whole = own[at], at > 0
-        for size in range(1, self.max_words + 1):
+    def flush(self) -> Words:
+        """What was read since the last flush, behind the words before it that may start its phrases."""
+        at = np.concatenate(self.parts)
+        hashes = (np.array(self.ids.hashes, np.uint64) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        hashes[0] = 0
+        out = Words(self.lang, self.known, hashes[at], at, self.ids.words)
+        self._start(self.tail)
+        return out
+
+
+@dataclass
+class Words:
+    """Words of a language in order, as 32-bit hashes with 0 between pieces; the first ``known`` have been looked at.
+
+    Where the words themselves are at hand, ``at`` numbers them in ``words``.
+    """
+
+    lang: str
+    known: int
+    hashes: np.ndarray
+    at: np.ndarray | None = None
+    words: list[bytes] | None = None
+
+    def phrases(self, max_words: int, slots: int) -> Iterator[Phrases]:
+        """All phrases that end in new words, by length, shortest first."""
+        shift, each = np.uint64(64 - (slots.bit_length() - 1)), self.hashes.astype(np.uint64)
+        hashes, whole = _mixed(each, np.uint64(0)), each > 0
+        for size in range(1, max_words + 1):
             if size > 1:
-                hashes, whole = _mixed(hashes[:-1], own[at[size - 1 :]]), whole[:-1] & (at[size - 1 :] > 0)
+                hashes, whole = _mixed(hashes[:-1], each[size - 1 :]), whole[:-1] & (each[size - 1 :] > 0)
             if not len(hashes):
                 break
             fresh = whole.copy()
-            fresh[: max(known - size + 1, 0)] = False
-            yield Phrases(self.lang, size, words, at, (hashes >> self.shift).astype(np.int64), whole, fresh)
-        self._start(self.tail)
+            fresh[: max(self.known - size + 1, 0)] = False
+            yield Phrases(self, size, (hashes >> shift).astype(np.int64), whole, fresh)
 
 
 @dataclass
 class Phrases:
     """Phrases of one length by the place they start at: their slots, whether no piece ends inside, and whether they are new."""
 
-    lang: str
+    of: Words
     size: int
-    words: list[bytes]
-    at: np.ndarray
     slots: np.ndarray
     whole: np.ndarray
     fresh: np.ndarray
@@ -117,16 +137,17 @@ class Phrases:
         begins = np.flatnonzero(wanted)
         if not len(begins):
             return
-        name, first, counts = self.at[begins], None, None
+        at, words = self.of.at, self.of.words
+        name, first, counts = at[begins], None, None
         for k in range(min(1, self.size - 1), self.size):
-            key = name << 32 | self.at[begins + k] if self.size > 1 else name
+            key = name << 32 | at[begins + k] if self.size > 1 else name
             _, first, name, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        texts = [b" ".join([self.words[j] for j in self.at[i : i + self.size]]) for i in begins[first]]
+        texts = [b" ".join([words[j] for j in at[i : i + self.size]]) for i in begins[first].tolist()]
         for a in range(0, len(texts), 1 << 18):
             part = texts[a : a + (1 << 18)]
             columns = [
                 pa.array(np.full(len(part), self.size, np.int32)),
-                pa.array([self.lang] * len(part), pa.string()),
+                pa.array([self.of.lang] * len(part), pa.string()),
                 pa.array(part, pa.binary()).cast(pa.string()),
                 pa.array(counts[a : a + (1 << 18)].astype(np.int64)),
             ]
@@ -173,60 +194,88 @@ def _cut(table: np.ndarray) -> list[np.ndarray]:
 
 
 def _chunk_rows(size: int, parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    packed = pa.array([zlib.compress(x.astype("<u4") if x.dtype.itemsize > 1 else x, 1) for x in parts.values()], pa.binary())
+    packed = pa.array([_pack(x) for x in parts.values()], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([size] * len(parts), pa.int32()), pa.array(list(parts), pa.int32()), packed], ["size", "chunk", "counts"])
 
 
-def _scanned(texts: DataFrame, start: Callable, schema: str) -> DataFrame:
-    """Rows that ``start()``, a function of phrases and one to end with, makes of all phrases."""
+def _pack(counts: np.ndarray) -> bytes:
+    """Few counts as their places and values, many as a compressed table."""
+    places = np.flatnonzero(counts)
+    if len(places) * 8 < len(counts):
+        return b"few" + places.astype("<u2").tobytes() + counts[places].astype("<u4").tobytes()
+    return b"all" + zlib.compress(counts.astype("<u4"), 1)
+
+
+def _unpack(packed: bytes, total: np.ndarray) -> np.ndarray:
+    """``total`` with the packed counts added."""
+    if packed[:3] == b"all":
+        return total + np.frombuffer(zlib.decompress(packed[3:]), "<u4")
+    n = (len(packed) - 3) // 6
+    total = total.copy()
+    total[np.frombuffer(packed, "<u2", n, 3)] += np.frombuffer(packed, "<u4", n, 3 + 2 * n)
+    return total
+
+
+class Slots:
+    """Tables of slots that travel compressed and are unpacked once in a worker."""
+
+    def __init__(self, tables: list[np.ndarray]):
+        self.packed, self.tables = [zlib.compress(x, 1) for x in tables], None
+
+    def all(self) -> list[np.ndarray]:
+        if self.tables is None:
+            self.tables = [np.frombuffer(zlib.decompress(x), np.uint8) for x in self.packed]
+        return self.tables
+
+
+def _read(batches: Iterator[pa.RecordBatch], max_words: int, most: int) -> Iterator[Words]:
+    """The words of all texts of a task, about ``most`` at a time."""
+    scanners: dict[str, Scanner] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
+            if lang not in scanners:
+                scanners[lang] = Scanner(lang, max_words, most)
+            yield from scanners[lang].add(text.as_py())
+            if sum(s.held for s in scanners.values()) >= most:
+                yield from (s.flush() for s in scanners.values() if s.held)
+    yield from (s.flush() for s in scanners.values() if s.held)
+
+
+def _hashed(texts: DataFrame, max_words: int) -> DataFrame:
+    """Texts as hashes of words, some hundred thousand in a row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        max_words, slots, look, end = start()
-        scanners: dict[str, Scanner] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-                if lang not in scanners:
-                    scanners[lang] = Scanner(lang, max_words, slots)
-                for phrases in scanners[lang].add(text.as_py()):
-                    yield from look(phrases)
-                if sum(s.held for s in scanners.values()) >= _WORDS:
-                    for scanner in scanners.values():
-                        for phrases in scanner.flush():
-                            yield from look(phrases)
-        for scanner in scanners.values():
-            for phrases in scanner.flush():
-                yield from look(phrases)
-        yield from end()
-
-    return in_arrow(texts, scan, schema)
+        for words in _read(batches, max_words, _SEGMENT):
+            yield pa.RecordBatch.from_arrays([pa.array([words.known], pa.int32()), pa.array([words.hashes.tobytes()], pa.binary())], ["known", "hashes"])
+
+    return in_arrow(texts, scan, "known int, hashes binary")
 
 
 _CHUNKS = "size int, chunk int, counts binary"
 
 
 def _step(shard: DataFrame, known, step: int, shards: int, least: int) -> DataFrame:
-    def start():
-        count = StepCount(_unpacked(known.value), step, shards, least)
-
-        def look(phrases: Phrases) -> tuple:
-            count.add(phrases)
-            return ()
-
-        return len(count.tables), len(count.tables[0]), look, count.rows
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = StepCount(known.value.all(), step, shards, least)
+        for batch in batches:
+            for skip, hashes in zip(batch.column("known").to_pylist(), batch.column("hashes")):
+                words = Words("", skip, np.frombuffer(hashes.as_buffer(), np.uint32))
+                for phrases in words.phrases(len(count.tables), len(count.tables[0])):
+                    count.add(phrases)
+        yield from count.rows()
 
-    return _scanned(shard, start, _CHUNKS)
+    return in_arrow(shard, scan, _CHUNKS)
 
 
-def _summed(chunks: DataFrame, least: int) -> DataFrame:
+def _summed(chunks: DataFrame, least: int, slots: int) -> DataFrame:
     """Sums of the counts of each chunk of slots, up to the threshold, and the slots that are there now."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.uint8 if least <= 255 else np.dtype("<u4")
         key, total = None, None
 
         def row() -> pa.RecordBatch:
             there = total >= least
-            rest = _chunk_rows(key[0], {key[1]: np.where(there, 0, total).astype(kind)})
+            rest = _chunk_rows(key[0], {key[1]: np.where(there, 0, total)})
             return pa.RecordBatch.from_arrays([*rest.columns, pa.array([np.packbits(there).tobytes() if there.any() else None], pa.binary())], ["size", "chunk", "counts", "bits"])
 
         for batch in batches:
@@ -234,30 +283,23 @@ def _summed(chunks: DataFrame, least: int) -> DataFrame:
                 if key != (size, chunk):
                     if key:
                         yield row()
-                    key, total = (size, chunk), 0
-                total = np.minimum(total + np.frombuffer(zlib.decompress(counts.as_py()), kind).astype(np.int64), least)
+                    key, total = (size, chunk), np.zeros(min(slots, _SLOTS), np.int64)
+                total = np.minimum(_unpack(counts.as_py(), total), least)
         if key:
             yield row()
 
     return in_arrow(chunks.repartition("size", "chunk").sortWithinPartitions("size", "chunk"), scan, _CHUNKS + ", bits binary")
 
 
-def _packed(reached: list[np.ndarray]) -> list[bytes]:
-    return [zlib.compress(x, 1) for x in reached]
-
-
-def _unpacked(reached: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(x), np.uint8) for x in reached]
-
-
 def count_phrases(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, min_count: int = 10, shards: int = 4, slots: int = 1 << 24
 ) -> DataFrame:
     """``size, lang, phrase, n`` parts whose sums by phrase are whole counts.
 
     All words are counted, and all phrases up to ``max_words`` words that occur
-    ``min_count`` times or more; others may be. Texts are dealt to ``shards``
-    shards. Each step scans one shard for all lengths at once. Words are active
+    ``min_count`` times or more; others may be. Words become 32-bit hashes of
+    word and language, dealt to ``shards`` shards in rows of some hundred
+    thousand. Each step scans one shard for all lengths at once. Words are active
     from the first step; a longer phrase becomes active as soon as both its
     subphrases have reached the threshold, wherever the cycle stands, and is
     counted until each shard was read once since. It ends when no phrase is
@@ -265,8 +307,8 @@ def count_phrases(
 
     These counts are kept by hash slot and stop at the threshold: a byte for
     each of ``slots`` slots and length goes to all tasks, compressed, and bits
-    of slots come back, whatever the corpus holds. A last scan counts the
-    phrases themselves whose slot has reached the threshold. Phrases that share
+    of slots come back, whatever the corpus holds. A last scan of the texts
+    counts the phrases themselves whose slot has reached the threshold. Phrases that share
     a slot may be counted without need, and more of them are the more phrases
     there are; counts are whole and exact all the same.
     """
@@ -274,17 +316,18 @@ def count_phrases(
         raise ValueError("slots must be a power of two, and steps must fit a byte")
     spark, path = docs.sparkSession, work_path(docs.sparkSession, "phrase-shards")
     given = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_of(text_col).alias("text"))
-    dealt = given.where("text != ''").withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
-    dealt.write.partitionBy("shard").parquet(path)
+    texts = given.where("text != ''")
+    dealt = _hashed(texts, max_words).withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
+    dealt.write.partitionBy("shard").parquet(path, compression="zstd")
     held = spark.read.schema(dealt.schema).parquet(path)
 
     reached = [np.zeros(slots, np.uint8) for _ in range(max_words)]
     sums, step, last = None, 0, shards
     while step < last:
         step += 1
-        known = spark.sparkContext.broadcast(_packed(reached))
-        rows = _step(held.where(F.col("shard") == (step - 1) % shards).select("lang", "text"), known, step, shards, min_count)
-        sums = stored(_summed(rows if sums is None else rows.unionByName(sums.select("size", "chunk", "counts")), min_count), "phrase-slots")
+        known = spark.sparkContext.broadcast(Slots(reached))
+        rows = _step(held.where(F.col("shard") == (step - 1) % shards).select("known", "hashes"), known, step, shards, min_count)
+        sums = stored(_summed(rows if sums is None else rows.unionByName(sums.select("size", "chunk", "counts")), min_count, slots), "phrase-slots")
         for size, chunk, bits in sums.where("bits is not null").select("size", "chunk", "bits").toLocalIterator():
             part = _cut(reached[size - 1])[chunk]
             part[np.unpackbits(np.frombuffer(bits, np.uint8))[: len(part)] > 0] = step
@@ -292,13 +335,15 @@ def count_phrases(
                 last = max(last, step + shards)
         known.destroy()
 
-    found = spark.sparkContext.broadcast(_packed([x > 0 for x in reached]))
+    found = spark.sparkContext.broadcast(Slots([x > 0 for x in reached]))
 
-    def start():
-        there = _unpacked(found.value)
-        return max_words, slots, lambda p: p.rows(p.fresh & (there[p.size - 1][p.slots] > 0) if p.size > 1 else p.fresh), lambda: ()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = found.value.all()
+        for words in _read(batches, max_words, _WORDS):
+            for p in words.phrases(max_words, slots):
+                yield from p.rows(p.fresh & (there[p.size - 1][p.slots] > 0) if p.size > 1 else p.fresh)
 
-    return _scanned(held.select("lang", "text"), start, "size int, lang string, phrase string, n long")
+    return in_arrow(texts, scan, "size int, lang string, phrase string, n long")
 
 
 def _part(words: Column, begin: Column | int, size: Column | int) -> Column:

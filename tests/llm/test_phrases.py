@@ -77,14 +77,14 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("words,text", [(7, 16), (1, 1), (1000, 3)])
 def test_parts_of_a_text_count_like_the_whole(words, text, monkeypatch):
     """Phrases across the seams of what is split and looked at together are counted once."""
-    monkeypatch.setattr(phrases, "_WORDS", words)
     monkeypatch.setattr(phrases, "_TEXT", text)
     said = "to be or not to be, that is to be or not to be. " * 5
-    scanner, got, want = phrases.Scanner("en", 3, 64), Tally(), Tally()
-    for part in [*scanner.add(said.encode()), *scanner.add(b"to be"), *scanner.flush()]:
-        for batch in part.rows(part.fresh):
-            for row in batch.to_pylist():
-                got[row["size"], row["phrase"]] += row["n"]
+    scanner, got, want = phrases.Scanner("en", 3, words), Tally(), Tally()
+    for some in [*scanner.add(said.encode()), *scanner.add(b"to be"), scanner.flush()]:
+        for part in some.phrases(3, 64):
+            for batch in part.rows(part.fresh):
+                for row in batch.to_pylist():
+                    got[row["size"], row["phrase"]] += row["n"]
     for piece in re.split("[.,]", said) + ["to be"]:
         w = piece.split()
         want.update((size, " ".join(w[i : i + size])) for size in (1, 2, 3) for i in range(len(w) - size + 1))
@@ -92,21 +92,21 @@ def test_parts_of_a_text_count_like_the_whole(words, text, monkeypatch):
 
 
 @pytest.mark.parametrize("words", [3, 1000])
-def test_each_phrase_is_counted_for_one_cycle(words, monkeypatch):
+def test_each_phrase_is_counted_for_one_cycle(words):
     """Words from the first step, longer phrases from the step after both subphrases got there."""
-    monkeypatch.setattr(phrases, "_WORDS", words)
+
+    def totals(reached, step):
+        count, scanner = phrases.StepCount(reached, step, 2, 9), phrases.Scanner("en", 3, words)
+        for some in [*scanner.add(b"a b c. a b"), scanner.flush()]:
+            for part in some.phrases(3, 64):
+                count.add(part)
+        return [int(t.sum()) for t in count.tables]
+
     reached = [np.full(64, 1, np.uint8), np.full(64, 2, np.uint8), np.zeros(64, np.uint8)]
-    for step, sizes in ((1, []), (2, [2]), (3, [2, 3]), (4, [3]), (5, [])):
-        count, scanner = phrases.StepCount(reached, step, 2, 9), phrases.Scanner("en", 3, 64)
-        for part in [*scanner.add(b"a b c. a b"), *scanner.flush()]:
-            count.add(part)
-        assert [int(t.sum()) for t in count.tables] == [0, 0, 1 if 3 in sizes else 0]
-    fresh = [np.zeros(64, np.uint8)] * 3
-    for step, total in ((1, 5), (2, 5), (3, 0)):
-        count, scanner = phrases.StepCount(fresh, step, 2, 9), phrases.Scanner("en", 3, 64)
-        for part in [*scanner.add(b"a b c. a b"), *scanner.flush()]:
-            count.add(part)
-        assert [int(t.sum()) for t in count.tables] == [total, 0, 0]
+    assert [totals(reached, step) for step in range(1, 6)] == [[0, 0, 0], [0, 0, 0], [0, 0, 1], [0, 0, 1], [0, 0, 0]]
+    assert [totals([np.zeros(64, np.uint8)] * 3, step) for step in (1, 2, 3)] == [[5, 0, 0], [5, 0, 0], [0, 0, 0]]
+    words_only = [np.full(64, 1, np.uint8), np.zeros(64, np.uint8), np.zeros(64, np.uint8)]
+    assert [totals(words_only, step) for step in (1, 2, 3, 4)] == [[0, 0, 0], [0, 3, 0], [0, 3, 0], [0, 0, 0]]
 
 
 def test_a_long_text(spark):
