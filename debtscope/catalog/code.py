@@ -14,6 +14,7 @@ from debtscope.catalog.sql import DOCUMENT_LINES, clamp, rnd
 from debtscope.catalog.structure import FILE_COMPLEXITY, FILE_DOCS, FILE_HANDLING
 from debtscope.operators.complexity import function_complexity
 from debtscope.operators.duplication import duplicate_blocks
+from debtscope.operators.nodes import file_outline_metrics, imports_of
 from debtscope.operators.outline import outline
 from debtscope.plans.scoring import score_files
 from debtscope.session import landed, table
@@ -144,3 +145,20 @@ SELECT doc_id AS file_id, hash, count(*) AS occurrences FROM repeats GROUP BY AL
 def code_duplicate_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of lines that a program repeats."""
     return duplicate_blocks(code_files(spark, folder)).select("file_id", "hash", "occurrences")
+
+
+@query("SELECT c_custkey AS file_id, 1::BIGINT AS line, 'import os' AS text FROM customer WHERE c_custkey % 2 = 1")
+def code_import_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Imports of every program with their lines."""
+    return imports_of(code_nodes(spark, folder), code_files(spark, folder)).select("file_id", F.col("line").cast("long").alias("line"), "text")
+
+
+@query(f"""
+WITH {FIGURES}, sized AS (SELECT o_custkey AS file_id, 2 + doc::INT + 2 * r + 4 * t + n AS size FROM written)
+SELECT c_custkey AS file_id, (1 + coalesce(sum(size), 0))::BIGINT AS line_count, count(size) AS function_count, 0::BIGINT AS class_count,
+  any_value(c_custkey % 2)::BIGINT AS import_count, 0::BIGINT AS comment_count, coalesce(max(size), 0)::BIGINT AS max_function_length, 0::BIGINT AS max_class_length
+FROM customer LEFT JOIN sized ON file_id = c_custkey GROUP BY c_custkey
+""")
+def code_outline_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Line, function, class, import and comment counts of every program."""
+    return file_outline_metrics(code_nodes(spark, folder), code_files(spark, folder))

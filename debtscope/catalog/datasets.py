@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from debtscope.catalog.registry import query
@@ -33,7 +34,7 @@ from debtscope.operators.dataset import (
     usable_size,
 )
 from debtscope.operators.rollup import validation_report
-from debtscope.operators.sampling import balanced_sample, not_sampled, shuffle, verification_sample
+from debtscope.operators.sampling import balanced_sample, draw, not_sampled, shuffle, verification_sample
 from debtscope.session import table
 from debtscope.sources.datasets import history_columns
 
@@ -216,8 +217,8 @@ WHERE part_ord <= 25
 def shuffled_head(spark: SparkSession, folder: str) -> DataFrame:
     """First rows of a reproducible shuffle of all parts, with their place."""
     head = shuffle(table(spark, folder, "part").select("p_partkey"), "p_partkey").limit(25)
-    places = head.agg(F.array_agg("p_partkey").alias("keys")).select(F.posexplode("keys").alias("at", "p_partkey"))
-    return places.select((F.col("at") + 1).alias("part_ord"), "p_partkey")
+    place = F.row_number().over(W.orderBy(draw("p_partkey"), "p_partkey"))
+    return head.select(place.alias("part_ord"), "p_partkey")
 
 
 @query(f"""
