@@ -37,9 +37,10 @@ def drop_shared_lines(
     empty text is one empty line. Keys shorter than ``min_chars`` code points
     stay. A text that loses all lines is empty.
     """
-    named = beside(docs, ["n_lines", "n_dropped"], id=F.col(f"`{id_col}`"), lines=F.split(text_of(text_col), "\n"), t=F.xxhash64(text_of(text_col)))
+    text = text_of(text_col)
+    ident = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t")]
 
-    keys = named.select(F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key"))
+    keys = docs.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n"), line_key))).alias("key"))
     shared = (
         keys.where(F.length("key") >= min_chars)
         .groupBy(*_hashed(F.col("key")))
@@ -49,7 +50,7 @@ def drop_shared_lines(
     )
 
     places = (
-        named.select("id", "t", F.posexplode("lines").alias("pos", "line"))
+        docs.select(*ident, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
         .withColumn("key", line_key(F.col("line")))
         .where(F.length("key") >= min_chars)
         .select("id", "t", "pos", *_hashed(F.col("key")), F.pmod(F.col("t") + F.col("pos"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -60,8 +61,10 @@ def drop_shared_lines(
         .agg(F.collect_set("pos").alias("found"))
     )
 
+    named = beside(docs, ["n_lines", "n_dropped"], id=ident[0], t=ident[1])
     joined = named.join(dropped, same(F.col("id"), F.col("did")) & (F.col("t") == F.col("dt")), "left")
-    lined = joined.withColumn("gone", F.coalesce("found", F.array().cast("array<int>")))
+    # Texts move once, as they are; lines are cut again behind the join.
+    lined = joined.withColumn("lines", F.split(text_of(F.col(f"row.`{text_col}`")), "\n")).withColumn("gone", F.coalesce("found", F.array().cast("array<int>")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda p: F.col("lines")[p])
     rest = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return lined.select(*rest, F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))
