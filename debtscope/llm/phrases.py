@@ -328,7 +328,8 @@ def count_phrases(
         known = spark.sparkContext.broadcast(Slots(reached))
         rows = _step(held.where(F.col("shard") == (step - 1) % shards).select("known", "hashes"), known, step, shards, min_count)
         sums = stored(_summed(rows if sums is None else rows.unionByName(sums.select("size", "chunk", "counts")), min_count, slots), "phrase-slots")
-        for size, chunk, bits in sums.where("bits is not null").select("size", "chunk", "bits").toLocalIterator():
+        # One job; as many bits at most as there are slots.
+        for size, chunk, bits in sums.where("bits is not null").select("size", "chunk", "bits").collect():
             part = _cut(reached[size - 1])[chunk]
             part[np.unpackbits(np.frombuffer(bits, np.uint8))[: len(part)] > 0] = step
             if size < max_words:
