@@ -23,7 +23,7 @@ from debtscope.llm.shared import in_arrow, stored, text_of
 #: Code points that a chunk has of its own, and that it shares with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Ids sent together, runs of text that a worker remembers before it forgets all, and the longest of them.
-_IDS, _MEMORY, _LONG = 1 << 20, 500_000, 64
+_IDS, _MEMORY, _LONG = 1 << 20, 300_000, 64
 #: Code points behind the start of a pre-token that may decide where it ends, and what always ends one:
 #: a letter or digit before anything else, and whatever stands before white space.
 _AHEAD = 3
