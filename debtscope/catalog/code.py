@@ -56,6 +56,11 @@ module AS (SELECT doc_id AS file_id, doc_id % 2 = 0 AS module_doc, 0 AS comment_
 
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts below, landed once: the outline reads them by language, other queries by line."""
+    return landed(spark, folder, "code-files", lambda: code_texts(spark, folder))
+
+
+def code_texts(spark: SparkSession, folder: str) -> DataFrame:
     """One Python text per customer: a function per order, a statement per line item."""
     kind, number = F.col("l_returnflag"), F.col("l_linenumber").cast("string")
     caught = F.when(F.col("l_linestatus") == "F", "    except:").otherwise("    except ValueError:")

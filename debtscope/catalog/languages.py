@@ -41,6 +41,11 @@ fn AS (SELECT f.file_id, f.language, o_orderkey AS function_id, o_orderstatus =
 
 
 def language_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts below, landed once: every branch of the outline reads those of its languages."""
+    return landed(spark, folder, "language-files", lambda: language_texts(spark, folder))
+
+
+def language_texts(spark: SparkSession, folder: str) -> DataFrame:
     """One text per customer in the language that the customer's number chooses."""
     language = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.pmod(F.col("c_custkey"), F.lit(7)).cast("int") + 1)
     written = spark.createDataFrame(

@@ -45,7 +45,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True where nothing but blanks is there."""
-    return F.length(strip(text)) == 0
+    return F.ltrim(text, F.lit(BLANKS)) == ""
 
 
 def byte_span(text: Column, start: Column, end: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Comments, strings and preprocessor lines are blanked inside the row; what is
 left is cut into heads of constructs, braces and plain text, and only these
-pieces are shuffled. Bodies run from an opening mark to the next closing one of
+pieces are sorted. Bodies run from an opening mark to the next closing one of
 the same depth. Node types are those of public grammars, so some languages
 have functions that the analyzers do not count as such, as there.
 
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from debtscope.functions.rows import let
 from debtscope.functions.text import is_blank
 
 # What blanked text has in place of a line comment, a block comment, a doc comment, a
@@ -297,7 +298,9 @@ def _blanked(content: Column, language: Column) -> Column:
             .otherwise(t)
         )
 
-    tokens = F.regexp_extract_all(F.translate(content, "\r" + _NOTE + _BLOCK + _DOC + _LINE + _END, ""), _of(language, lambda g: g.tokens), F.lit(0))
+    plain = F.translate(content, "\r" + _NOTE + _BLOCK + _DOC + _LINE + _END, "")
+    # A pattern that is no literal is compiled anew for every other row.
+    tokens = _of(language, lambda g: g.tokens, lambda p: F.regexp_extract_all(plain, F.lit(p), F.lit(0)))
     joined = F.array_join(F.transform(tokens, short), "")
     return F.when(language == "go", F.regexp_replace(joined, r"\b(interface|struct)\{\}", "$1  ")).otherwise(joined)
 
@@ -310,11 +313,11 @@ def _first_kind(token: Column, kinds: tuple[tuple[str, str], ...]) -> Column:
 def _plain_kind(language: Column, token: Column) -> Column:
     """Kind of a piece by itself: what its head says, its first word, or what it holds."""
     modifier = (language == "ruby") & token.isin("if", "unless", "while", "until")
-    key = F.concat_ws(" ", language, F.when(modifier, F.concat(token, F.lit("_modifier"))).otherwise(F.regexp_extract(token, r"^(=>|\x05?[a-z]+)\b(?!:)|^(=>)", 0)))
-    words = F.create_map(*[F.lit(x) for name, g in GRAMMARS.items() for word, kind in g.first_words.items() for x in (f"{name} {word}", kind)])
+    key = F.when(modifier, F.concat(token, F.lit("_modifier"))).otherwise(F.regexp_extract(token, r"^(=>|\x05?[a-z]+)\b(?!:)|^(=>)", 0))
+    words = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     return F.coalesce(
         _of(language, lambda g: g.heads_as, lambda kinds: _first_kind(token, kinds)),
-        F.try_element_at(words, key),
+        _of(language, lambda g: tuple(g.first_words.items()), lambda pairs: F.try_element_at(words(pairs), key)),
         _of(language, lambda g: g.holding, lambda kinds: _first_kind(token, kinds)),
     )
 
@@ -335,6 +338,44 @@ def _called(token: Column, defines: Column) -> Column:
     return F.transform(own, lambda n: F.concat(n, F.lit("(")))
 
 
+def _described(x: Column) -> Column:
+    """Kind, name and items of a piece, as one expression on a lambda's row.
+
+    So many patterns side by side in a projection make a generated method that
+    is too long to be compiled and is interpreted for every piece.
+    """
+    language, token, opens, note = x["language"], x["token"], x["opens"], x["note"]
+    method = _of(language, lambda g: g.method or g.function, lambda kinds: _first_kind(token, kinds))
+    function = _of(language, lambda g: g.function, lambda kinds: _first_kind(token, kinds))
+    defined = F.when(opens & x["inside"], method).when(opens & (x["depth"] == 0), function)
+    names = [F.nullif(_of(language, lambda g, i=i: g.names[i] if i < len(g.names) else "(?!)()", lambda p: F.regexp_extract(token, p, 1)), F.lit("")) for i in (0, 1)]
+    # Roles: 0 leads a piece, 1 is its name, 2 a leaf in it.
+    single = lambda kind, text, role: F.array(F.struct(kind.alias("type"), text.alias("text"), F.lit(role).alias("role")))
+    none = F.array().cast("array<struct<type:string,text:string,role:int>>")
+    mark = F.when(language == "ruby", "#").when(token.startswith(_NOTE), "//").when(token.startswith(_DOC), "/**").otherwise("/*")
+    comment = F.when(token.startswith(_NOTE), _of(language, lambda g: g.line_comment)).otherwise(_of(language, lambda g: g.block_comment))
+    text = F.when(note | token.startswith(_LINE), F.lit("")).otherwise(token)
+
+    def items(kind: Column, name: Column) -> Column:
+        # A search for one character is cheaper than a pattern that finds nothing; concat is slow on a lambda's row.
+        leaves = F.array(
+            F.when(note, single(comment, mark, 0)).when(kind.isNotNull(), single(kind, token, 0)).when(x["closes"], single(F.lit("}"), token, 0)).otherwise(none),
+            F.when(name.isNotNull(), single(_of(language, lambda g: g.name), name, 1)).otherwise(none),
+            F.when(text.rlike(r"[=!<>&|*/%^+\-]"), _leaves(_of(language, lambda g: g.binary), _all(text, _OPERATORS))).otherwise(none),
+            F.when(text.contains("?") & (_of(language, lambda g: g.ternary) != ""), _leaves(_of(language, lambda g: g.ternary), _all(text, _TERNARY))).otherwise(none),
+            F.when(text.contains("("), _leaves(_of(language, lambda g: g.call), _called(text, F.coalesce(kind.rlike("function|method|constructor|record|singleton"), F.lit(False))))).otherwise(none),
+        )
+        return F.flatten(leaves)
+
+    return let(
+        F.when(~note, F.coalesce(_plain_kind(language, token), defined)),
+        lambda kind: let(
+            F.when(kind.rlike(_NAMED) & (opens | (language == "ruby")), F.coalesce(*names)),
+            lambda name: F.struct(kind.alias("kind"), name.alias("name"), items(kind, name).alias("items")),
+        ),
+    )
+
+
 def outline_languages(files: DataFrame) -> DataFrame:
     """Nodes of the files in the languages of ``GRAMMARS`` (``file_id``, ``language``, ``content``).
 
@@ -347,7 +388,7 @@ def outline_languages(files: DataFrame) -> DataFrame:
     blanked = files.where(language.isin(*GRAMMARS) & ~is_blank(F.col("content"))).select(
         "file_id", "language", _blanked(F.col("content"), language).alias("_text")
     )
-    parts = F.regexp_extract_all("_text", _of(language, lambda g: g.parts()), F.lit(0))
+    parts = _of(language, lambda g: g.parts(), lambda p: F.regexp_extract_all("_text", F.lit(p), F.lit(0)))
     token, raw = F.col("token"), F.col("raw")
     pieces = blanked.select("file_id", "language", F.posexplode(parts).alias("at", "raw")).withColumn("token", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")))
     bare = ~token.rlike(r"^[\x02-\x05]")
@@ -358,7 +399,10 @@ def outline_languages(files: DataFrame) -> DataFrame:
     placed = (
         pieces.withColumn("opens", opens)
         .withColumn("closes", closes)
-        .withColumn("line", 1 + F.sum(breaks).over(so_far) - breaks + lead)
+        .withColumn("breaks", breaks)
+        .withColumn("lead", F.col("breaks") - lead)
+        .drop("raw")
+        .withColumn("line", 1 + F.sum("breaks").over(so_far) - F.col("lead"))
         .withColumn("depth", F.sum(F.when(F.col("opens"), 1).when(F.col("closes"), -1).otherwise(0)).over(so_far) - F.col("opens").cast("int"))
         .where((token != "") & (token != ";"))
     )
@@ -369,67 +413,58 @@ def outline_languages(files: DataFrame) -> DataFrame:
     noted = placed.withColumn("note", note).withColumn("rank", rank)
 
     # A body of members opens one level down; the last one opened at a level holds what stands there.
-    members = F.col("opens") & _of(language, lambda g: g.members, lambda p: token.rlike(p))
+    holds = let(
+        F.struct("language", "token", "opens"),
+        lambda x: x["opens"] & _of(x["language"], lambda g: g.members, lambda p: x["token"].rlike(p)),
+    )
     level = lambda n, own: F.struct((F.col("depth") + n).alias("level"), F.lit(own).alias("own"))
     levels = F.when(F.col("opens"), F.array(level(0, True), level(1, False))).otherwise(F.array(level(0, True)))
     holder = F.last(F.when(~F.col("own"), F.col("members")), ignorenulls=True).over(W.partitionBy("file_id", "level").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-    held = noted.withColumn("members", members).select("*", F.inline(levels)).withColumn("inside", F.coalesce(holder, F.lit(False)) & (F.col("depth") > 0)).where("own")
-    method = _of(language, lambda g: g.method or g.function, lambda kinds: _first_kind(token, kinds))
-    function = _of(language, lambda g: g.function, lambda kinds: _first_kind(token, kinds))
-    defined = F.when(F.col("opens") & F.col("inside"), method).when(F.col("opens") & (F.col("depth") == 0), function)
-    typed = held.withColumn("kind", F.when(~F.col("note"), F.coalesce(_plain_kind(language, token), defined)))
-    name = F.coalesce(*[F.nullif(_of(language, lambda g, i=i: g.names[i] if i < len(g.names) else "(?!)()", lambda p: F.regexp_extract(token, p, 1)), F.lit("")) for i in (0, 1)])
-    named = typed.withColumn("name", F.when(F.col("kind").rlike(_NAMED) & (F.col("opens") | (language == "ruby")), name))
-
-    # Roles: 0 leads a piece, 1 is its name, 2 a leaf in it.
-    single = lambda kind, text, role: F.array(F.struct(kind.alias("type"), text.alias("text"), F.lit(role).alias("role")))
-    none = F.array().cast("array<struct<type:string,text:string,role:int>>")
-    mark = F.when(language == "ruby", "#").when(token.startswith(_NOTE), "//").when(token.startswith(_DOC), "/**").otherwise("/*")
-    comment = F.when(token.startswith(_NOTE), _of(language, lambda g: g.line_comment)).otherwise(_of(language, lambda g: g.block_comment))
-    text = F.when(F.col("note") | token.startswith(_LINE), F.lit("")).otherwise(token)
-    items = F.concat(
-        F.when(F.col("note"), single(comment, mark, 0)).when(F.col("kind").isNotNull(), single(F.col("kind"), token, 0)).when(F.col("closes"), single(F.lit("}"), token, 0)).otherwise(none),
-        F.when(F.col("name").isNotNull(), single(_of(language, lambda g: g.name), F.col("name"), 1)).otherwise(none),
-        _leaves(_of(language, lambda g: g.binary), _all(text, _OPERATORS)),
-        F.when(_of(language, lambda g: g.ternary) != "", _leaves(_of(language, lambda g: g.ternary), _all(text, _TERNARY))).otherwise(none),
-        _leaves(_of(language, lambda g: g.call), _called(text, F.coalesce(F.col("kind").rlike("function|method|constructor|record|singleton"), F.lit(False)))),
+    held = noted.withColumn("members", holds).select("*", F.inline(levels)).withColumn("inside", F.coalesce(holder, F.lit(False)) & (F.col("depth") > 0)).where("own")
+    described = held.withColumn("piece", let(F.struct("language", "token", "depth", "opens", "closes", "note", "inside"), _described))
+    # Items are numbered and bodies closed before the items become rows: sorts see pieces only.
+    listed = described.select(
+        "file_id", "language", "at", "line", "depth", "piece.kind", "piece.name", "opens", "closes", "note", "rank", "piece.items", F.length(_breaks(token)).alias("breaks")
     )
-    numbered = (
-        named.select("file_id", "language", "at", "token", "line", "depth", "kind", "name", "opens", "closes", "note", "rank", F.posexplode(items).alias("sub", "item"))
-        .select("*", "item.*")
-        .withColumn("pos", F.row_number().over(W.partitionBy("file_id").orderBy("at", "sub")).cast("long"))
-        .withColumn("leads", (F.col("role") == 0) & ~F.col("note"))
+    numbered = listed.withColumn("pos", F.sum(F.size("items")).over(so_far) - F.size("items") + 1).withColumn(
+        "leads", ~F.col("note") & F.coalesce(F.get("items", F.lit(0))["role"] == 0, F.lit(False))
     )
 
     goes_on = F.coalesce(F.col("kind").isin("catch_clause", "finally_clause"), F.lit(False))
-    # Read backwards, the last closing mark seen at a depth is the next one.
-    backwards = W.partitionBy("file_id", "depth").orderBy(F.col("at").desc(), F.col("sub").desc()).rowsBetween(W.unboundedPreceding, -1)
-    forwards = W.partitionBy("file_id", "depth").orderBy("at", "sub").rowsBetween(W.unboundedPreceding, 0)
+    # Read backwards, the last closing mark seen at a depth is the next one, and what a try leads has as many others after it.
+    backwards = W.partitionBy("file_id", "depth").orderBy(F.col("at").desc()).rowsBetween(W.unboundedPreceding, -1)
     closing = F.last(F.when(F.col("leads") & F.col("closes"), F.struct("pos", "line")), ignorenulls=True).over(backwards)
     marks = (
         numbered.withColumn("close", closing)
+        .withColumn("chain", F.sum(F.when(F.col("leads") & ~goes_on & ~F.col("closes"), 1).otherwise(0)).over(backwards))
         .withColumn("close", F.when(F.col("leads") & F.col("opens") & F.col("kind").isNotNull(), F.col("close")))
-        .withColumn("chain", F.sum(F.when(F.col("leads") & ~goes_on & ~F.col("closes"), 1).otherwise(0)).over(forwards))
+        .withColumn("chain", F.coalesce("chain", F.lit(0)))
         .withColumn("handled", F.max(F.when(F.col("leads") & goes_on, F.col("close"))).over(W.partitionBy("file_id", "depth", "chain")))
-        .where((F.col("role") > 0) | F.col("kind").isNotNull() | F.col("note"))
     )
     tries = F.col("kind").isin("try_statement", "try_with_resources_statement")
     end = F.when(F.col("leads"), F.when(tries, F.coalesce("handled", "close")).otherwise(F.col("close")))
-    line, zero = F.col("line"), F.lit(0)
-    last = line + F.when(F.col("role") == 0, F.length(_breaks(token))).otherwise(0)
-    named_end = F.col("pos") + F.when(F.col("leads") & F.col("name").isNotNull(), 1).otherwise(0)
-    nodes = marks.withColumn("end", end).select(
+    line, zero, pos = F.col("line"), F.lit(0), F.col("pos") + F.col("sub")
+    rows = (
+        marks.withColumn("end", end)
+        .select("file_id", "language", "line", "kind", "name", "note", "rank", "breaks", "pos", "leads", "end", F.posexplode_outer("items").alias("sub", "item"))
+        .where((F.col("item.role") > 0) | F.col("kind").isNotNull() | F.col("note"))
+    )
+    role = F.col("item.role")
+    last = line + F.when(role == 0, F.col("breaks")).otherwise(0)
+    leading = F.col("leads") & (role == 0)
+    named_end = pos + F.when(leading & F.col("name").isNotNull(), 1).otherwise(0)
+    nodes = rows.select(
         "file_id",
         "language",
-        F.col("pos").alias("node_id"),
-        F.when(F.col("role") == 1, F.col("pos") - 1).otherwise(zero).cast("long").alias("parent_id"),
-        F.when(F.col("role") == 0, F.col("rank")).when(F.col("role") == 1, zero).otherwise(F.lit(_LATER)).alias("sibling_ord"),
-        F.col("pos").alias("pre"),
-        F.coalesce("end.pos", named_end).alias("post"),
-        "type",
+        pos.cast("long").alias("node_id"),
+        F.when(role == 1, pos - 1).otherwise(zero).cast("long").alias("parent_id"),
+        F.when(role == 0, F.col("rank")).when(role == 1, zero).otherwise(F.lit(_LATER)).alias("sibling_ord"),
+        pos.cast("long").alias("pre"),
+        F.coalesce(F.when(leading, F.col("end.pos")), named_end).cast("long").alias("post"),
+        "item.type",
         line.cast("long").alias("start_line"),
-        F.coalesce("end.line", last).cast("long").alias("end_line"),
-        "text",
+        F.coalesce(F.when(leading, F.col("end.line")), last).cast("long").alias("end_line"),
+        "item.text",
     )
     known = files.where(language.isin(*GRAMMARS) & ~is_blank(F.col("content")))
     root = known.select(

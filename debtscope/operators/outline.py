@@ -1,9 +1,9 @@
 """Outline of raw text: node-like rows without a grammar parser.
 
 Strings and comments are blanked first, line by line structure is read from
-indentation (Python) or braces (scripts). Source text never leaves its row:
-Python extents are found inside the row, scripts shuffle brace and keyword
-tokens only. Lines that brackets, backslashes or strings continue are one
+indentation (Python) or braces (scripts). Files are dealt over all shuffle
+partitions first; then Python extents are found inside the row, and tokens of
+scripts stay where their file is. Lines that brackets, backslashes or strings continue are one
 statement on its first line, and what stands before a slash tells a regular
 expression from a division. It is an approximation: scripts need braces for a
 body to have an extent, brackets nest at most 16 deep within one statement, and
@@ -167,7 +167,8 @@ def join_lines(blanked: Column) -> Column:
     def join(t: Column) -> Column:
         more = F.length(_breaks(t)) - t.endswith("\n").cast("int")
         flat = F.concat(F.translate(F.rtrim(t, F.lit("\n")), "\\\n", "  "), F.repeat(F.lit("\n" + _CONTINUED), more), F.when(t.endswith("\n"), "\n").otherwise(""))
-        return F.when(more > 0, flat).otherwise(t)
+        # Most statements are one line: their only line end, if any, is the last character.
+        return F.when(F.instr(t, "\n").between(1, F.length(t) - 1), flat).otherwise(t)
 
     return F.array_join(F.transform(F.regexp_extract_all(blanked, F.lit(_STATEMENT), F.lit(0)), join), "")
 
@@ -194,18 +195,21 @@ def _classified(lines: Column) -> Column:
 
     def classify(x: Column, i: Column) -> Column:
         body = x["body"]
-        word = F.regexp_extract(body, r"^(?:async\s+)?(def|class|if|elif|else|for|while|try|except|finally|with|assert|import|from)\b", 1)
+        first = F.regexp_extract(body, r"^(?:async\s+)?(def|class|if|elif|else|for|while|try|except|finally|with|assert|import|from)\b", 1)
         opened = _hits(body, r"[(\[{]") > _hits(body, r"[)\]}]")
-        opens = word.isin(*_PYTHON_BODIES) & (body.contains(":") | opened | body.endswith("\\"))
-        clause = word.isin("elif", "else", "except", "finally")
-        return F.struct(
-            x["no"].alias("no"),
-            x["indent"].alias("indent"),
-            body.alias("body"),
-            word.alias("word"),
-            opens.alias("opens"),
-            (x["indent"] * 2 + F.when(clause, 1).otherwise(0)).alias("rank"),
-            F.coalesce(F.get(lines, i - 1)["no"], F.lit(0)).alias("before"),
+        # The costly comparison of brackets comes last and only for lines that may open a body.
+        ends = F.when(body.contains(":") | body.endswith("\\"), True).otherwise(opened)
+        return let(
+            first,
+            lambda word: F.struct(
+                x["no"].alias("no"),
+                x["indent"].alias("indent"),
+                body.alias("body"),
+                word.alias("word"),
+                F.when(word.isin(*_PYTHON_BODIES), ends).otherwise(False).alias("opens"),
+                (x["indent"] * 2 + F.when(word.isin("elif", "else", "except", "finally"), 1).otherwise(0)).alias("rank"),
+                F.coalesce(F.get(lines, i - 1)["no"], F.lit(0)).alias("before"),
+            ),
         )
 
     return F.transform(lines, classify)
@@ -267,14 +271,17 @@ def _python_nodes(lines: Column) -> Column:
         body, at = x["body"], x["no"] * LINE
         kind = reduce(lambda c, kv: c.when(x["word"] == kv[0], kv[1]), _PYTHON_LINES.items(), F.when(F.lit(False), ""))
         single = F.array(_node(at, top, F.lit(_LATER), at, kind, x["no"], x["no"], body))
+        nothing = F.array().cast(f"array<{_NODE}>")
+        # Most lines lack what a kind of leaf needs, and a search for text costs less than a pattern.
         return F.concat(
-            F.when(kind.isNotNull(), single).otherwise(F.array().cast(f"array<{_NODE}>")),
-            _inner(x["no"], 0, _repeat(_hits(body, r"\b(?:and|or)\b")), "boolean_operator"),
-            _inner(x["no"], 1, _repeat(_hits(body, r"\belse\b(?!\s*:)")), "conditional_expression"),
-            _inner(x["no"], 2, _calls(body), "call"),
-            _inner(x["no"], 3, F.regexp_extract_all(body, F.lit("#"), 0), "comment"),
+            F.when(x["word"].isin(*_PYTHON_LINES), single).otherwise(nothing),
+            F.when(body.contains("and") | body.contains("or"), _inner(x["no"], 0, _repeat(_hits(body, r"\b(?:and|or)\b")), "boolean_operator")).otherwise(nothing),
+            F.when(body.contains("else"), _inner(x["no"], 1, _repeat(_hits(body, r"\belse\b(?!\s*:)")), "conditional_expression")).otherwise(nothing),
+            F.when(body.contains("("), _inner(x["no"], 2, _calls(body), "call")).otherwise(nothing),
+            F.when(body.contains("#"), _inner(x["no"], 3, F.regexp_extract_all(body, F.lit("#"), 0), "comment")).otherwise(nothing),
         )
 
+    leaves = lambda x: x["word"].isin(*_PYTHON_LINES) | x["body"].rlike(r"[(#]|\b(?:and|or|else)\b")
     module = F.array(_node(top, F.lit(None), top, (last + 1) * LINE, F.lit("module"), top, last, none))
     return F.concat(
         module,
@@ -282,17 +289,16 @@ def _python_nodes(lines: Column) -> Column:
             F.filter(lines, starts),
             lambda s: F.concat(F.flatten(F.transform(bodies(s), body_nodes)), docstrings(s)),
         ),
-        F.flatten(F.transform(lines, line_nodes)),
+        F.flatten(F.transform(F.filter(lines, leaves), line_nodes)),
     )
 
 
 def outline_python(files: DataFrame) -> DataFrame:
     """Nodes of Python files, found inside each row."""
     lines = files.withColumn("_lines", _python_lines(join_lines(blank_python(F.translate("content", _CONTINUED, "")))))
-    nodes = lines.select(
-        "file_id", "language", let(F.col("_lines"), lambda ls: let(_classified(ls), _python_nodes)).alias("_nodes")
-    )
-    return nodes.select("file_id", "language", F.inline("_nodes"))
+    # As a column of its own the array would be made twice: Spark first drops rows where it is empty.
+    nodes = let(F.col("_lines"), lambda ls: let(_classified(ls), _python_nodes))
+    return lines.select("file_id", "language", F.inline(nodes))
 
 
 # Script constructs by the text that starts them. A head ends at the first brace outside of
@@ -337,7 +343,7 @@ def outline_script(files: DataFrame) -> DataFrame:
     One stream of tokens holds structure, operators, calls and comments in the
     order of the text, numbered without gaps in each file. A body ends at the
     next closing brace of the same depth; a ``try`` runs on to the end of its
-    handlers. Only tokens are shuffled.
+    handlers. What is sorted are tokens.
     """
     blanked = files.withColumn("_text", blank_script(F.col("content")))
     pieces = blanked.select(
@@ -423,9 +429,21 @@ def _block_comments(blanked: DataFrame) -> DataFrame:
     return ordered.select("file_id", "language", F.inline(both))
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files spread over all shuffle partitions.
+
+    Reading a text costs far more than its bytes tell, so neither the splits of
+    a scan nor partitions merged by their size make tasks of fair length. The
+    number is given, so that partitions stay apart, and all pieces of a file are
+    where the windows over files need them.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(parts, "file_id")
+
+
 def outline(files: DataFrame) -> DataFrame:
     """Nodes of all non-blank files in a known language (``file_id``, ``language``, ``content``)."""
-    readable = files.where(~is_blank(F.col("content"))).select("file_id", "language", "content")
+    readable = _dealt(files.where(~is_blank(F.col("content"))).select("file_id", "language", "content"))
     python = outline_python(readable.where("language = 'python'"))
     script = outline_script(readable.where(F.col("language").isin(*SCRIPT_LANGUAGES)))
     return python.unionByName(script).unionByName(outline_languages(readable))
