@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from debtscope.functions.rows import round_to
 from debtscope.functions.scores import complexity_score
 from debtscope.operators.nodes import FUNCTION_TYPES, SCRIPT_LANGUAGES, functions_of
-from debtscope.operators.running import running
 
 # Nodes that add a decision.
 PYTHON_DECISIONS = (
@@ -72,61 +71,94 @@ def is_nesting() -> Column:
     return _typed(PYTHON_NESTING, SCRIPT_NESTING)
 
 
+# Bits of an event.
+_DECISION, _NESTING, _OPERATOR, _FUNCTION, _LEAVING = 1, 2, 4, 8, 16
+
+
+def _bit(value: int) -> Column:
+    return F.col("flags").bitwiseAND(value) != 0
+
+
+def _entered(bit: int) -> Column:
+    """1 where a node with that bit is entered."""
+    return (F.col("flags").bitwiseAND(bit | _LEAVING) == bit).cast("int")
+
+
+def _step() -> Column:
+    """How an event changes the number of open nesting nodes."""
+    return F.when(~_bit(_NESTING), 0).when(_bit(_LEAVING), -1).otherwise(1)
+
+
+def _order() -> list[Column]:
+    """A node is entered before one inside it and left after it."""
+    return [F.col("at"), F.col("flags").bitwiseAND(_LEAVING), F.col("pre"), F.col("node_id")]
+
+
 def _events(nodes: DataFrame, block: int) -> DataFrame:
-    """Enter and leave events of the nodes that matter for complexity, with running figures.
+    """Enter and leave events of the nodes that matter for complexity, with running figures of their block.
 
-    ``level`` is the number of open nesting nodes, an entered one included;
-    ``decisions`` and ``operators`` count the nodes entered so far, ``depths``
-    sums the levels of these decisions. All four run in one pass over blocks.
+    ``_level`` is the number of nesting nodes opened less those closed, an
+    entered one included; ``_decisions`` and ``_operators`` count the nodes
+    entered so far, ``_depths`` sums the levels of these decisions. What an
+    event is goes into one number, so all branches that read the events need
+    the same columns and share one shuffle.
     """
-    flagged = nodes.select(
-        "file_id",
-        "node_id",
-        "pre",
-        "post",
-        is_decision().alias("decision"),
-        is_nesting().alias("nesting"),
-        F.col("type").isin(*OPERATOR_NODES).alias("operator"),
-        F.col("type").isin(*FUNCTION_TYPES).alias("function"),
-    ).where("decision or nesting or operator or function")
-    enter = F.struct(F.col("pre").alias("at"), F.lit(0).alias("leaving"))
-    leave = F.struct(F.col("post").alias("at"), F.lit(1).alias("leaving"))
-    two = F.col("nesting") | F.col("function")
-    events = flagged.withColumn("event", F.explode(F.when(two, F.array(enter, leave)).otherwise(F.array(enter)))).select(
-        "file_id", "node_id", "decision", "nesting", "operator", "function", "pre", "post", "event.at", "event.leaving"
+    flag = lambda value, bit: F.when(value, bit).otherwise(0)
+    flags = (
+        flag(is_decision(), _DECISION) + flag(is_nesting(), _NESTING) + flag(F.col("type").isin(*OPERATOR_NODES), _OPERATOR) + flag(F.col("type").isin(*FUNCTION_TYPES), _FUNCTION)
     )
-    entered = F.col("leaving") == 0
-    steps = events.select(
-        "*",
-        F.floor(F.col("at") / block).alias("_block"),
-        F.when(~F.col("nesting"), 0).when(entered, 1).otherwise(-1).alias("_step"),
-        (F.col("decision") & entered).cast("long").alias("_decides"),
-        (F.col("operator") & entered).cast("long").alias("_operates"),
+    flagged = nodes.select("file_id", "node_id", "pre", "post", flags.alias("flags")).where("flags > 0")
+    enter = F.struct(F.col("pre").alias("at"), F.lit(0).alias("leaving"))
+    leave = F.struct(F.col("post").alias("at"), F.lit(_LEAVING).alias("leaving"))
+    events = flagged.withColumn("event", F.explode(F.when(_bit(_NESTING | _FUNCTION), F.array(enter, leave)).otherwise(F.array(enter))))
+    dealt = events.select(
+        "file_id", "node_id", "pre", "post", "event.at", (F.col("flags") + F.col("event.leaving")).alias("flags"), F.floor(F.col("event.at") / block).alias("_block")
+    ).where("file_id is not null and _block is not null")
+    inside = W.partitionBy("file_id", "_block").orderBy(*_order()).rowsBetween(W.unboundedPreceding, 0)
+    rows = dealt.withColumn("_level", F.sum(_step()).over(inside))
+    return rows.withColumns(
+        {
+            "_decisions": F.sum(_entered(_DECISION)).over(inside),
+            "_operators": F.sum(_entered(_OPERATOR)).over(inside),
+            "_depths": F.sum(_entered(_DECISION) * F.col("_level")).over(inside),
+        }
     )
-    # Inside a block levels count from its start; a decision is deeper by the level that the block starts at.
-    inside = W.partitionBy("file_id", "_block").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, 0)
-    sums = {"_level": "_step", "_decisions": "_decides", "_operators": "_operates"}
-    rows = steps.select("*", *[F.sum(value).over(inside).alias(name) for name, value in sums.items()])
-    deep = F.col("_decides") * F.col("_level")
-    totals = rows.groupBy("file_id", "_block").agg(
-        F.sum("_step").alias("_dl"), F.sum("_decides").alias("_dd"), F.sum("_operates").alias("_do"), F.sum(deep).alias("_dp")
+
+
+def _bases(events: DataFrame) -> DataFrame:
+    """What the blocks of a file before each block add up to; ``_first`` and ``_alone`` tell of a file's first and only block."""
+    deep = F.sum(_entered(_DECISION) * F.col("_level")).alias("_depths")
+    totals = events.withColumn("_step", _step()).groupBy("file_id", "_block").agg(
+        F.sum("_step").alias("_level"), F.sum(_entered(_DECISION)).alias("_decisions"), F.sum(_entered(_OPERATOR)).alias("_operators"), deep
     )
-    earlier = W.partitionBy("file_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = W.partitionBy("file_id").orderBy("_block")
+    earlier = blocks.rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    bases = totals.select("*", *[F.coalesce(F.sum(c).over(earlier), zero).alias(f"{c}0") for c in ("_dl", "_dd", "_do")])
-    below = F.coalesce(F.sum(F.col("_dp") + F.col("_dl0") * F.col("_dd")).over(earlier), zero)
-    bases = bases.select("file_id", "_block", "_dl0", "_dd0", "_do0", below.alias("_dp0"))
-    return rows.withColumn("_depths", F.sum(deep).over(inside)).join(bases, ["file_id", "_block"]).select(
-        *events.columns,
-        (F.col("_level") + F.col("_dl0")).alias("level"),
-        (F.col("_decisions") + F.col("_dd0")).alias("decisions"),
-        (F.col("_operators") + F.col("_do0")).alias("operators"),
-        (F.col("_depths") + F.col("_dl0") * F.col("_decisions") + F.col("_dp0")).alias("depths"),
+    sums = totals.select("*", *[F.coalesce(F.sum(c).over(earlier), zero).alias(f"{c}0") for c in ("_level", "_decisions", "_operators")])
+    below = F.coalesce(F.sum(F.col("_depths") + F.col("_level0") * F.col("_decisions")).over(earlier), zero)
+    return sums.select(
+        "file_id",
+        "_block",
+        "_level0",
+        "_decisions0",
+        "_operators0",
+        below.alias("_depths0"),
+        (F.row_number().over(blocks) == 1).alias("_first"),
+        (F.count("*").over(W.partitionBy("file_id")) == 1).alias("_alone"),
     )
 
 
-# A node is entered before one inside it and left after it.
-_ORDER = ["at", "leaving", "pre", "node_id"]
+def _over_blocks(events: DataFrame, bases: DataFrame) -> DataFrame:
+    """Events with figures counted from the start of their file; only later blocks have something to add."""
+    later = bases.where("not _first").drop("_first", "_alone")
+    base = lambda c: F.coalesce(F.col(f"{c}0"), F.lit(0))
+    return events.join(later, ["file_id", "_block"], "left").select(
+        *events.columns,
+        (F.col("_level") + base("_level")).alias("level"),
+        (F.col("_decisions") + base("_decisions")).alias("decisions"),
+        (F.col("_operators") + base("_operators")).alias("operators"),
+        (F.col("_depths") + base("_level") * F.col("_decisions") + base("_depths")).alias("depths"),
+    )
 
 
 def with_nesting_level(nodes: DataFrame, block: int = 4096) -> DataFrame:
@@ -135,7 +167,41 @@ def with_nesting_level(nodes: DataFrame, block: int = 4096) -> DataFrame:
     Entering a nesting node counts +1 and leaving it -1; the level is a running
     sum over these events in document order. No tree is walked.
     """
-    return _events(nodes, block).where("leaving = 0").drop("at", "leaving", "decisions", "operators", "depths")
+    events = _events(nodes, block)
+    leveled = _over_blocks(events, _bases(events)).where(~_bit(_LEAVING))
+    return leveled.select(
+        "file_id", "node_id", _bit(_DECISION).alias("decision"), _bit(_NESTING).alias("nesting"), _bit(_OPERATOR).alias("operator"), _bit(_FUNCTION).alias("function"), "pre", "post", "level"
+    )
+
+
+def _flat_decisions(events: DataFrame, bases: DataFrame) -> DataFrame:
+    """Decisions that open no level, counted by the nesting node that was opened last at their level: ``file_id, function_id, flat``.
+
+    Most stand in the block of that node. For the others, the last node that
+    each block opens at each level is looked up over the file's blocks.
+    """
+    along = W.partitionBy("file_id", "_block", "_level").orderBy(*_order()).rowsBetween(W.unboundedPreceding, 0)
+    opener = F.last(F.when(_bit(_NESTING), F.col("node_id")), ignorenulls=True).over(along)
+    flat = _bit(_DECISION) & ~_bit(_NESTING)
+    found = (
+        events.where(~_bit(_LEAVING) & _bit(_NESTING | _DECISION))
+        .withColumn("opener", opener)
+        .withColumn("place", F.when(_bit(_NESTING), F.struct("at", "pre", "node_id")))
+        .groupBy("file_id", "_block", "_level", "opener")
+        .agg(F.count_if(flat).alias("flat"), F.max("place").alias("place"))
+    )
+    here = found.where("opener is not null and flat > 0").select("file_id", F.col("opener").alias("function_id"), "flat")
+    seen = W.partitionBy("file_id", "level").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = (
+        found.groupBy("file_id", "_block", "_level")
+        .agg(F.max("place").alias("place"), F.sum(F.when(F.col("opener").isNull(), F.col("flat"))).alias("flat"))
+        .join(bases.where("not _alone").select("file_id", "_block", "_level0"), ["file_id", "_block"])
+        .withColumn("level", F.col("_level") + F.col("_level0"))
+        .withColumn("function_id", F.last("place.node_id", ignorenulls=True).over(seen))
+        .where("flat > 0 and function_id is not null")
+        .select("file_id", "function_id", "flat")
+    )
+    return here.unionByName(earlier)
 
 
 def function_complexity(nodes: DataFrame, block: int = 4096) -> DataFrame:
@@ -147,38 +213,27 @@ def function_complexity(nodes: DataFrame, block: int = 4096) -> DataFrame:
     the function would add one too little, so these are counted by the nesting
     node that was opened last at their level.
     """
-    summed = _events(nodes, block)
-
-    opened = F.when(F.col("nesting"), F.struct("at", "leaving", "pre", "node_id"))
-    flat = (
-        running(
-            summed.where("leaving = 0").where("nesting or decision"),
-            ["file_id", "level"],
-            F.floor(F.col("at") / block),
-            _ORDER,
-            maxima={"opener": opened},
-        )
-        .where(F.col("decision") & ~F.col("nesting") & F.col("opener").isNotNull())
-        .groupBy("file_id", F.col("opener.node_id").alias("function_id"))
-        .agg(F.count("*").alias("flat"))
-    )
+    events = _events(nodes, block)
+    bases = _bases(events)
+    summed = _over_blocks(events, bases).where(_bit(_FUNCTION))
 
     def gained(name: str) -> Column:
         at = lambda leaving: F.max(F.when(F.col("leaving") == leaving, F.col(name)))
-        return at(1) - at(0)
+        return at(True) - at(False)
 
+    ends = summed.select("file_id", F.col("node_id").alias("function_id"), _bit(_LEAVING).alias("leaving"), "decisions", "operators", "depths", "level")
     functions = (
-        summed.where("function")
-        .groupBy("file_id", F.col("node_id").alias("function_id"))
+        ends.unionByName(_flat_decisions(events, bases), allowMissingColumns=True)
+        .groupBy("file_id", "function_id")
         .agg(
             gained("decisions").alias("n"),
             gained("operators").alias("half"),
             gained("depths").alias("depths"),
-            F.max(F.when(F.col("leaving") == 0, F.col("level"))).alias("level"),
+            F.max(F.when(~F.col("leaving"), F.col("level"))).alias("level"),
+            F.sum("flat").alias("flat"),
         )
     )
-    joined = functions.join(flat, ["file_id", "function_id"], "left")
-    return joined.select(
+    return functions.where("level is not null").select(
         "file_id",
         "function_id",
         (1 + F.col("n") + 0.5 * F.col("half")).cast("double").alias("cyclomatic"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from debtscope.functions.labels import severity
@@ -78,11 +79,13 @@ def syntax_nodes(spark: SparkSession, folder: str) -> DataFrame:
 def placed_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with the number of their lines and their first position in the customer's file."""
     sizes = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("m"))
-    sized = table(spark, folder, "orders").join(sizes, "o_orderkey", "left").na.fill(0, ["m"])
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    sized = orders.join(sizes, "o_orderkey", "left").na.fill(0, ["m"])
+    # A block holds a million keys, so a customer's few orders stand in one or two.
     return running(
         sized,
         ["o_custkey"],
-        F.floor(F.col("o_orderkey") / 4096),
+        F.floor(F.col("o_orderkey") / (1 << 20)),
         ["o_orderkey"],
         sums={"up_to": F.col("m") + 5, "ordinal": F.lit(1)},
     ).withColumn("base", F.col("up_to") - F.col("m") - 1)
@@ -127,14 +130,20 @@ def order_nodes(spark: SparkSession, folder: str) -> DataFrame:
     )
     head_nodes = placed.select(F.col("o_custkey").alias("file_id"), F.explode(heads).alias("n")).select("file_id", "n.*")
 
-    ranked = running(
-        lines,
-        ["l_orderkey"],
-        F.struct("l_linenumber", F.floor(F.col("l_partkey") / 64).alias("p")),
-        ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"],
-        sums={"r": F.lit(1)},
+    # Lines are counted in blocks of line numbers, and each block learns its order's place: lines are shuffled once.
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    numbered = lines.select("l_orderkey", *order, "l_discount", "l_tax", "l_returnflag", "l_linestatus").withColumn(
+        "_block", F.coalesce(F.floor(F.col("l_linenumber") / 1024), F.lit(-(1 << 62)))
     )
-    body = ranked.join(placed.select("o_orderkey", "o_custkey", "base", "m"), F.col("l_orderkey") == F.col("o_orderkey"))
+    earlier = W.partitionBy("l_orderkey").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = (
+        numbered.groupBy("l_orderkey", "_block")
+        .agg(F.count("*").alias("_lines"))
+        .select("l_orderkey", "_block", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+        .join(placed.select("o_orderkey", "o_custkey", "base", "m"), F.col("l_orderkey") == F.col("o_orderkey"))
+    )
+    in_block = F.row_number().over(W.partitionBy("l_orderkey", "_block").orderBy(*order))
+    body = numbered.withColumn("_nth", in_block).join(blocks, ["l_orderkey", "_block"]).withColumn("r", F.col("_before") + F.col("_nth"))
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     even = F.col("l_linenumber") % 2 == 0
     kind = (
