@@ -28,6 +28,8 @@ from debtscope.functions.text import is_blank
 from debtscope.operators.languages import nested, outline_languages
 from debtscope.operators.nodes import SCRIPT_LANGUAGES
 
+# Bytes of text that one task reads, about; its sorted tokens take some 80 times as much memory.
+TEXT_PER_TASK = 8 << 20
 LINE = 8
 # Place of the leaves of a Python line, after its statement, name, block and docstring.
 _LEAF = 5
@@ -430,15 +432,17 @@ def _block_comments(blanked: DataFrame) -> DataFrame:
 
 
 def _dealt(files: DataFrame) -> DataFrame:
-    """Files spread over all shuffle partitions.
+    """Files spread over all shuffle partitions, or more where these would hold too much text.
 
     Reading a text costs far more than its bytes tell, so neither the splits of
     a scan nor partitions merged by their size make tasks of fair length. The
     number is given, so that partitions stay apart, and all pieces of a file are
-    where the windows over files need them.
+    where the windows over files need them. A first pass adds up the bytes, so
+    that time and memory of a task do not grow with the input.
     """
+    size = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts, "file_id")
+    return files.repartition(max(parts, -(-size // TEXT_PER_TASK)), "file_id")
 
 
 def outline(files: DataFrame) -> DataFrame:

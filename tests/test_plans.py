@@ -97,3 +97,10 @@ def test_lines_are_shuffled_once_and_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     body = nodes.where("type = 'assert_statement'").orderBy("node_id").collect()
     assert [r.node_id for r in body] == list(range(4 + 5, 4 + 5 + len(numbers)))
+
+
+def test_partitions_follow_the_bytes_of_text(spark, monkeypatch):
+    monkeypatch.setattr("debtscope.operators.outline.TEXT_PER_TASK", 100)
+    files = spark.range(64).select(F.col("id").alias("file_id"), F.lit("python").alias("language"), F.lit(TEXTS["python"]).alias("content"))
+    spread = outline(files).where("parent_id is not null").select(F.spark_partition_id().alias("p")).distinct()
+    assert spread.count() > 10
