@@ -92,7 +92,8 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     fingerprint is copied to every anchor within 2 (covering radius plus
     threshold, at most 17 a half) and compared there with those at home, the
     smaller one being the one at home. Pairs are compared in the join and only
-    links leave it.
+    links leave it. Both sides are shuffled: Spark sizes them as if an explode
+    added no rows, and would broadcast 34 copies of every fingerprint.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("halves cover at most three differing bits")
@@ -109,7 +110,7 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         "b", "side", F.col("half").bitwiseXOR(F.col("_flip")).alias("anchor")
     )
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    met = homes.join(copies, (homes["side"] == copies["side"]) & (homes["anchor"] == copies["anchor"]) & near)
+    met = homes.join(copies.hint("merge"), (homes["side"] == copies["side"]) & (homes["anchor"] == copies["anchor"]) & near)
     return met.select("a", "b").distinct()
 
 

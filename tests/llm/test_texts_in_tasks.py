@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from debtscope.llm import rans, suffix_dedup
 from debtscope.llm.components import components
@@ -223,6 +224,12 @@ def test_links_find_every_near_pair(spark, bits):
     assert got == {frozenset((signed(x), signed(y))) for x in prints for y in prints if x < y and (x ^ y).bit_count() <= bits}
 
 
+def test_links_broadcast_no_copies_of_fingerprints(spark):
+    met = links(spark.range(200).select(F.xxhash64("id").alias("fp")))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(9)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(50)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
