@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
+from debtscope.llm import simhash
 from debtscope.llm.shared import stored
 from debtscope.llm.simhash import fingerprint
 from debtscope.session import table
@@ -47,6 +48,19 @@ def test_stages(spark):
     assert [r.start for r in ordered] == [sum(x.n_tokens for x in ordered[:i]) for i in range(len(ordered))]
 
 
+def test_near_dedup_broadcasts_no_copies_of_fingerprints(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name, **options):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name, **options)
+
+    monkeypatch.setattr(simhash, "stored", kept)
+    docs = spark.createDataFrame([(i, f"{i} a b c d {i % 7}") for i in range(60)], "doc_id long, text string")
+    assert corpus_pipeline.near_dedup(spark, docs, FOLDER).count() <= 60
+    assert "SortMergeJoin" in plans["print-links"] and "Broadcast" not in plans["print-links"]
+
+
 def test_stages_of_an_empty_table_and_of_odd_rows(spark):
     docs = table(spark, FOLDER, "documents")
     odd = docs.limit(0).unionByName(spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "x " * 40 + ".", "en", None, 81)], docs.schema))
