@@ -29,6 +29,7 @@ from debtscope.functions.text import is_blank
 # preprocessor line, and at the end of each but the first.
 _NOTE, _BLOCK, _DOC, _LINE, _END = "\x02", "\x03", "\x04", "\x05", "\x06"
 _MARKS = r"\x02|[\x03\x04]\n*+\x06|\x05[a-z]*+\n*+\x06"
+_WHITE = " \t\n\x0b\f\r"
 # Ordinal of nodes whose order among siblings plays no part.
 _LATER = 1 << 30
 
@@ -53,7 +54,8 @@ _DIRECTIVE = r"(?=#)(?<=(?:^|\n)[ \t]{0,80})#(?:[^\n\\]++|\\[\s\S])*+"
 _HERE = r"(?<tag>[A-Za-z_]\w*)\k<quote>[^\n]*+\n(?:[^\n]*+\n)*?[ \t]*+\k<tag>\b"
 _PATTERN = r"(?=/)(?<=(?:^|[=(,:;!&|?{}\[~\n]|\breturn|\bwhen|\bif|\bunless|\band|\bor|\bnot)[ \t]{0,8})/(?![/*= ])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])*+/[a-z]*+"
 
-_OPERATORS = r"(?<!\boperator)(?:===|!==|<=>|==|!=|<=|>=|&&|\|\||(?<![<>])<<(?![<=])|(?<![>])>>(?![>=])|(?<=[\w)\]\"] )[<>*/%&|^+\-](?= )|(?<=[\w)\]\"])[+\-/%](?=[\w(])(?!=))"
+# The character that comes next rules out most places before anything else is looked at.
+_OPERATORS = r"(?=[=!<>&|*/%^+\-])(?<!\boperator)(?:===|!==|<=>|==|!=|<=|>=|&&|\|\||(?<![<>])<<(?![<=])|(?<![>])>>(?![>=])|(?<=[\w)\]\"] )[<>*/%&|^+\-](?= )|(?<=[\w)\]\"])[+\-/%](?=[\w(])(?!=))"
 _TERNARY = r"(?<=\s)\?(?=\s)"
 
 
@@ -107,7 +109,8 @@ class Grammar:
     def parts(self) -> str:
         starts = "|".join([first + rest for first, rest in self.heads] + list(self.words))
         firsts = "|".join([first for first, _ in self.heads] + list(self.words))
-        return rf"(?:{starts})|[{{}};]|{_MARKS}|(?:(?!{firsts})[^{{}};\x02-\x06])++\{{?"
+        # First words start with a small letter or an equals sign, and never inside of a word: the rest of a word is taken at once.
+        return rf"(?:{starts})|[{{}};]|{_MARKS}|(?:(?!(?=[a-z=])(?:{firsts}))(?:\w++|[^{{}};\x02-\x06]))++\{{?"
 
 
 def _head(words: str, rest: str) -> tuple[str, str]:
@@ -273,7 +276,11 @@ def _of(language: Column, value: Callable[[Grammar], object], build: Callable[[o
 
 
 def _breaks(token: Column) -> Column:
-    return F.regexp_replace(token, r"[^\n]", "")
+    return F.repeat(F.lit("\n"), _n_breaks(token))
+
+
+def _n_breaks(token: Column) -> Column:
+    return F.octet_length(token) - F.octet_length(F.replace(token, F.lit("\n"), F.lit("")))
 
 
 def _blanked(content: Column, language: Column) -> Column:
@@ -305,20 +312,23 @@ def _blanked(content: Column, language: Column) -> Column:
     return F.when(language == "go", F.regexp_replace(joined, r"\b(interface|struct)\{\}", "$1  ")).otherwise(joined)
 
 
-def _first_kind(token: Column, kinds: tuple[tuple[str, str], ...]) -> Column:
+def _first_kind(token: Column, kinds: tuple[tuple[str, str], ...], braced: Column | None = None) -> Column:
+    """Type of the first pattern that fits; where ``braced`` is false, those that ask for a brace at the end are not tried."""
     none = F.lit(None).cast("string")
-    return reduce(lambda c, kv: F.when(token.rlike(kv[0]), F.lit(kv[1])).otherwise(c), reversed(kinds), none)
+    fits = lambda p: token.rlike(p) if braced is None or not p.endswith(r"\{$") else braced & token.rlike(p)
+    return reduce(lambda c, kv: F.when(fits(kv[0]), F.lit(kv[1])).otherwise(c), reversed(kinds), none)
 
 
 def _plain_kind(language: Column, token: Column) -> Column:
     """Kind of a piece by itself: what its head says, its first word, or what it holds."""
+    braced = token.contains("{")
     modifier = (language == "ruby") & token.isin("if", "unless", "while", "until")
     key = F.when(modifier, F.concat(token, F.lit("_modifier"))).otherwise(F.regexp_extract(token, r"^(=>|\x05?[a-z]+)\b(?!:)|^(=>)", 0))
     words = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     return F.coalesce(
-        _of(language, lambda g: g.heads_as, lambda kinds: _first_kind(token, kinds)),
+        _of(language, lambda g: g.heads_as, lambda kinds: _first_kind(token, kinds, braced)),
         _of(language, lambda g: tuple(g.first_words.items()), lambda pairs: F.try_element_at(words(pairs), key)),
-        _of(language, lambda g: g.holding, lambda kinds: _first_kind(token, kinds)),
+        _of(language, lambda g: g.holding, lambda kinds: _first_kind(token, kinds, braced)),
     )
 
 
@@ -332,22 +342,27 @@ def _leaves(kind: Column, texts: Column) -> Column:
 
 def _called(token: Column, defines: Column) -> Column:
     """Called names as ``name(``; the name that a definition gives itself is none."""
-    names = F.regexp_extract_all(token, F.lit(r"(?<![\w.$>:])(?<!\bnew )((?:[A-Za-z_$][\w$]*(?:\.|->|::))*[A-Za-z_$][\w$]*[?!]?)\s?\("), F.lit(1))
+    names = F.regexp_extract_all(token, F.lit(r"(?=[A-Za-z_$])(?<![\w.$>:])(?<!\bnew )((?:[A-Za-z_$][\w$]*(?:\.|->|::))*[A-Za-z_$][\w$]*[?!]?)\s?\("), F.lit(1))
     kept = F.filter(names, lambda n: ~n.isin(*_NOT_CALLED))
     own = F.when(defines, F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
     return F.transform(own, lambda n: F.concat(n, F.lit("(")))
 
 
-def _described(x: Column) -> Column:
-    """Kind, name and items of a piece, as one expression on a lambda's row.
+def _apart(value: Column) -> Column:
+    """``value``; a projection that holds a lambda is generated in many small methods, outside of its stage's long one.
 
-    So many patterns side by side in a projection make a generated method that
-    is too long to be compiled and is interpreted for every piece.
+    So many patterns in one method would be too long to be compiled, and in a
+    lambda's body each step would be interpreted for every piece.
     """
-    language, token, opens, note = x["language"], x["token"], x["opens"], x["note"]
+    return let(value, lambda v: v)
+
+
+def _described(pieces: DataFrame) -> DataFrame:
+    """Pieces with their kind, name and items, a projection for each."""
+    language, token, opens, note, kind, name = map(F.col, ("language", "token", "opens", "note", "kind", "name"))
     method = _of(language, lambda g: g.method or g.function, lambda kinds: _first_kind(token, kinds))
     function = _of(language, lambda g: g.function, lambda kinds: _first_kind(token, kinds))
-    defined = F.when(opens & x["inside"], method).when(opens & (x["depth"] == 0), function)
+    defined = F.when(opens & F.col("inside"), method).when(opens & (F.col("depth") == 0), function)
     names = [F.nullif(_of(language, lambda g, i=i: g.names[i] if i < len(g.names) else "(?!)()", lambda p: F.regexp_extract(token, p, 1)), F.lit("")) for i in (0, 1)]
     # Roles: 0 leads a piece, 1 is its name, 2 a leaf in it.
     single = lambda kind, text, role: F.array(F.struct(kind.alias("type"), text.alias("text"), F.lit(role).alias("role")))
@@ -355,27 +370,27 @@ def _described(x: Column) -> Column:
     mark = F.when(language == "ruby", "#").when(token.startswith(_NOTE), "//").when(token.startswith(_DOC), "/**").otherwise("/*")
     comment = F.when(token.startswith(_NOTE), _of(language, lambda g: g.line_comment)).otherwise(_of(language, lambda g: g.block_comment))
     text = F.when(note | token.startswith(_LINE), F.lit("")).otherwise(token)
-
-    def items(kind: Column, name: Column) -> Column:
-        # A search for one character is cheaper than a pattern that finds nothing; concat is slow on a lambda's row.
-        leaves = F.array(
-            F.when(note, single(comment, mark, 0)).when(kind.isNotNull(), single(kind, token, 0)).when(x["closes"], single(F.lit("}"), token, 0)).otherwise(none),
-            F.when(name.isNotNull(), single(_of(language, lambda g: g.name), name, 1)).otherwise(none),
-            F.when(text.rlike(r"[=!<>&|*/%^+\-]"), _leaves(_of(language, lambda g: g.binary), _all(text, _OPERATORS))).otherwise(none),
-            F.when(text.contains("?") & (_of(language, lambda g: g.ternary) != ""), _leaves(_of(language, lambda g: g.ternary), _all(text, _TERNARY))).otherwise(none),
-            F.when(text.contains("("), _leaves(_of(language, lambda g: g.call), _called(text, F.coalesce(kind.rlike("function|method|constructor|record|singleton"), F.lit(False))))).otherwise(none),
-        )
-        return F.flatten(leaves)
-
-    return let(
-        F.when(~note, F.coalesce(_plain_kind(language, token), defined)),
-        lambda kind: let(
-            F.when(kind.rlike(_NAMED) & (opens | (language == "ruby")), F.coalesce(*names)),
-            lambda name: F.struct(kind.alias("kind"), name.alias("name"), items(kind, name).alias("items")),
-        ),
+    # A search for one character is cheaper than a pattern that finds nothing.
+    items = F.concat(
+        F.when(note, single(comment, mark, 0)).when(kind.isNotNull(), single(kind, token, 0)).when(F.col("closes"), single(F.lit("}"), token, 0)).otherwise(none),
+        F.when(name.isNotNull(), single(_of(language, lambda g: g.name), name, 1)).otherwise(none),
+        F.when(text.rlike(r"[=!<>&|*/%^+\-]"), _leaves(_of(language, lambda g: g.binary), _all(text, _OPERATORS))).otherwise(none),
+        F.when(text.contains("?") & (_of(language, lambda g: g.ternary) != ""), _leaves(_of(language, lambda g: g.ternary), _all(text, _TERNARY))).otherwise(none),
+        F.when(text.contains("("), _leaves(_of(language, lambda g: g.call), _called(text, F.coalesce(kind.rlike("function|method|constructor|record|singleton"), F.lit(False))))).otherwise(none),
+    )
+    return (
+        pieces.withColumn("kind", F.when(~_apart(note), F.coalesce(_plain_kind(language, token), defined)))
+        .withColumn("name", F.when(_apart(kind.rlike(_NAMED) & (opens | (language == "ruby"))), F.coalesce(*names)))
+        .withColumn("items", items)
     )
 
 
+def _stripped(raw: Column) -> Column:
+    """Text without white space at its ends; a pattern's end also stands before a separator of lines beyond ASCII."""
+    ascii_only = F.octet_length(raw) == F.length(raw)
+    return F.when(ascii_only, F.btrim(raw, F.lit(_WHITE))).otherwise(F.trim(F.regexp_replace(raw, r"^\s+|\s+$", "")))
+
+
 def outline_languages(files: DataFrame) -> DataFrame:
     """Nodes of the files in the languages of ``GRAMMARS`` (``file_id``, ``language``, ``content``).
 
@@ -390,41 +405,38 @@ def outline_languages(files: DataFrame) -> DataFrame:
     )
     parts = _of(language, lambda g: g.parts(), lambda p: F.regexp_extract_all("_text", F.lit(p), F.lit(0)))
     token, raw = F.col("token"), F.col("raw")
-    pieces = blanked.select("file_id", "language", F.posexplode(parts).alias("at", "raw")).withColumn("token", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")))
-    bare = ~token.rlike(r"^[\x02-\x05]")
-    opens = bare & token.rlike("[{]$") | ((language == "ruby") & bare & token.rlike(_RUBY_OPENS) & ~token.isin("if", "unless", "while", "until"))
+    pieces = blanked.select("file_id", "language", F.posexplode(parts).alias("at", "raw")).withColumn("token", _stripped(raw))
+    bare = ~F.ascii(token).between(2, 5)
+    opens = bare & token.contains("{") & token.rlike("[{]$") | ((language == "ruby") & bare & token.rlike(_RUBY_OPENS) & ~token.isin("if", "unless", "while", "until"))
     closes = F.when(language == "ruby", token.isin("}", "end")).otherwise(token == "}")
     so_far = W.partitionBy("file_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    breaks, lead = F.length(_breaks(raw)), F.length(_breaks(F.regexp_extract("raw", r"^\s*", 0)))
+    breaks, lead = _n_breaks(raw), _n_breaks(F.ltrim(raw, F.lit(_WHITE)))
     placed = (
         pieces.withColumn("opens", opens)
         .withColumn("closes", closes)
         .withColumn("breaks", breaks)
-        .withColumn("lead", F.col("breaks") - lead)
+        .withColumn("lead", lead)
         .drop("raw")
         .withColumn("line", 1 + F.sum("breaks").over(so_far) - F.col("lead"))
         .withColumn("depth", F.sum(F.when(F.col("opens"), 1).when(F.col("closes"), -1).otherwise(0)).over(so_far) - F.col("opens").cast("int"))
         .where((token != "") & (token != ";"))
     )
-    note = token.rlike(r"^[\x02-\x04]")
+    note = F.ascii(token).between(2, 4)
     along = W.partitionBy("file_id").orderBy("at")
     # Pieces stand for siblings; a tag stands before those of PHP.
     rank = F.row_number().over(along) - F.when(language == "php", 0).otherwise(1)
     noted = placed.withColumn("note", note).withColumn("rank", rank)
 
     # A body of members opens one level down; the last one opened at a level holds what stands there.
-    holds = let(
-        F.struct("language", "token", "opens"),
-        lambda x: x["opens"] & _of(x["language"], lambda g: g.members, lambda p: x["token"].rlike(p)),
-    )
+    members = let(F.struct("language", "token"), lambda x: _of(x["language"], lambda g: g.members, lambda p: x["token"].rlike(p)))
+    holds = F.when(F.col("opens"), members).otherwise(F.lit(False))
     level = lambda n, own: F.struct((F.col("depth") + n).alias("level"), F.lit(own).alias("own"))
     levels = F.when(F.col("opens"), F.array(level(0, True), level(1, False))).otherwise(F.array(level(0, True)))
     holder = F.last(F.when(~F.col("own"), F.col("members")), ignorenulls=True).over(W.partitionBy("file_id", "level").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
     held = noted.withColumn("members", holds).select("*", F.inline(levels)).withColumn("inside", F.coalesce(holder, F.lit(False)) & (F.col("depth") > 0)).where("own")
-    described = held.withColumn("piece", let(F.struct("language", "token", "depth", "opens", "closes", "note", "inside"), _described))
     # Items are numbered and bodies closed before the items become rows: sorts see pieces only.
-    listed = described.select(
-        "file_id", "language", "at", "line", "depth", "piece.kind", "piece.name", "opens", "closes", "note", "rank", "piece.items", F.length(_breaks(token)).alias("breaks")
+    listed = _described(held).select(
+        "file_id", "language", "at", "line", "depth", "kind", "name", "opens", "closes", "note", "rank", "items", _n_breaks(token).alias("breaks")
     )
     numbered = listed.withColumn("pos", F.sum(F.size("items")).over(so_far) - F.size("items") + 1).withColumn(
         "leads", ~F.col("note") & F.coalesce(F.get("items", F.lit(0))["role"] == 0, F.lit(False))

@@ -1,6 +1,7 @@
 """Outlines of more languages, continued lines and regular expressions, on small programs read by hand."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from debtscope.operators.complexity import function_complexity
 from debtscope.operators.documentation import documented_entities, documented_modules
 from debtscope.operators.handling import function_handling
-from debtscope.operators.languages import GRAMMARS
+from debtscope.operators.languages import GRAMMARS, outline_languages
 from debtscope.operators.outline import join_lines, outline
 from debtscope.plans.scoring import score_files
 
@@ -158,3 +159,24 @@ def test_regular_expressions_and_continued_heads_of_scripts(spark):
     # && in the condition and + at the end of a line
     assert sum(r.type == "binary_expression" for r in rows) == 2
     assert sum(r.type == "call_expression" for r in rows) == 4
+
+
+def test_pieces_are_described_outside_of_lambdas(spark):
+    files = spark.createDataFrame([(1, "c", "int f(int a) {\nreturn a;\n}")], "file_id long, language string, content string")
+    plan = outline_languages(files)._jdf.queryExecution().executedPlan().toString()
+    # A lambda over a piece's token and depth has every kind interpreted for every piece.
+    assert not re.search(r"struct\(language, \S+, token, \S+, depth, ", plan)
+
+
+def test_words_are_taken_whole_and_white_space_is_cut(spark):
+    text = "int iffy_if(int x_if) {\n \telsewhere = diffuse(x_if) + operator_(a);\x0b\n  forx(a); é_if(a) \n}\r\n"
+    files = spark.createDataFrame([(1, "c", text)], "file_id long, language string, content string")
+    rows = outline_languages(files).where("node_id > 0").orderBy("node_id").select("type", "start_line", "text").collect()
+    assert [tuple(r) for r in rows] == [
+        ("function_definition", 1, "int iffy_if(int x_if) {"),
+        ("binary_expression", 2, "+"),
+        ("call_expression", 2, "diffuse("),
+        ("call_expression", 2, "operator_("),
+        ("call_expression", 3, "forx("),
+        ("call_expression", 3, "_if("),
+    ]
